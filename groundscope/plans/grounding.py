@@ -20,18 +20,18 @@ def _runs(column: str, width: int) -> str:
     )
 
 
-PHRASES_SQL = f"""q AS (SELECT question_id, trim(string_split(question, 'Benchmark evidence:')[1]) AS natural FROM asked),
-w AS (SELECT *, list_filter(regexp_extract_all(natural, '[A-Za-z][A-Za-z0-9_.-]+'),
+PHRASES_SQL = f"""q AS (SELECT question_id, trim(string_split(question, 'Benchmark evidence:')[1]) AS spoken FROM asked),
+w AS (SELECT *, list_filter(regexp_extract_all(spoken, '[A-Za-z][A-Za-z0-9_.-]+'),
  lambda x: (NOT list_contains({PHRASE_STOP}, lower(x)))) AS words,
- list_filter(regexp_extract_all(natural, '[A-Za-z][A-Za-z0-9_-]*'),
+ list_filter(regexp_extract_all(spoken, '[A-Za-z][A-Za-z0-9_-]*'),
  lambda x: (NOT list_contains({CONCEPT_STOP}, lower(x)) AND length(x) > 2)) AS useful FROM q),
-c AS (SELECT question_id, natural, useful, list_concat(regexp_extract_all(natural, '[''"]([^''"\\n]{{1,120}})[''"]', 1),
- list_concat(regexp_extract_all(natural, '[$£€¥]?[+-]?\\d[\\d,.]*(?:\\s*%)?|\\b\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b'),
- list_concat(regexp_extract_all(natural, '\\b[A-Z][\\w.-]*(?:\\s+[A-Z][\\w.-]*){{0,3}}\\b'),
+c AS (SELECT question_id, spoken, useful, list_concat(regexp_extract_all(spoken, '[''"]([^''"\\n]{{1,120}})[''"]', 1),
+ list_concat(regexp_extract_all(spoken, '[$£€¥]?[+-]?\\d[\\d,.]*(?:\\s*%)?|\\b\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}\\b'),
+ list_concat(regexp_extract_all(spoken, '\\b[A-Z][\\w.-]*(?:\\s+[A-Z][\\w.-]*){{0,3}}\\b'),
  list_concat(words, list_concat({_runs('words', 2)}, {_runs('words', 3)}))))) AS l FROM w),
-e AS (SELECT question_id, natural, i::INT - 1 AS pos, trim(l[i::INT]) AS phrase FROM c, range(1, 400) r(i) WHERE i <= len(l)),
+e AS (SELECT question_id, spoken, i::INT - 1 AS pos, trim(l[i::INT]) AS phrase FROM c, range(1, 400) r(i) WHERE i <= len(l)),
 f AS (SELECT question_id, lower(phrase) AS normalized, min(pos) AS pos, arg_min(phrase, pos) AS phrase,
- any_value(natural) AS natural FROM e WHERE length(phrase) >= 2 GROUP BY 1, 2),
+ any_value(spoken) AS spoken FROM e WHERE length(phrase) >= 2 GROUP BY 1, 2),
 base AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY pos) <= 80)"""
 
 
@@ -49,15 +49,15 @@ def phrases(spark, sf):
 @query(
     "concept_phrases",
     f"""WITH asked AS ({inputs.PART_QUESTIONS_SQL} UNION ALL {inputs.CUSTOMER_QUESTIONS_SQL}), {PHRASES_SQL},
-m AS (SELECT question_id, natural, list_concat(useful, list_concat({_runs('useful', 2)}, {_runs('useful', 3)})) AS l FROM c),
-more AS (SELECT question_id, natural, 1000000 + i::INT - 1 AS pos, l[i::INT] AS phrase FROM m, range(1, 400) r(i) WHERE i <= len(l)),
-u AS (SELECT question_id, natural, pos, phrase, lower(phrase) AS normalized FROM more
- UNION ALL SELECT question_id, natural, pos, phrase, normalized FROM base),
+m AS (SELECT question_id, spoken, list_concat(useful, list_concat({_runs('useful', 2)}, {_runs('useful', 3)})) AS l FROM c),
+more AS (SELECT question_id, spoken, 1000000 + i::INT - 1 AS pos, l[i::INT] AS phrase FROM m, range(1, 400) r(i) WHERE i <= len(l)),
+u AS (SELECT question_id, spoken, pos, phrase, lower(phrase) AS normalized FROM more
+ UNION ALL SELECT question_id, spoken, pos, phrase, normalized FROM base),
 k AS (SELECT question_id, normalized, min(pos) AS pos, arg_min(phrase, pos) AS phrase FROM u
  WHERE NOT list_contains({CONCEPT_STOP}, normalized) AND length(normalized) > 0
  AND (length(normalized) >= 2 OR regexp_full_match(normalized, '[0-9]+'))
  AND (NOT regexp_full_match(normalized, '[0-9]+') OR
- regexp_matches(natural, '(^|[^A-Za-z0-9])' || normalized || '($|[^A-Za-z0-9])')) GROUP BY 1, 2)
+ regexp_matches(spoken, '(^|[^A-Za-z0-9])' || normalized || '($|[^A-Za-z0-9])')) GROUP BY 1, 2)
 SELECT question_id, pos, phrase, normalized FROM k
 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY pos) <= 100""",
 )
@@ -186,14 +186,14 @@ v AS (SELECT o_orderstatus AS original, lower(o_orderstatus) AS norm, count(*) A
 seg AS (SELECT * FROM (VALUES (0, 'f means finished urgent orders', ['f', 'mean', 'finished', 'urgent', 'order']),
  (1, 'p stands for partial customers orders', ['p', 'stand', 'for', 'partial', 'customer', 'order']),
  (2, 'o: open customers account', ['o', 'open', 'customer', 'account'])) AS t(no, segment, words)),
-vs AS (SELECT *, regexp_matches(segment, '(^|[^a-z0-9])' || norm || '\s*(:|=|means|indicates|stands for|refers to)')
- OR regexp_matches(segment, '(:|=|means|indicates|stands for|refers to)\s*' || norm || '([^a-z0-9]|$)') AS explicit
+vs AS (SELECT *, regexp_matches(segment, '(^|[^a-z0-9])' || norm || '\\s*(:|=|means|indicates|stands for|refers to)')
+ OR regexp_matches(segment, '(:|=|means|indicates|stands for|refers to)\\s*' || norm || '([^a-z0-9]|$)') AS explicit
  FROM v, seg WHERE contains(segment, norm)),
 hit AS (SELECT question_id, original, norm, frequency, no, segment, explicit, list_sort(list_filter(list_intersect(terms, words),
  lambda x: (x <> norm AND NOT list_contains({CONCEPT_STOP} || ['common','evidence','refer','mean','indicate','value','table','character','user','score','attribute'], x)))) AS concept
  FROM q, vs),
 ok AS (SELECT * FROM hit WHERE (explicit AND len(concept) >= 2) OR (len(concept) > 0 AND regexp_matches(segment,
- '\b' || array_to_string(concept, '|') || '\b\s*:\s*([<>]=?|at least|at most)\s*' || norm || '\b')))
+ '\\b' || array_to_string(concept, '|') || '\\b\\s*:\\s*([<>]=?|at least|at most)\\s*' || norm || '\\b')))
 SELECT question_id, array_to_string(arg_min(concept, no), ' ') AS phrase, original, frequency FROM ok GROUP BY question_id, original, frequency""",
 )
 def encoded_values(spark, sf):

@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with an optional SQL oracle."""
 
-from groundscope.plans import grounding, profiling, surface  # noqa: F401
+from groundscope.plans import evaluation, grounding, profiling, surface  # noqa: F401
 from groundscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,12 +12,12 @@ from groundscope.plans.registry import query
 from groundscope.sources.tables import FOREIGN_KEYS, read_table, read_tables, register_views
 
 
-@query("surface_select", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net,
+@query("surface_select", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net,
  round(l_quantity + l_tax, 2) AS padded, -l_quantity AS negated FROM lineitem""")
 def surface_select(spark, sf):
     """Q1."""
     return read_table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"),
+        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"),
         F.round(F.col("l_quantity") + F.col("l_tax"), 2).alias("padded"), (-F.col("l_quantity")).alias("negated"),
     )
 
@@ -267,14 +267,14 @@ def surface_lag_lead(spark, sf):
 
 
 @query("surface_agg_over", MONTHLY + """SELECT c_nationkey, month, round(sum(revenue) OVER (PARTITION BY c_nationkey ORDER BY month), 2) AS running,
- round(avg(revenue) OVER (PARTITION BY c_nationkey ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS smooth,
+ round(avg(revenue) OVER (PARTITION BY c_nationkey ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS smooth,
  count(*) OVER (PARTITION BY c_nationkey) AS months, max(revenue) OVER (PARTITION BY c_nationkey ORDER BY month) AS best FROM m""")
 def surface_agg_over(spark, sf):
     """W3."""
     w = W.partitionBy("c_nationkey").orderBy("month")
     return _monthly(spark, sf).select(
         "c_nationkey", "month", F.round(F.sum("revenue").over(w), 2).alias("running"),
-        F.round(F.avg("revenue").over(w.rowsBetween(-2, W.currentRow)), 2).alias("smooth"),
+        F.round(F.avg("revenue").over(w.rowsBetween(-2, W.currentRow)), 4).alias("smooth"),
         F.count("*").over(W.partitionBy("c_nationkey")).alias("months"), F.max("revenue").over(w).alias("best"),
     )
 

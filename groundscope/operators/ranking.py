@@ -83,3 +83,21 @@ def hash_rank(df: DataFrame, keys: Sequence[str], hashed: str, out: str, ties: S
         .withColumn(out, F.col("_offset") + F.col("_local"))
         .drop("_prefix", "_local", "_offset")
     )
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Running total per key in an order that ``bucket`` coarsens, without one sort per key.
+
+    Each (key, bucket) is summed first; a bucket starts from the total of the earlier buckets.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_t"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    local = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        rows.withColumn("_local", F.sum(value).over(local))
+        .join(offsets, [*keys, "_bucket"])
+        .withColumn(out, F.col("_offset") + F.col("_local"))
+        .drop("_bucket", "_local", "_offset")
+    )

@@ -53,10 +53,18 @@ FORMAT_TAGS = {
 YEAR_PATTERN = r"\b(?:19|20)\d{2}\b"
 
 
+# Characters removed from both ends of a text.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003\u2009\u202f\u3000"
+
+
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def strip(value) -> Column:
+    return F.btrim(_col(value), F.lit(WHITESPACE))
+
+
 def fold(value) -> Column:
     """Case folding. Lower-casing plus the foldings that lower-casing leaves alone."""
     lowered = F.replace(F.lower(_col(value)), F.lit("ß"), F.lit("ss"))
@@ -98,9 +106,12 @@ def compact(value) -> Column:
 
 
 def grams_of(text: Column, size: int = 3) -> Column:
-    """Sorted unique character n-grams; a shorter text is its own single gram."""
-    starts = F.sequence(F.lit(1), F.length(text) - F.lit(size - 1))
-    many = F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+    """Sorted unique character n-grams; a shorter text is its own single gram.
+
+    A capturing lookahead yields the overlapping runs in one pass; a lambda over positions would
+    evaluate ``text`` once per position.
+    """
+    many = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)))
     return (
         F.when(F.length(text) >= size, many)
         .when(F.length(text) > 0, F.array(text))
@@ -121,7 +132,7 @@ def jaccard(left: Column, right: Column) -> Column:
 
 def value_pattern(value) -> Column:
     """T3, first part: which printed shape a value has, or null."""
-    text = F.trim(_col(value))
+    text = strip(value)
     result = None
     for name, shape in VALUE_PATTERNS.items():
         hit = text.rlike(shape)
@@ -131,7 +142,7 @@ def value_pattern(value) -> Column:
 
 def value_number(value) -> Column:
     """T3, second part: the number inside a printed value; null when it does not parse."""
-    text = F.trim(_col(value))
+    text = strip(value)
     digits = F.regexp_replace(text, r"[$£€¥%,\s]", "")
     return F.when(value_pattern(value).isin("currency", "percentage", "numeric_text"), digits.try_cast("double"))
 
@@ -140,20 +151,20 @@ def format_tags(values: Column) -> Column:
     """Sorted tags that hold for at least one of the printed values."""
 
     def tag(name: str) -> Column:
-        return F.when(F.exists(values, lambda v: F.trim(v).rlike(FORMAT_TAGS[name])), F.lit(name))
+        return F.when(F.exists(values, lambda v: strip(v).rlike(FORMAT_TAGS[name])), F.lit(name))
 
     return F.array_compact(F.array(*[tag(name) for name in sorted(FORMAT_TAGS)]))
 
 
 def natural_part(question) -> Column:
     """The question without attached evidence."""
-    return F.trim(F.split(_col(question), EVIDENCE_MARKER, 2)[0])
+    return strip(F.split(_col(question), EVIDENCE_MARKER, 2)[0])
 
 
 def evidence_part(question) -> Column:
     """The attached evidence, empty when there is none."""
     parts = F.split(_col(question), EVIDENCE_MARKER, 2)
-    return F.when(F.size(parts) > 1, F.trim(F.try_element_at(parts, F.lit(2)))).otherwise("")
+    return F.when(F.size(parts) > 1, strip(F.try_element_at(parts, F.lit(2)))).otherwise("")
 
 
 def question_key(value) -> Column:
@@ -167,12 +178,17 @@ def statement_key(value) -> Column:
 
 
 def shingles(items: Column, width: int) -> Column:
-    """Runs of ``width`` consecutive items joined by a space."""
-    last = F.size(items) - F.lit(width - 1)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(items, i, F.lit(width)), " ")
-    )
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+    """Runs of ``width`` consecutive items joined by a space; none when there are fewer items.
+
+    Built by zipping shifted copies, so ``items`` is evaluated a fixed number of times per row.
+    """
+    runs = items
+    for shift in range(1, width):
+        count = F.greatest(F.size(items) - F.lit(shift), F.lit(0))
+        runs = F.zip_with(
+            F.slice(runs, F.lit(1), count), F.slice(items, F.lit(shift + 1), count), lambda a, b: F.concat_ws(" ", a, b)
+        )
+    return runs
 
 
 def _without(items: Column, stop: list[str], folded: bool = True) -> Column:

@@ -59,7 +59,7 @@ def _exploded(questions: DataFrame, candidates: Column, offset: int) -> DataFram
             "question_id", text.natural_part("question").alias("natural"), F.posexplode(candidates).alias("pos", "raw")
         )
         .select(
-            "question_id", (F.col("pos") + offset).alias("pos"), F.trim("raw").alias("phrase"),
+            "question_id", (F.col("pos") + offset).alias("pos"), text.strip("raw").alias("phrase"),
             text.normalize("raw").alias("normalized"), "natural",
         )
         .withColumn("standalone", ~digits | F.rlike("natural", F.when(digits, shape).otherwise(F.lit(""))))
@@ -275,7 +275,7 @@ def value_segments(index: DataFrame, profile: DataFrame) -> DataFrame:
     described = profile.filter("categorical").select(
         *KEY, F.posexplode(F.split("value_description", "[;\\n\\r•]+")).alias("segment_no", "segment")
     )
-    described = described.withColumn("segment", F.trim("segment")).filter(F.length("segment") > 0)
+    described = described.withColumn("segment", text.strip("segment")).filter(F.length("segment") > 0)
     escaped = F.concat(F.lit("\\Q"), F.col("normalized"), F.lit("\\E"))
     before = F.concat(F.lit("(^|[^a-z0-9])"), escaped, F.lit(rf"\s*(?:{RELATION_WORDS})"))
     after = F.concat(F.lit(rf"(?:{RELATION_WORDS})\s*"), escaped, F.lit("([^a-z0-9]|$)"))

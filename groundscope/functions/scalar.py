@@ -122,7 +122,7 @@ def total(value) -> Column:
 
 def group_concat(value, separator: str = ",") -> Column:
     """Concatenation of the values of a group, in sorted order to be reproducible."""
-    return F.array_join(F.array_sort(F.collect_list(_col(value))), separator)
+    return F.array_join(F.sort_array(F.collect_list(_col(value))), separator)
 
 
 def date(value) -> Column:

@@ -97,7 +97,7 @@ def identifier_tokens(value) -> Column:
 
 def word_tokens(value) -> Column:
     """T4: sorted unique words of the normalised value."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(normalize(value), F.lit("[a-z0-9]+"), 0)))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(normalize(value), F.lit("[a-z0-9]+"), 0)))
 
 
 def compact(value) -> Column:
@@ -111,7 +111,7 @@ def grams_of(text: Column, size: int = 3) -> Column:
     A capturing lookahead yields the overlapping runs in one pass; a lambda over positions would
     evaluate ``text`` once per position.
     """
-    many = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)))
+    many = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)))
     return (
         F.when(F.length(text) >= size, many)
         .when(F.length(text) > 0, F.array(text))

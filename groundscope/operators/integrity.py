@@ -43,7 +43,7 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def fold_fingerprint(parts: DataFrame, versions: Sequence[str] = ()) -> DataFrame:
     """One digest over named part fingerprints in name order and version strings."""
-    listed = F.array_sort(F.collect_list(F.struct("name", "fingerprint")))
+    listed = F.sort_array(F.collect_list(F.struct("name", "fingerprint")))
     lines = F.transform(listed, lambda p: F.concat(p["name"], F.lit("="), p["fingerprint"]))
     return parts.agg(lines.alias("lines")).select(
         F.sha2(F.array_join(F.concat(F.array(*[F.lit(v) for v in sorted(versions)]).cast("array<string>"), "lines"), "\n"), 256).alias("identity")

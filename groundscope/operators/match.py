@@ -134,7 +134,7 @@ def candidate_pairs(lefts: DataFrame, rights: DataFrame, thresholds: dict[str, f
         ordered = (
             items.join(df, ["kind", "item"], "left")
             .groupBy(name, "kind")
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("s"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("s"))
         )
         size = F.size("s")
         keep = F.lit(1)
@@ -298,7 +298,7 @@ def encoded_matches(questions: DataFrame, index: DataFrame, profile: DataFrame)
         terms.join(segment_terms, "term")
         .filter(~F.col("term").isin(GENERIC_MEANINGS))
         .groupBy("question_id", *KEY, "segment_no")
-        .agg(F.array_sort(F.collect_set("term")).alias("shared"))
+        .agg(F.sort_array(F.collect_set("term")).alias("shared"))
     )
     joined = concepts.join(segments, [*KEY, "segment_no"]).withColumn(
         "concept", F.array_except("shared", text.identifier_tokens("normalized"))

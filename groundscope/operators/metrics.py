@@ -312,7 +312,7 @@ def transition_audit(paired: DataFrame, left_effects: DataFrame, right_effects:
         .join(changed.select("case_id"), "case_id", "left_semi")
         .groupBy("case_id", "kind").agg(F.sum("w").alias("w"))
     )
-    components = counts.filter("w <> 0").groupBy("case_id").agg(F.array_sort(F.collect_list("kind")).alias("components"))
+    components = counts.filter("w <> 0").groupBy("case_id").agg(F.sort_array(F.collect_list("kind")).alias("components"))
     facts = utilization.groupBy("case_id").agg(
         F.count("*").alias("facts"), F.count_if("relevant").alias("relevant_facts"),
         F.count_if(F.col("label") == "correctly_used").alias("used"),

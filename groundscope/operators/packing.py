@@ -57,7 +57,7 @@ def greedy_pack(
     )
     return (
         survivors.groupBy(*group)
-        .agg(F.array_sort(F.collect_list(row)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(row)).alias("_items"))
         .withColumn("_state", F.aggregate("_items", start, step))
         .select(*group, F.col("_state.used").alias("bytes_used"), F.posexplode("_state.kept").alias("_p", "_row"))
         .select(*group, (F.col("_p") + 1).alias("position"), "bytes_used", "_row.*")

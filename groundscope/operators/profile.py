@@ -113,7 +113,7 @@ def type_histogram(counts: DataFrame) -> DataFrame:
 
 def type_map(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy(*KEY).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types")
     )
 
 
@@ -224,7 +224,7 @@ def sampled_profile(
         F.count("*").alias("sample_size"),
         F.count_if(F.col("value").isNull()).alias("nulls"),
         F.max("storage").alias("storage"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("_pos", short.alias("v"))))).alias("_seen"),
+        F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("_pos", short.alias("v"))))).alias("_seen"),
     )
     total = df.agg(F.count("*").alias("n")).scalar()
     samples = F.array_distinct(F.transform("_seen", lambda s: s["v"]))
@@ -280,14 +280,14 @@ def relevant_profiles(questions: DataFrame, profile: DataFrame, limit: int = 12)
     matched = (
         top_k(value_hits, ["question_id", *KEY], [F.col("pos")], 5)
         .groupBy("question_id", *KEY)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("matches"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("matches"))
     )
     named = name_hits.groupBy("question_id", *KEY).agg(F.sum("points").alias("points"))
     hits = named.join(matched, ["question_id", *KEY], "full_outer").join(
         profile.select(*KEY, F.size("format_tags").alias("tags")), KEY
     )
     tagged = profile.filter(F.size("format_tags") > 0).select(F.struct(*KEY).alias("k"))
-    first_tagged = tagged.agg(F.slice(F.array_sort(F.collect_list("k")), 1, limit).alias("ks"))
+    first_tagged = tagged.agg(F.slice(F.sort_array(F.collect_list("k")), 1, limit).alias("ks"))
     filler = (
         questions.select("question_id")
         .withColumn("k", F.explode(first_tagged.scalar()))

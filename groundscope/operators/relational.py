@@ -109,7 +109,7 @@ def first_occurrence(df: DataFrame, keys: Sequence[str], position: Sequence[str]
 def counter(df: DataFrame, keys: Sequence[str], category: str, out: str = "counts") -> DataFrame:
     """A5: categories and their counts as one map per key."""
     counted = df.groupBy(*keys, category).agg(F.count("*").alias("n"))
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(category, "n")))).alias(out)
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(category, "n")))).alias(out)
     return counted.groupBy(*keys).agg(pairs)
 
 

@@ -18,7 +18,7 @@ def _draw(seed: int, *parts: Column) -> Column:
 
 def _interval(resampled: DataFrame, point: DataFrame, samples: int) -> DataFrame:
     """Bounds at fixed sorted positions of the at most ``samples`` resampled values."""
-    bounds = resampled.agg(F.array_sort(F.collect_list("value")).alias("v")).select(
+    bounds = resampled.agg(F.sort_array(F.collect_list("value")).alias("v")).select(
         F.col("v")[int(0.025 * samples)].alias("low"), F.col("v")[int(0.975 * samples)].alias("high")
     )
     return point.withColumn("_one", F.lit(1)).join(bounds.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn(
@@ -60,7 +60,7 @@ def case_bootstrap(scored: DataFrame, case: str, outcome: Column, samples: int =
     """
     outcomes = scored.select(F.col(case).alias("case"), outcome.cast("double").alias("x"))
     shares = outcomes.groupBy("x").agg(F.count("*").alias("n"))
-    table = shares.agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("t")).select(
+    table = shares.agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("t")).select(
         F.aggregate(
             "t",
             F.array().cast("array<struct<x:double,upto:bigint>>"),

@@ -42,7 +42,7 @@ def _has(kind: str) -> Column:
 
 
 def _set(value: Column) -> Column:
-    return F.array_sort(F.collect_set(value))
+    return F.sort_array(F.collect_set(value))
 
 
 def shape_class(effects: DataFrame, keys: Sequence[str] = ("case_id", "side")) -> DataFrame:
@@ -63,14 +63,14 @@ def structure(effects: DataFrame, keys: Sequence[str] = ("case_id", "side")) ->
     named = F.when(F.col("kind") != "limit", F.col("table_name"))
     columns = F.when(F.col("kind").isin("projection", "aggregation", "predicate", "join", "grouping", "ordering", "conversion"), F.col("column_name"))
     other_end = F.when(F.col("kind") == "join", F.col("value"))
-    ends = F.array_sort(F.array(F.concat_ws(".", "table_name", "column_name"), other_end))
+    ends = F.sort_array(F.array(F.concat_ws(".", "table_name", "column_name"), other_end))
     predicate = F.when(F.col("kind") == "predicate", F.concat_ws("|", "table_name", "column_name", "operator", F.coalesce("value", F.lit("\\N"))))
     direction = F.max(F.when(F.col("kind") == "ordering", F.when(F.col("value") == "desc", 2).otherwise(1)))
     return effects.groupBy(*keys).agg(
         _set(named).alias("_t"), _set(F.substring_index(other_end, ".", 1)).alias("_jt"), _set(columns).alias("_c"),
         _set(F.substring_index(other_end, ".", -1)).alias("_jc"), F.count_if(F.col("kind").isin("projection", "aggregation")).alias("projection_count"),
         F.count_if(F.col("kind") == "projection").alias("plain_projections"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "aggregation", F.col("value")))).alias("aggregates"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "aggregation", F.col("value")))).alias("aggregates"),
         F.min_by(F.when(F.col("kind") == "aggregation", F.col("value")), F.when(F.col("kind") == "aggregation", F.col("position"))).alias("first_aggregate"),
         F.min_by(F.when(F.col("kind") == "aggregation", F.col("column_name") == "*"), F.when(F.col("kind") == "aggregation", F.col("position"))).alias("first_is_star"),
         _has("grouping").alias("grouping"), _has("having").alias("having"), _has("distinct").alias("distinct"), _has("ordering").alias("ordering"),
@@ -83,7 +83,7 @@ def structure(effects: DataFrame, keys: Sequence[str] = ("case_id", "side")) ->
         _set(F.when(F.col("kind") == "predicate", F.col("value"))).alias("literals"),
         _set(F.when(F.col("kind") == "predicate", F.col("operator"))).alias("operators"),
     ).withColumns({
-        "tables": F.array_sort(F.array_union("_t", "_jt")), "columns": F.array_sort(F.array_union("_c", "_jc")),
+        "tables": F.sort_array(F.array_union("_t", "_jt")), "columns": F.sort_array(F.array_union("_c", "_jc")),
     }).drop("_t", "_jt", "_c", "_jc")
 
 
@@ -150,7 +150,7 @@ def edge_array(fks: DataFrame) -> Column:
     both = fks.select(F.col("src_table").alias("a"), F.col("dst_table").alias("b")).union(
         fks.select(F.col("dst_table").alias("a"), F.col("src_table").alias("b"))
     ).distinct()
-    return both.agg(F.array_sort(F.collect_list(F.struct("a", "b")))).scalar()
+    return both.agg(F.sort_array(F.collect_list(F.struct("a", "b")))).scalar()
 
 
 def coverage_checks(rows: DataFrame) -> DataFrame:
@@ -379,13 +379,13 @@ def detect(cases: DataFrame, effects: DataFrame, facts: DataFrame) -> DataFrame:
     )
     joins = effects.filter("kind = 'join'").select(
         "case_id", "position", F.col("table_name").alias("joined"),
-        F.array_sort(F.array("column_name", F.substring_index("value", ".", -1))).alias("actual"),
+        F.sort_array(F.array("column_name", F.substring_index("value", ".", -1))).alias("actual"),
     )
     join_hits = (
         joins.join(join_facts, "case_id").filter((F.col("joined") == F.col("s")) | (F.col("joined") == F.col("d")))
         .groupBy("case_id", "position", "actual")
         .agg(F.count("*").alias("n"), F.first(F.struct("s", "sc", "d", "dc")).alias("f"))
-        .filter((F.col("n") == 1) & (F.col("actual") != F.array_sort(F.array("f.sc", "f.dc"))))
+        .filter((F.col("n") == 1) & (F.col("actual") != F.sort_array(F.array("f.sc", "f.dc"))))
         .select("case_id", F.lit(5).alias("rule"), F.col("position").cast("long").alias("at"), F.lit("join").alias("family"),
                 F.lit("wrong_join_predicate").alias("subtype"), F.lit(0.95).alias("confidence"),
                 F.concat_ws(":", F.lit("join"), "f.s", "f.sc", "f.d", "f.dc").alias("patch"))
@@ -424,9 +424,9 @@ def utilization(facts: DataFrame, effects: DataFrame) -> DataFrame:
     reference, prediction = F.col("side") == "reference", F.col("side") == "prediction"
     numeric = (F.col("type") != "numeric_or_storage") | F.col("kind").isin("conversion", "predicate", "aggregation")
     found = touched.groupBy(*key).agg(
-        F.array_sort(F.collect_set(F.when(reference & numeric, F.col("kind")))).alias("ref_kinds"),
+        F.sort_array(F.collect_set(F.when(reference & numeric, F.col("kind")))).alias("ref_kinds"),
         F.bool_or(reference & exact).alias("ref_exact"),
-        F.array_sort(F.collect_set(F.when(prediction, F.col("kind")))).alias("pred_kinds"),
+        F.sort_array(F.collect_set(F.when(prediction, F.col("kind")))).alias("pred_kinds"),
         F.bool_or(prediction & exact).alias("pred_exact"), F.bool_or(prediction & (F.col("kind") == "predicate")).alias("pred_predicate"),
     )
     source = F.concat_ws(".", F.lower("f.table_name"), F.lower("f.column_name"))

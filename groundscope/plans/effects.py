@@ -153,8 +153,9 @@ def connectivity(spark, sf):
     """K6: connectivity of the tables each statement uses."""
     edges = structure.edge_array(catalog_fks(spark, FOREIGN_KEYS))
     extra = F.when(F.col("projection_count") % 2 == 0, F.array(F.lit("nation"))).otherwise(F.array().cast("array<string>"))
-    used = structures(spark, sf).select("case_id", "side", F.array_sort(F.array_union("tables", extra)).alias("used"), edges.alias("edges"))
-    return used.select("case_id", "side", F.array_join("used", ",").alias("used"), structure.connected(F.col("used"), F.col("edges")).alias("is_connected"))
+    used = structures(spark, sf).select("case_id", "side", F.sort_array(F.array_union("tables", extra)).alias("used"), edges.alias("edges"))
+    marked = used.withColumn("is_connected", structure.connected(F.col("used"), F.col("edges")))
+    return marked.select("case_id", "side", F.array_join(marked["used"], ",").alias("used"), "is_connected")
 
 
 @query("invalid_joins", f"""WITH {EFFECTS} SELECT case_id, side, bool_or(column_name = 'o_orderkey') AS invalid_join FROM ef WHERE kind = 'join' GROUP BY 1, 2""")
@@ -463,12 +464,12 @@ def detections(spark, sf):
  jf AS (SELECT case_id, count(*) AS n FROM ef WHERE side = 'prediction' AND kind = 'limit' GROUP BY 1),
  jh AS (SELECT e.case_id, e.position FROM ef e JOIN jf USING (case_id) JOIN p USING (case_id) WHERE e.side = 'prediction' AND e.kind = 'join' AND jf.n = 1 AND list_contains(p.tables, 'orders') AND list_contains(p.tables, 'customer')
  AND e.table_name IN ('orders', 'customer') AND least(e.column_name, split_part(e.value, '.', 2)) || greatest(e.column_name, split_part(e.value, '.', 2)) <> 'c_custkeyo_custkey'),
- h AS (SELECT case_id, 1 AS rule, 0 AS at, 'operation' AS family, 'wrong_aggregate' AS subtype, 0.96::DOUBLE AS confidence, 'replace_aggregate:count' AS patch FROM p WHERE m = 0 AND len(aggregates) > 0 AND first_aggregate <> 'count'
+ h AS (SELECT case_id, 1 AS rule, 0 AS pos, 'operation' AS family, 'wrong_aggregate' AS subtype, 0.96::DOUBLE AS confidence, 'replace_aggregate:count' AS patch FROM p WHERE m = 0 AND len(aggregates) > 0 AND first_aggregate <> 'count'
  UNION ALL SELECT case_id, 2, 0, 'operation', 'unrequested_aggregate', 0.95, 'remove_aggregate' FROM p WHERE m = 1 AND len(aggregates) > 0 AND NOT grouping AND projection_count = 1
  UNION ALL SELECT case_id, 3, 0, 'grain', 'missing_group', 0.93, 'group_by_nonaggregate_projections' FROM p WHERE m = 2 AND len(aggregates) > 0 AND NOT grouping AND plain_projections > 0
  UNION ALL SELECT case_id, 4, position, 'predicate', 'wrong_filter_column', 0.97, 'predicate_column:' || t || ':' || c FROM ph WHERE c <> column_name
  UNION ALL SELECT case_id, 5, position, 'join', 'wrong_join_predicate', 0.95, 'join:orders:o_custkey:customer:c_custkey' FROM jh)
- SELECT case_id, family, subtype, confidence, patch FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rule, at) = 1""")
+ SELECT case_id, family, subtype, confidence, patch FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rule, pos) = 1""")
 def detect_rules(spark, sf):
     """K12."""
     return detections(spark, sf)

@@ -219,7 +219,7 @@ def surface_counter(spark, sf):
     """A5: category counts as one map per group, printed."""
     counts = relational.counter(read_table(spark, sf, "documents"), ["lang"], "source")
     printed = F.transform(
-        F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+        F.sort_array(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
     )
     return counts.select("lang", F.array_join(printed, ",").alias("counts"))
 

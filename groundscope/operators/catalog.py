@@ -170,6 +170,14 @@ def link_tables(questions: DataFrame, catalog: DataFrame, paths: DataFrame, seed
     return closure(ranked.select("question_id", F.explode(chosen).alias("table_name")), paths)
 
 
+def _fk_cost(fks: DataFrame) -> DataFrame:
+    """Bytes of each rendered foreign-key clause."""
+    clause = F.concat(
+        F.lit('FOREIGN KEY ("'), "src_column", F.lit('") REFERENCES "'), "dst_table", F.lit('" ("'), F.coalesce("dst_column", F.lit("")), F.lit('")')
+    )
+    return fks.select(F.col("src_table").alias("table_name"), "dst_table", (F.octet_length(clause) + 2).alias("b"))
+
+
 def budget_width(
     linked: DataFrame, questions: DataFrame, catalog: DataFrame, fks: DataFrame, byte_budget: int = 10000
 ) -> DataFrame:
@@ -180,7 +188,9 @@ def budget_width(
     """
     statement = F.concat(F.lit('"'), F.replace("column_name", F.lit('"'), F.lit('""')), F.lit('" '), F.col("type"))
     cost = catalog.select(*KEY, "ordinal", "is_pk", F.octet_length(statement).alias("bytes"))
-    whole = cost.agg(F.sum(F.col("bytes") + 2)).scalar()
+    opening = F.octet_length(F.concat(F.lit('CREATE TABLE "'), "table_name", F.lit('" ();'))) + 1
+    pieces = cost.select((F.col("bytes") + 2).alias("b")).union(cost.select("table_name").distinct().select(opening)).union(_fk_cost(fks).select("b"))
+    whole = pieces.agg(F.sum("b")).scalar()
     terms = questions.select("question_id", F.array_distinct(F.regexp_extract_all(F.lower(F.replace("question", F.lit("_"), F.lit(" "))), F.lit(r"(?U)\w+"), 0)).alias("terms"))
     keys = retained_keys(linked, catalog, fks).withColumn("required", F.lit(True))
     opened = linked.select("question_id", F.explode("tables").alias("table_name")).join(cost, "table_name").join(terms, "question_id")
@@ -189,12 +199,8 @@ def budget_width(
     per_table = opened.groupBy("question_id", "table_name").agg(
         F.sort_array(F.collect_list(F.struct((-relevance).alias("r"), "ordinal", (F.col("bytes") + 2).alias("b"), F.coalesce("required", F.lit(False)).alias("k")))).alias("cols")
     )
-    fk_cost = fks.select(
-        F.col("src_table").alias("table_name"), "dst_table",
-        (F.octet_length(F.concat(F.lit("FOREIGN KEY ("), "src_column", F.lit(") REFERENCES "), "dst_table", F.lit(" ("), "dst_column", F.lit(")"))) + 8).alias("b"),
-    )
     fk_bytes = (
-        linked.select("tables").distinct().select("tables", F.explode("tables").alias("table_name")).join(fk_cost, "table_name")
+        linked.select("tables").distinct().select("tables", F.explode("tables").alias("table_name")).join(_fk_cost(fks), "table_name")
         .filter(F.array_contains("tables", F.col("dst_table"))).groupBy("tables").agg(F.sum("b").alias("fk_bytes"))
     )
 
@@ -202,8 +208,7 @@ def budget_width(
         kept = F.filter("cols", lambda c, i: (i < width) | c["k"])
         return F.aggregate(kept, F.lit(0), lambda acc, c: acc + c["b"])
 
-    wrapper = F.octet_length(F.concat(F.lit('CREATE TABLE "'), "table_name", F.lit('" ();'))) + 1
-    sizes = per_table.groupBy("question_id").agg(*[F.sum(taken(w) + wrapper).alias(f"w{w}") for w in WIDTHS])
+    sizes = per_table.groupBy("question_id").agg(*[F.sum(taken(w) + opening).alias(f"w{w}") for w in WIDTHS])
     sized = linked.join(sizes, "question_id").join(fk_bytes, "tables", "left").withColumn("whole_bytes", whole).fillna(0, ["fk_bytes"])
     width = F.when(F.col("whole_bytes") <= byte_budget, F.lit(-1))
     used = F.when(F.col("whole_bytes") <= byte_budget, F.col("whole_bytes"))

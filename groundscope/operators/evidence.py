@@ -17,6 +17,7 @@ from groundscope.operators import match
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
+from groundscope.session import cut_lineage
 
 FACT_COLUMNS = [
     "question_id", "phrase", "type", "table_name", "column_name", "db_value", "confidence", "source", "column_relevance",
@@ -226,15 +227,20 @@ def fact_order() -> list[Column]:
     ]
 
 
+def gather(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union of candidate facts, materialised once because routing, join facts and packing all read it."""
+    facts = parts[0]
+    for part in parts[1:]:
+        facts = facts.unionByName(part)
+    return cut_lineage(facts)
+
+
 def assemble(
-    parts: Sequence[DataFrame], fks: DataFrame, mode: str = "all", byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT,
+    gathered: DataFrame, fks: DataFrame, mode: str = "all", byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT,
     minimum: float = MINIMUM_CONFIDENCE,
 ) -> DataFrame:
     """Route, add joins, floor, suppress, deduplicate, order and pack. One row per kept fact."""
-    facts = parts[0]
-    for part in parts[1:]:
-        facts = facts.unionByName(part)
-    facts = facts.filter(F.col("type").isin(MODES[mode]))
+    facts = gathered.filter(F.col("type").isin(MODES[mode]))
     candidates = suppress(facts.unionByName(join_facts(facts, fks)).filter(F.col("confidence") >= minimum))
     identity = [F.lower("table_name"), F.lower(F.coalesce("column_name", F.lit(""))), text.normalize(F.coalesce("db_value", F.lit(""))), F.coalesce("transformation", F.lit("\u0000"))]
     order = fact_order()

@@ -11,6 +11,7 @@ from groundscope.operators import catalog, evidence, match, metrics, probe, prof
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.plans import inputs
 from groundscope.plans.registry import query
+from groundscope.session import cut_lineage
 from groundscope.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, STAR_TABLES, catalog_columns, catalog_fks, read_table, read_tables
 
 STAR_COLUMNS = {
@@ -99,7 +100,7 @@ def budget_schema(spark, sf):
     """C10 over every question, with a budget that forces a choice of width."""
     columns, fks, paths = star(spark, sf)
     asked = inputs.questions(spark, sf)
-    return catalog.budget_width(catalog.link_tables(asked, columns, paths), asked, columns, fks, byte_budget=700).withColumn("tables", F.array_join("tables", ","))
+    return catalog.budget_width(catalog.link_tables(asked, columns, paths), asked, columns, fks, byte_budget=1150).withColumn("tables", F.array_join("tables", ","))
 
 
 DESCRIPTIONS = [
@@ -129,14 +130,14 @@ def described_tables(spark, sf):
 
 
 def knowledge(spark, sf):
-    """(counts, profile, index, fks) of the described tables."""
+    """(counts, profile, index, fks) of the described tables, materialised as the knowledge store would be."""
     tables = described_tables(spark, sf)
-    counts = profile.value_counts(tables)
+    counts = cut_lineage(profile.value_counts(tables))
     columns = catalog_columns(spark, tables, PRIMARY_KEYS)
     notes = spark.createDataFrame(DESCRIPTIONS, _DESCRIPTION_SCHEMA).coalesce(1)
-    described = profile.column_profile(counts, columns, notes)
+    described = cut_lineage(profile.column_profile(counts, columns, notes))
     fks = catalog_fks(spark, [e for e in FOREIGN_KEYS if e[0] in tables and e[2] in tables])
-    return counts, described, profile.value_index(profile.top_values(counts)), fks
+    return counts, described, cut_lineage(profile.value_index(profile.top_values(counts))), fks
 
 
 def _sampled(spark, sf):
@@ -394,20 +395,20 @@ def column_relevance(spark, sf):
 
 def fact_parts(spark, sf, asked):
     counts, described, index, fks = knowledge(spark, sf)
-    relevance = evidence.column_relevance(asked, described)
-    phrases = match.concept_phrases(asked)
+    relevance = cut_lineage(evidence.column_relevance(asked, described))
+    phrases = cut_lineage(match.concept_phrases(asked))
     probed = evidence.explicit_probes(phrases, index, relevance, counts)
     parts = [
         evidence.literal_facts(phrases, index, relevance, probed), evidence.normalization_facts(asked, index, relevance),
         evidence.storage_facts(asked, described, relevance), evidence.semantics_facts(described, relevance), evidence.encoded_facts(asked, index, described),
     ]
-    return parts, fks, counts
+    return evidence.gather(parts), fks, counts
 
 
 def packet(spark, sf, mode="all"):
     asked = inputs.part_questions(spark, sf).unionByName(inputs.customer_questions(spark, sf))
-    parts, fks, counts = fact_parts(spark, sf, asked)
-    return evidence.assemble(parts, fks, mode), fks, counts
+    facts, fks, counts = fact_parts(spark, sf, asked)
+    return evidence.assemble(facts, fks, mode), fks, counts
 
 
 @query("evidence_packet")
@@ -458,7 +459,7 @@ def bounded_packet(spark, sf):
 def route_ablation(spark, sf):
     """The four routing modes scored against the values each question was made from."""
     asked = inputs.part_questions(spark, sf)
-    parts, fks, _ = fact_parts(spark, sf, asked)
+    facts_found, fks, _ = fact_parts(spark, sf, asked)
     gold = read_table(spark, sf, "part").select(
         F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("case_id"), F.explode(F.array(
             F.struct(F.lit("p_name").alias("column_name"), F.col("p_name").alias("value")), F.struct(F.lit("p_type").alias("column_name"), F.lower("p_type").alias("value")),
@@ -467,7 +468,7 @@ def route_ablation(spark, sf):
     cases = asked.select(F.col("question_id").alias("case_id"), F.lit("all").alias("group"))
     report = None
     for mode in evidence.MODES:
-        packed = evidence.assemble(parts, fks, mode)
+        packed = evidence.assemble(facts_found, fks, mode)
         facts = packed.select(
             F.col("question_id").alias("case_id"), F.col("position").alias("fact_no"), "table_name", "column_name", text.normalize("db_value").alias("value"),
             "transformation",

@@ -196,16 +196,14 @@ def _without(items: Column, stop: list[str], folded: bool = True) -> Column:
     return F.filter(items, lambda w: ~F.array_contains(banned, F.lower(w) if folded else w))
 
 
-def phrase_words(question) -> Column:
-    return _without(
-        F.regexp_extract_all(natural_part(question), F.lit("[A-Za-z][A-Za-z0-9_.-]+"), 0), PHRASE_STOP_WORDS
-    )
+def phrase_words(natural) -> Column:
+    """Words of a natural question that may be part of a phrase."""
+    return _without(F.regexp_extract_all(_col(natural), F.lit("[A-Za-z][A-Za-z0-9_.-]+"), 0), PHRASE_STOP_WORDS)
 
 
-def phrase_candidates(question) -> Column:
-    """All phrase spellings in priority order, duplicates still inside."""
-    natural = natural_part(question)
-    kept = phrase_words(question)
+def phrase_candidates(natural, kept) -> Column:
+    """All phrase spellings in priority order, duplicates still inside. ``kept`` holds the phrase words."""
+    natural, kept = _col(natural), _col(kept)
     return F.concat(
         F.regexp_extract_all(natural, F.lit("['\"]([^'\"\\n]{1,120})['\"]"), 1),
         F.regexp_extract_all(
@@ -218,8 +216,8 @@ def phrase_candidates(question) -> Column:
     )
 
 
-def concept_words(question) -> Column:
-    found = F.regexp_extract_all(natural_part(question), F.lit("[A-Za-z][A-Za-z0-9_-]*"), 0)
+def concept_words(natural) -> Column:
+    found = F.regexp_extract_all(_col(natural), F.lit("[A-Za-z][A-Za-z0-9_-]*"), 0)
     return F.filter(_without(found, CONCEPT_STOP_WORDS), lambda w: F.length(w) > 2)
 
 

@@ -203,19 +203,22 @@ def render_fact() -> Column:
 def suppress(facts: DataFrame) -> DataFrame:
     """Of equal literals or normalisations keep those of the most relevant columns.
 
-    A group holds one row per column, so these windows are bounded by the catalog.
+    A group holds one row per column, so these windows are bounded by the catalog. Facts of other types
+    form groups of their own place and always stay.
     """
-    phrase = text.normalize("phrase")
-    literal = F.col("type") == "literal_value"
-    group = F.when(literal, text.normalize(F.coalesce("db_value", F.lit("")))).otherwise(F.coalesce("transformation", F.lit("")))
+    literal, normalization = F.col("type") == "literal_value", F.col("type") == "normalization"
+    place = F.concat_ws(".", "table_name", "column_name")
+    group = (
+        F.when(literal, text.normalize(F.coalesce("db_value", F.lit("")))).when(normalization, F.coalesce("transformation", F.lit(""))).otherwise(place)
+    )
     same = W.partitionBy("question_id", "type", "_phrase", "_group")
-    grouped = facts.filter(F.col("type").isin("literal_value", "normalization")).withColumns({"_phrase": phrase, "_group": group}).withColumns({
+    marked = facts.withColumns({"_phrase": text.normalize("phrase"), "_group": group}).withColumns({
         "_best": F.max("column_relevance").over(same), "_n": F.count("*").over(same)
     })
-    kept = grouped.filter(
-        (F.col("_best") == 0) | (literal & (F.col("_n") == 1)) | (F.col("column_relevance") == F.col("_best"))
-    ).select(*FACT_COLUMNS)
-    return kept.unionByName(facts.filter(~F.col("type").isin("literal_value", "normalization")))
+    kept = (
+        ~(literal | normalization) | (F.col("_best") == 0) | (literal & (F.col("_n") == 1)) | (F.col("column_relevance") == F.col("_best"))
+    )
+    return marked.filter(kept).select(*FACT_COLUMNS)
 
 
 def fact_order() -> list[Column]:

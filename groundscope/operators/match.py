@@ -7,6 +7,8 @@ exact filters, so nothing that the score ladder would accept is lost and no pair
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,38 +52,51 @@ def _first_spelling(exploded: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _exploded(questions: DataFrame, candidates: Column, offset: int) -> DataFrame:
-    """Phrase rows of each question; a bare number must stand alone in the text."""
+def _exploded(questions: DataFrame, kept: Column, candidates: Callable[[str, str], Column], offset: int) -> DataFrame:
+    """Phrase rows of each question; a bare number must stand alone in the text.
+
+    The kept words are a column of their own, so the several runs built from them do not extract them again.
+    """
     shape = F.concat(F.lit("(?<![A-Za-z0-9])"), F.col("normalized"), F.lit("(?![A-Za-z0-9])"))
     digits = F.col("normalized").rlike("^[0-9]+$")
     return (
-        questions.select(
-            "question_id", text.natural_part("question").alias("natural"), F.posexplode(candidates).alias("pos", "raw")
-        )
+        questions.select("question_id", text.natural_part("question").alias("natural"))
+        .withColumn("kept", kept)
+        .select("question_id", "natural", F.posexplode(candidates("natural", "kept")).alias("pos", "raw"))
         .select(
             "question_id", (F.col("pos") + offset).alias("pos"), text.strip("raw").alias("phrase"),
             text.normalize("raw").alias("normalized"), "natural",
         )
-        .withColumn("standalone", ~digits | F.rlike("natural", F.when(digits, shape).otherwise(F.lit(""))))
+        .withColumn("standalone", ~digits | F.rlike("natural", shape))
         .drop("natural")
     )
 
 
+def _spoken_phrases(spread: DataFrame) -> DataFrame:
+    found = _exploded(spread, text.phrase_words("natural"), text.phrase_candidates, 0).filter(F.length("phrase") >= 2)
+    return _first_spelling(found, PHRASE_LIMIT)
+
+
+def _concept_runs(natural: str, kept: str) -> Column:
+    return F.concat(F.col(kept), text.shingles(F.col(kept), 2), text.shingles(F.col(kept), 3))
+
+
+def _spread(questions: DataFrame) -> DataFrame:
+    """Questions by id over all shuffle partitions. The explicit number keeps small inputs, which grow a
+    hundredfold in the explode that follows, from being coalesced into one task."""
+    return questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
+
+
 def question_phrases(questions: DataFrame) -> DataFrame:
     """Up to 80 unique phrases per question: quotes, numbers, names, words, 2- and 3-word runs."""
-    spread = questions.repartition("question_id")
-    found = _exploded(spread, text.phrase_candidates("question"), 0).filter(F.length("phrase") >= 2)
-    return _first_spelling(found, PHRASE_LIMIT)
+    return _spoken_phrases(_spread(questions))
 
 
 def concept_phrases(questions: DataFrame) -> DataFrame:
     """The phrases of T6 followed by content words and their runs, up to 100."""
-    spread = questions.repartition("question_id")
-    base = _first_spelling(
-        _exploded(spread, text.phrase_candidates("question"), 0).filter(F.length("phrase") >= 2), PHRASE_LIMIT
-    )
-    useful = text.concept_words("question")
-    more = _exploded(spread, F.concat(useful, text.shingles(useful, 2), text.shingles(useful, 3)), 1_000_000)
+    spread = _spread(questions)
+    base = _spoken_phrases(spread)
+    more = _exploded(spread, text.concept_words("natural"), _concept_runs, 1_000_000)
     usable = (
         ~F.col("normalized").isin(text.CONCEPT_STOP_WORDS)
         & (F.length("normalized") > 0)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundscope.functions import text
-from groundscope.functions.encoder import dot
 from groundscope.operators.ranking import top_k
 
 # Sizes of a selection.
@@ -26,8 +25,8 @@ def dense_ranking(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame
     """The ``k`` documents with the largest inner product per query, ties by document id.
 
     ``queries``: question_id, vector; ``documents``: doc_id, vector. Vectors are unit length. The size of
-    the document side is measured: a catalog-sized one travels as one array and is scored in the JVM;
-    a larger one is cut into blocks that meet the query blocks in separate tasks.
+    the document side is measured: a catalog-sized one (at most ``RESIDENT_VALUES`` numbers) is held by every
+    task; a larger one is cut into blocks that meet the query blocks in separate tasks.
     """
     measured = documents.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
     if measured["n"] * measured["d"] <= RESIDENT_VALUES:
@@ -35,17 +34,37 @@ def dense_ranking(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame
     return _blocked_ranking(queries, documents, k, measured["n"])
 
 
+def _best(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k largest products per row; equal ones keep the column order."""
+    keep = np.argsort(-products, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(products)), keep.shape[1]), keep.ravel()
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def _resident_ranking(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    listed = documents.agg(F.collect_list(F.struct("doc_id", "vector"))).scalar()
-    scored = queries.select("question_id", "vector", listed.alias("docs")).select(
-        "question_id",
-        F.slice(
-            F.sort_array(F.transform("docs", lambda d: F.struct((-dot(F.col("vector"), d["vector"])).alias("s"), d["doc_id"].alias("doc_id")))), 1, k
-        ).alias("best"),
-    )
-    return scored.select("question_id", F.posexplode("best").alias("p", "b")).select(
-        "question_id", F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("rank")
-    )
+    """Query batches times the document matrix, whose size has been measured, inside the scan's own tasks."""
+    held = documents.select("doc_id", "vector").toPandas().sort_values("doc_id", ignore_index=True)
+    types = dict(queries.dtypes)["question_id"], dict(documents.dtypes)["doc_id"]
+    schema = f"question_id {types[0]}, doc_id {types[1]}, similarity double, rank int"
+    if held.empty:
+        return queries.sparkSession.createDataFrame([], schema)
+    matrix, names = _matrix(held["vector"]).T, held["doc_id"].to_numpy()
+
+    def score(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            products = _matrix(batch["vector"]) @ matrix
+            rows, columns = _best(products, k)
+            yield pd.DataFrame({
+                "question_id": batch["question_id"].to_numpy()[rows], "doc_id": names[columns], "similarity": products[rows, columns],
+                "rank": np.tile(np.arange(1, min(k, len(names)) + 1), len(batch)),
+            })
+
+    return queries.select("question_id", "vector").mapInPandas(score, schema)
 
 
 def _blocked_ranking(queries: DataFrame, documents: DataFrame, k: int, n_documents: int) -> DataFrame:
@@ -64,12 +83,10 @@ def _blocked_ranking(queries: DataFrame, documents: DataFrame, k: int, n_documen
         if a.empty or d.empty:
             return pd.DataFrame(columns=columns)
         d = d.sort_values("doc_id", ignore_index=True)
-        products = np.stack(a["vector"].to_numpy()).astype(np.float64) @ np.stack(d["vector"].to_numpy()).astype(np.float64).T
-        keep = np.argsort(-products, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), keep.shape[1])
+        products = _matrix(a["vector"]) @ _matrix(d["vector"]).T
+        rows, places = _best(products, k)
         return pd.DataFrame({
-            "question_id": a["question_id"].to_numpy()[rows], "doc_id": d["doc_id"].to_numpy()[keep.ravel()],
-            "similarity": products[rows, keep.ravel()],
+            "question_id": a["question_id"].to_numpy()[rows], "doc_id": d["doc_id"].to_numpy()[places], "similarity": products[rows, places],
         }, columns=columns)
 
     types = dict(queries.dtypes)["question_id"], dict(documents.dtypes)["doc_id"]

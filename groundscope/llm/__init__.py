@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the package imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from groundscope.llm import ann, decontamination, language, packing, quality, sharding, toxicity  # noqa: F401
+from groundscope.llm import ann, decontamination, language, packing, quality, sharding, suffix_dedup, toxicity  # noqa: F401
 from groundscope.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

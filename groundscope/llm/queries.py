@@ -1,6 +1,8 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from groundscope.llm import ann, decontamination, jaccard_join, language, packing, quality, sharding, suffix_dedup, toxicity  # noqa: F401
+from groundscope.llm import (  # noqa: F401
+    ann, decontamination, html_text, jaccard_join, language, packing, quality, sharding, suffix_dedup, toxicity,
+)
 from groundscope.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -346,6 +346,36 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The documents without their repeated strings; runs of fewer than ``words`` words stay.
+
+    A cut inside a character drops the rest of it. ``n_chars`` follows the text if the column exists.
+    """
+    marked = mark(docs, length)
+    at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = batch.columns[:-1], []
+            for text, places in zip(batch.column(at), batch.columns[-1]):
+                text = text.as_py()
+                if places.is_valid:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    spans = removed(len(raw), places.as_py(), length)
+                    spans = [(a, b) for a, b in spans if len(raw[a:b].split()) >= words]
+                    if spans:
+                        text = kept(raw, spans).decode("utf-8", "ignore")
+                texts.append(text)
+            columns[at] = pa.array(texts, columns[at].type)
+            if n is not None:
+                old = columns[n].to_pylist()
+                sizes = [o if new == was else len(new) for o, new, was in zip(old, texts, batch.column(at).to_pylist())]
+                columns[n] = pa.array(sizes, columns[n].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return marked.mapInArrow(run, docs.schema)
+
+
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))

@@ -32,8 +32,8 @@ from groundscope.llm.common import chunks, held_out, learnable, sigmoid, table
 from groundscope.llm.quality import labelled
 from groundscope.llm.registry import query
 
-#: Hashed cells, vector length, filter widths in words, filters of a width, learning rows of a label, passes.
-CELLS, DIM, SPANS, FILTERS, PER_CLASS, PASSES = 1 << 16, 16, (1, 2, 3), 8, 3000, 6
+#: Hashed cells, vector length, filter widths in words, filters of a width, learning rows of a label, steps of 48 texts.
+CELLS, DIM, SPANS, FILTERS, PER_CLASS, STEPS = 1 << 16, 16, (1, 2, 3), 8, 3000, 560
 #: Share of word pieces dropped in training, decay of the touched vectors.
 DROP, DECAY = 0.4, 1e-5
 CUT = 0.7
@@ -148,13 +148,13 @@ class Adam:
             model[k][rows] -= scale * m[rows] / (np.sqrt(s[rows]) + 1e-7)
 
 
-def train(cells: np.ndarray, numbers: list[np.ndarray], y: np.ndarray, passes: int = PASSES) -> dict:
+def train(cells: np.ndarray, numbers: list[np.ndarray], y: np.ndarray, steps: int = STEPS) -> dict:
     rng = np.random.default_rng(11)
     model = {"e": rng.normal(0, 0.3, (CELLS, DIM)), "u": rng.normal(0, 0.3, FILTERS * len(SPANS)), "c": np.zeros(1), "b": np.zeros(FILTERS * len(SPANS))}
     for span in SPANS:
         model[f"f{span}"] = rng.normal(0, 0.5 / span, (span, DIM, FILTERS))
     adam, everything = Adam(model, 0.004), slice(None)
-    for _ in range(passes):
+    while adam.t < steps:
         order = rng.permutation(len(y))
         for at in range(0, len(order), 48):
             pick = order[at : at + 48]
@@ -239,36 +239,46 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
         own = spare & (langs == k)
         if y[own].sum() >= 20 and (y[own] == 0).sum() >= 20:
             cut[k] = threshold(raw[own], y[own], clean)
-    model["cut"] = cut
+    # Few calibration rows must not pull the threshold far below even odds.
+    model["cut"] = np.maximum(cut, -1.5)
     return model
 
 
+class Scorer:
+    """Scores of texts; the word tables grow with the words that come and start anew when they are many."""
+
+    def __init__(self, model: dict | None):
+        self.model, self.words, self.tables = model, Words(), None
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.model is None:
+            return np.zeros(len(texts))
+        if len(self.words.cells) > REMEMBERED:
+            self.words.clear()
+            self.tables = None
+        numbers = [self.words.numbers(t) for t in texts]
+        done = 0 if self.tables is None else len(self.tables[0][0])
+        fresh = np.array(self.words.cells[done:])
+        if len(fresh):
+            x = self.model["e"][fresh].mean(axis=1)
+            if not done:
+                x[0] = 0.0
+            more = word_tables(self.model, x)
+            self.tables = more if self.tables is None else [
+                [np.concatenate(p) for p in zip(old, new)] for old, new in zip(self.tables, more)
+            ]
+        raw = logits(self.model, numbers, self.tables).astype(float)
+        cut = self.model["cut"][language(numbers, np.array(self.words.hints))]
+        return sigmoid(raw - cut + np.log(CUT / (1 - CUT)))
+
+
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; 0.7 is the calibrated threshold of the text's language."""
     def run(batches):
-        words, tables = Words(), None
+        scorer = Scorer(model)
         for batch in batches:
             for part, texts in chunks([batch], "text", 1 << 20):
-                if model is None:
-                    p = np.zeros(len(texts))
-                else:
-                    if len(words.cells) > REMEMBERED:
-                        words.clear()
-                        tables = None
-                    numbers = [words.numbers(t) for t in texts]
-                    done = 0 if tables is None else len(tables[0][0])
-                    fresh = np.array(words.cells[done:])
-                    if len(fresh):
-                        x = model["e"][fresh].mean(axis=1)
-                        if not done:
-                            x[0] = 0.0
-                        more = word_tables(model, x)
-                        tables = more if tables is None else [
-                            [np.concatenate(p) for p in zip(old, new)] for old, new in zip(tables, more)
-                        ]
-                    raw = logits(model, numbers, tables).astype(float)
-                    cut = model["cut"][language(numbers, np.array(words.hints))]
-                    p = sigmoid(raw - cut + np.log(CUT / (1 - CUT)))
+                p = scorer(texts)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= CUT).astype(np.int32)),
                 ], ["doc_id", "held_out", "score", "predicted"])
@@ -278,6 +288,17 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The documents below the threshold, all their columns; a pure filter of rows."""
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            for part, texts in chunks([batch], "text", 1 << 20):
+                yield part.filter(pa.array(scorer(texts) < CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

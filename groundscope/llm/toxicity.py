@@ -112,10 +112,12 @@ def maxima(model: dict, tables: list[np.ndarray], line: np.ndarray, starts: np.n
         value = tables[k][0][line[:n]]
         for j in range(1, span):
             value = value + tables[k][j][line[j : n + j]]
+        sizes = np.diff(np.concatenate([starts, [n]]))
+        for j in range(1, span):  # a filter that starts in the last gaps would reach into the next text
+            value[starts + sizes - j] = -np.inf
         best = np.maximum.reduceat(value, starts, axis=0)
         top.append(best)
         if places:
-            sizes = np.diff(np.concatenate([starts, [n]]))
             hit = value == np.repeat(best, sizes, axis=0)
             at = np.where(hit, np.arange(n)[:, None], n)
             where.append(np.minimum.reduceat(at, starts, axis=0))

@@ -1,0 +1,65 @@
+import pytest
+
+from groundscope.llm import html_text
+from groundscope.llm.html_text import extract
+
+CASES = [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"),
+    ("<p>a\n b<p>c &lt;d&gt; &#233;&nbsp;x &bogus;", "a b\n\nc <d> é x &bogus;"),
+    ("<html><head><title>T</title><style>p{}</style></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>H</h1><p>one <b>two</b>"
+     " th<i>ree</i>.<br>four</p><script>var a='</p>';</script><!-- no --></article><footer>f</footer></body></html>", "H\n\none two three. four"),
+    ("<main><header><h1>Kept</h1></header><p>t</p><aside>no</aside><form><p>no</p></form></main>", "Kept\n\nt"),
+    ("<article><p>a</p><div class=comments><p>no</p></div><div id='cookie-notice'>no</div><div class='comment-free'>no?</div></article>", "a"),
+    ("<body><header>no</header><div class='content'><p>yes</p><ul><li>1<li>2</ul></div><div role=navigation>no</div></body>", "yes\n\n1\n\n2"),
+    ("<p>unclosed <b>bold", "unclosed bold"), ("</div></p>stray<p/>x", "stray\n\nx"), ("<p>a < b and c</p>", "a < b and c"),
+    ("<textarea><p>no</p></textarea><p>y</p><script>never closed <p>z", "y"),
+]
+
+
+@pytest.mark.parametrize("source, text", CASES)
+def test_extract(source, text):
+    assert extract(source or "") == text
+
+
+def test_site_templates(spark):
+    box = "<div><p>Read our other stories</p><p>every day</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{box}<div><p>text {i}</p></div></body>") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<body>{box}<p>other {i}</p></body>") for i in range(3)]
+    rows += [(200 + i, "http://c.example/x", "<article><p>quoted everywhere</p></article>") for i in range(15)]
+    rows += [(300, None, "<p>no url</p>"), (301, "no url", None), (301, "no url", None)]
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+    got = {r["page_id"]: r for r in html_text.main_text(pages).collect()}
+    assert got[3]["text"] == "text 3"
+    assert got[101]["text"] == "Read our other stories\n\nevery day\n\nother 1"
+    assert got[205]["text"] == "quoted everywhere" and got[300]["text"] == "no url" and got[301]["text"] == ""
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and html_text.main_text(pages).count() == len(rows)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_pages_of_the_tables(spark):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks.append("") if tag in ("p", "h1", "article") else None
+            self.blocks[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks.append("") if tag in ("p", "h1", "article") else None
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r["html"])
+        assert got[r["page_id"]] == "\n\n".join(b for b in (" ".join(b.split()) for b in parser.blocks) if b)

@@ -1,0 +1,65 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+
+from groundscope.llm import suffix_dedup as S
+from cases import no_documents, odd_documents
+
+
+def brute(texts, length):
+    counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if counts[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
+    return out
+
+
+def compare(spark, rows, length):
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), *r[1:]) for r in S.digests(spark.createDataFrame(rows, "doc_id long, text string"), length).collect())
+    wanted = brute([(t or "").encode() for _, t in rows], length)
+    assert got == sorted((-1 if d is None else d, *w) for (d, _), w in zip(rows, wanted))
+
+
+def mixed(seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdé ") for _ in range(300)) for _ in range(5)]
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            a, b = rng.randint(0, 250), rng.choice(base)
+            parts.append(b[a : a + rng.randint(1, 120)] if rng.random() < 0.7 else "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 90))))
+        rows.append((i, "".join(parts)))
+    rows += [(200, None), (201, ""), (202, "a" * 500), (203, "ab" * 100), (204, "x" * 39), (205, "x" * 40), (206, "x" * 41), (207, "twice " * 30), (207, "twice " * 30), (None, "ab" * 60)]
+    return rows
+
+
+@pytest.mark.parametrize("length, bucket", [(40, 20_000), (9, 20_000), (40, 1)])
+def test_equals_brute_force(spark, monkeypatch, length, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    compare(spark, mixed(length), length)
+
+
+def test_tables_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    compare(spark, rows, 400)
+
+
+def test_defined_results(spark):
+    docs = odd_documents(spark)
+    assert S.digests(docs).count() == 14 and S.digests(no_documents(spark)).count() == 0
+    left = S.without_repeats(docs, 20, 5)
+    assert left.columns == docs.columns
+    by = {}
+    for r in left.collect():
+        by.setdefault(r["doc_id"], []).append((r["text"], r["n_chars"]))
+    assert by[1] == [(None, None)] and by[7] == [("", 0)] and by[8] == [("", 0)] * 2 and by[6] == [("one", None)]
+    kept = S.without_repeats(docs, 20, 50)
+    assert {r["text"] for r in kept.filter("doc_id = 8").collect()} == {"The cat and the dog are in the house."}

@@ -1,18 +1,19 @@
 """Operator 6: remove repeated strings of ``LENGTH`` bytes by blockwise suffix sorting with a cover sample.
 
-Cover sample. A place of a text belongs to the sample if the hash of its ``GRAM`` bytes is the smallest of
-some ``LENGTH``-byte string around it. Two equal strings of ``LENGTH`` bytes therefore have sample places at
-the same distance from their starts: the property of a difference cover, for the strings that matter here,
-with one place in about 170 instead of one in eleven. (A periodic cover of that length needs nine places in
-a hundred and the names of all of them exceed the disk limit of the check.) Sample places are named by their
-gram; names that occur once in the corpus end there, and with them every string around them.
-
-Buckets. The strings around one sample name form a bucket. A bucket is sorted by itself: the members' bytes
-right of the place and, reversed, left of it, each with the common lengths of neighbours. Two strings that
+Cover sample. Each string of ``LENGTH`` bytes chooses a place inside it: the one of its ``GRAM``-byte grams
+with the smallest hash; of several equal ones the first, or the last if only the end of such a run lies in the
+string, so that runs of a repeated phrase are anchored at their ends. Equal strings choose the same place:
+the property of a difference cover, for the strings that matter here, with one place in about 170 bytes
+instead of one in eleven. (A periodic cover of that length needs nine places in a hundred, and the names of
+all of them exceed the disk limit of the check.) Neighbouring strings that choose one place form a row; places
+are named by their gram. Names that occur once in the corpus end there, and with them their strings.
+
+Buckets. The strings of one name form a bucket. A bucket is sorted by itself: the members' bytes right of the
+place and, reversed, left of it, each with the common lengths of neighbours. Two strings that
 start o bytes left of the place are equal if and only if their members agree in o bytes to the left and
 ``LENGTH`` - o to the right, so the ranks of the two sorted sides, cut at these depths, resolve all ties
-without comparing the strings again. Members whose whole surroundings are equal are counted before the
-shuffle; one of them represents them in the bucket. Buckets of more than ``BUCKET`` different members are
+without comparing the strings again. Members whose strings are all equal are counted before the shuffle; one
+of them represents them in the bucket. Buckets of more than ``BUCKET`` different members are
 split: their strings are hashed one by one and counted.
 
 Decisions on strings are exact on bytes inside buckets; names and surroundings are compared by 128 bits of
@@ -86,29 +87,45 @@ def sliding(values: np.ndarray, width: int, fold: np.ufunc, fill) -> np.ndarray:
     return fold(right[: n - width + 1], left[width - 1 : n])
 
 
-def cover(raw: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sample places of a text, their names, and digests of their surroundings."""
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def cover(raw: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Rows of the sample: first and last start of the strings, their place, its name, a digest of the strings."""
     k = gram_size(length)
     width = length - k + 1
     sums = prefix_hash(raw, powers)
     n = len(raw)
     names = mix((sums[k:] - sums[:-k]) * powers.down[: n - k + 1])
-    low = sliding(names, width, np.minimum, np.iinfo(np.uint64).max)
-    # A place is in the sample if it is the smallest of one of the strings that hold it.
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    best = sliding(np.concatenate([edge, low, edge]), width, np.maximum, 0)
-    places = np.flatnonzero(best == names)
-    start, end = np.maximum(places - width + 1, 0), np.minimum(places + length, n)
-    around = (sums[end] - sums[start]) * powers.down[start]
-    shape = (places - start).astype(np.uint64) * np.uint64(1 << 32) + (end - places).astype(np.uint64)
-    return places, names[places], mix(mix(around) + shape * _C2)
+    at = np.arange(len(names), dtype=np.uint64)
+    # The upper half of the hash decides, the lower half holds the place, counted from either side.
+    high = names & ~LOW
+    most = np.iinfo(np.uint64).max
+    left = (sliding(high | at, width, np.minimum, most) & LOW).astype(np.int64)
+    right = (LOW - (sliding(high | (LOW - at), width, np.minimum, most) & LOW)).astype(np.int64)
+    start = np.arange(n - length + 1)
+    place = left
+    if (right > left).any():
+        # The distance from the first of several equal grams to the next one tells which end of a run is inside.
+        order = np.argsort(high, kind="stable")
+        after = np.zeros(len(high), dtype=np.int64)
+        same = high[order[1:]] == high[order[:-1]]
+        after[order[:-1][same]] = order[1:][same]
+        gap = after[left] - left
+        place = np.where((right > left) & (left - gap < start) & (right + gap < start + width), right, left)
+    edge = np.flatnonzero(place[1:] != place[:-1]) + 1
+    first, last = np.concatenate([[0], edge]), np.concatenate([edge - 1, [n - length]])
+    place = place[first]
+    whole = (sums[last + length] - sums[first]) * powers.down[first]
+    shape = (place - first).astype(np.uint64) * np.uint64(1 << 32) + (last - first).astype(np.uint64)
+    return first, last, place, names[place], mix(mix(whole) + shape * _C2)
 
 
 def _sample(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            found, rows, held = [], [], 0
+            found, rows = [], []
             for i, text in enumerate(batch.column(2)):
                 raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 if len(raw) >= length:
@@ -116,28 +133,25 @@ def _sample(length: int) -> Callable:
                     rows.append(np.full(len(found[-1][0]), i))
             if found:
                 take = pa.array(np.concatenate(rows))
-                places, names, around = (np.concatenate(c) for c in zip(*found))
+                first, last, place, names, strings = (np.concatenate(c) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array(places.astype(np.int32)),
-                    pa.array(names.view(np.int64)), pa.array(around.view(np.int64)),
-                ], ["doc_id", "h", "place", "name", "around"])
+                    batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c.astype(np.int32)) for c in (first, last, place)),
+                    pa.array(names.view(np.int64)), pa.array(strings.view(np.int64)),
+                ], ["doc_id", "h", "first", "last", "place", "name", "strings"])
 
     return run
 
 
 def _surroundings(length: int) -> Callable:
     """The bytes left and right of the places that a bucket needs."""
-    reach = length - gram_size(length)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, h, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for p in places:
-                    if p["ship"]:
-                        a = p["place"]
-                        rows.append((doc_id, h, a, p["name"], p["hot"], raw[max(0, a - reach) : a], raw[a : a + length]))
+                    a = p["place"]
+                    rows.append((doc_id, h, a, p["name"], p["hot"], raw[p["first"] : a], raw[a : p["last"] + length]))
             types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
@@ -242,15 +256,12 @@ def _strings(length: int) -> Callable:
 
 def removed(size: int, places: list[dict], length: int) -> list[tuple[int, int]]:
     """The covered byte runs of a text, from its repeated strings."""
-    reach = length - gram_size(length)
     starts = np.zeros(size + 1, dtype=bool)
     for p in places or ():
-        a = p["place"]
         if p["starts"] is None:
-            starts[max(0, a - reach) : min(a, size - length) + 1] = True
+            starts[p["first"] : p["last"] + 1] = True
         else:
-            o = np.flatnonzero(np.unpackbits(np.frombuffer(p["starts"], dtype=np.uint8)))
-            starts[a - o] = True
+            starts[p["first"] - np.flatnonzero(np.unpackbits(np.frombuffer(p["starts"], dtype=np.uint8)))] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], starts.astype(np.int8), [0]])))
     runs: list[tuple[int, int]] = []
     for a, b in edge.reshape(-1, 2).tolist():
@@ -268,36 +279,37 @@ HASH, PLACES = "_dedup_hash", "_dedup_places"
 def mark(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with ``_dedup_places``: where repeated strings start, for ``removed``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("h"), "text")
-    sample = shelve(slim.mapInArrow(_sample(length), f"doc_id {kind}, h long, place int, name long, around long"))
-    first = F.min(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), "h", "place")).alias("first")
-    kinds = sample.groupBy("name", "around").agg(F.count("*").alias("n"), first)
-    often = kinds.groupBy("name").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = kinds.join(often, "name").select("name", "around", "n", "kinds", "first")
-    me = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), "h", "place")
-    found = shelve(sample.join(known, ["name", "around"]).select(
-        "doc_id", "h", "place", "name", (F.col("n") > 1).alias("settled"),
-        ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("first") == me))).alias("ship"), (F.col("kinds") > BUCKET).alias("hot"),
+    # One frame of texts serves both joins, so that its exchange is made once.
+    full = docs.withColumn(HASH, F.xxhash64("text", F.lit(1)))
+    slim = full.select("doc_id", F.col(HASH).alias("h"), "text")
+    sample = shelve(slim.mapInArrow(_sample(length), f"doc_id {kind}, h long, first int, last int, place int, name long, strings long"))
+    # Most names occur once and end here; names are counted before they are shuffled.
+    often = sample.groupBy("name").agg(F.count("*").alias("total")).filter("total > 1").select("name")
+    again = shelve(sample.join(often, "name", "left_semi"))
+    mine = F.xxhash64("doc_id", "h", "first", "last")
+    equal = again.groupBy("name", "strings").agg(F.count("*").alias("n"), F.min(mine).alias("one"))
+    kinds = again.select("name", "strings").distinct().groupBy("name").agg(F.count("*").alias("kinds"))
+    known = equal.join(kinds, "name")
+    found = shelve(again.join(known, ["name", "strings"]).select(
+        "doc_id", "h", "first", "last", "place", "name", (F.col("n") > 1).alias("settled"),
+        ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == mine))).alias("ship"), (F.col("kinds") > BUCKET).alias("hot"),
     ))
-    text_side = slim.alias("t")
+    needed = found.filter("ship").groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last", "place", "name", "hot")).alias("places"))
 
-    def on(other: str):
-        return F.col("t.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("t.h") == F.col(f"{other}.h"))
+    def with_texts(side: DataFrame, how: str) -> DataFrame:
+        return full.join(side.hint("merge"), full["doc_id"].eqNullSafe(side["doc_id"]) & (full[HASH] == side["h"]), how)
 
-    needed = found.filter("ship").groupBy("doc_id", "h").agg(F.collect_set(F.struct("place", "name", "ship", "hot")).alias("places"))
-    shipped = text_side.join(needed.alias("s"), on("s")).select("t.doc_id", "t.h", "t.text", "s.places").mapInArrow(
+    shipped = with_texts(needed, "inner").select(full["doc_id"], full[HASH], full["text"], needed["places"]).mapInArrow(
         _surroundings(length), f"doc_id {kind}, h long, place int, name long, hot boolean, left binary, right binary"
     )
     bucketed = shipped.filter("not hot").repartition("name").sortWithinPartitions("name")
-    starts = f"doc_id {kind}, h long, place int, starts binary"
-    solved = bucketed.mapInArrow(_sort_buckets(length), starts)
+    solved = bucketed.mapInArrow(_sort_buckets(length), f"doc_id {kind}, h long, place int, starts binary")
     if found.filter("ship and hot").limit(1).count():
         solved = solved.unionByName(_split(shelve(shipped.filter("hot")), length, kind))
-    settled = found.filter("settled").select("doc_id", "h", "place", F.lit(None).cast("binary").alias("starts"))
-    places = settled.unionByName(solved).groupBy("doc_id", "h").agg(F.collect_set(F.struct("place", "starts")).alias(PLACES))
-    full = docs.withColumn(HASH, F.xxhash64("text", F.lit(1)))
-    same = full["doc_id"].eqNullSafe(places["doc_id"]) & (full[HASH] == places["h"])
-    return full.join(places, same, "left").select(*[full[c] for c in docs.columns], places[PLACES])
+    solved = solved.select("doc_id", "h", F.col("place").alias("first"), F.lit(-1).alias("last"), "starts")
+    settled = found.filter("settled").select("doc_id", "h", "first", "last", F.lit(None).cast("binary").alias("starts"))
+    places = settled.unionByName(solved).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last", "starts")).alias(PLACES))
+    return with_texts(places, "left").select(*[full[c] for c in docs.columns], places[PLACES])
 
 
 def _split(shipped: DataFrame, length: int, kind: str) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ RECORD_INSTRUCTION = (
 
 # Signature shape of near-duplicate search: bands of minimum hashes over word runs.
 BANDS, BAND_ROWS, SHINGLE_WORDS = 16, 3, 3
+# Texts of one block when the members of a candidate component are compared.
+BLOCK_TEXTS = 200
 
 
 def seeded(seed: int, *parts) -> Column:
@@ -63,14 +66,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _ties(unit: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Ties between the texts of two blocks that hold each class of linked texts together."""
+    ids, sets = unit["rep"].tolist(), [set(r) for r in unit["runs"]]
+    found, left = [], set(range(len(ids)))
+    while left:
+        todo = [left.pop()]
+        while todo:
+            a = todo.pop()
+            near = [b for b in left if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+            left.difference_update(near)
+            todo += near
+            found += [(ids[a], ids[b]) for b in near]
+    return pd.DataFrame(found, columns=["leader", "rep"])
+
+
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Groups of equal or nearly equal texts: (id, group_id), group_id = smallest id of the group.
 
     Definition: texts with the same key form one text. Distinct texts are hashed into bands of minimum
-    hashes over their word runs. Inside a bucket the smallest id leads; texts that reach the Jaccard
-    threshold with it are linked to it, the others elect the next leader, until the bucket is used up.
-    Groups are the connected components of the links. A bucket yields one link per member and leader,
-    never all pairs, and every text is compared whole.
+    hashes over their word runs. Texts that share a bucket are tied to its smallest id; the components of
+    these ties hold all candidate pairs. Components are cut into blocks of texts, each pair of blocks compares
+    all its texts whole and returns ties along a search tree of the pairs that reach the Jaccard threshold,
+    never the pairs. Groups are the components of these links.
     """
     keyed = texts.select("id", text.question_key("text").alias("key"))
     exact = keyed.groupBy(F.sha2("key", 256).alias("digest")).agg(F.min("id").alias("rep"), F.any_value("key").alias("key"))
@@ -86,27 +104,18 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame
         F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)
     ])
     members = minima.select("rep", F.posexplode(bands).alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    remaining = cut_lineage(members.join(shared.drop("n"), ["band", "bucket"]))
-    links = None
-    while not remaining.isEmpty():
-        leaders = remaining.groupBy("band", "bucket").agg(F.min("rep").alias("leader"))
-        followers = remaining.join(leaders, ["band", "bucket"]).filter("rep <> leader")
-        pairs = followers.select("leader", "rep").distinct()
-        left = sets.select(F.col("rep").alias("leader"), F.col("runs").alias("leader_runs"))
-        close = cut_lineage(
-            pairs.join(sets, "rep").join(left, "leader")
-            .filter(text.jaccard(F.col("runs"), F.col("leader_runs")) >= threshold)
-            .select("leader", "rep")
-        )
-        links = close if links is None else links.union(close)
-        remaining = cut_lineage(followers.join(close, ["leader", "rep"], "left_anti").select("rep", "band", "bucket"))
+    ties = members.join(members.groupBy("band", "bucket").agg(F.min("rep").alias("leader")), ["band", "bucket"]).filter("rep <> leader")
+    parts = components(ties.select("leader", "rep").distinct(), "leader", "rep").withColumnRenamed("label", "part")
+    blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    units = parts.join(blocks, "part").join(sets, F.col("node") == F.col("rep")).select(
+        "part", "rep", "runs", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    ).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    kind = dict(texts.dtypes)["id"]
+    links = cut_lineage(units.groupBy("part", "i", "j").applyInPandas(lambda unit: _ties(unit, threshold), f"leader {kind}, rep {kind}"))
     grouped = exact.select("digest", "rep")
-    if links is not None:
-        labels = components(links, "leader", "rep")
-        grouped = grouped.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "digest", F.coalesce("label", "rep").alias("rep")
-        )
+    labels = components(links, "leader", "rep")
+    grouped = grouped.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("rep"))
     return keyed.select("id", F.sha2("key", 256).alias("digest")).join(grouped, "digest").select(
         "id", F.col("rep").alias("group_id")
     )
@@ -204,15 +213,16 @@ def assign_roles(rows: DataFrame, database: str, roles: Sequence[tuple[str, int]
 
 
 def quota_fill(
-    rows: DataFrame, keys: Sequence[str], quotas: DataFrame, fits: Column, seed: int, identity: str, largest: int
+    rows: DataFrame, keys: Sequence[str], quotas: DataFrame, fits: Column, seed: int, identity: str
 ) -> tuple[DataFrame, DataFrame]:
     """Accept fitting rows in digest order until each stratum's quota is met.
 
     Returns the accepted rows and a report per stratum: quota, accepted, considered, overlength,
-    coverage. ``largest`` bounds every quota. Only the accepted rows are ranked; the rows looked at on
+    coverage. Only the accepted rows are ranked; the rows looked at on
     the way are counted by comparing digests with the last accepted one.
     """
     hashed = rows.withColumn("_h", seeded(seed, identity)).withColumn("_fits", fits)
+    largest = quotas.agg(F.max("quota")).first()[0] or 0
     accepted = (
         top_k(hashed.filter("_fits"), keys, [F.col("_h"), F.col(identity)], largest, rank="accept_rank")
         .join(quotas, list(keys))

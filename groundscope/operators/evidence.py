@@ -32,6 +32,7 @@ MODES = {
     "literals": ["literal_value"], "descriptions": ["column_semantics", "encoded_value"], "normalization": ["normalization", "numeric_or_storage"],
     "all": ["literal_value", "normalization", "numeric_or_storage", "column_semantics", "encoded_value"],
 }
+JOIN_MODES = ("descriptions", "all")
 FACT_LIMIT, BYTE_BUDGET, MINIMUM_CONFIDENCE, PROBE_LIMIT = 12, 4096, 0.70, 4
 NUMERIC_WORDS = [
     "percent", "percentage", "average", "ratio", "rate", "total", "sum", "less", "over", "more", "least", "most", "year", "date", "time",
@@ -242,9 +243,14 @@ def assemble(
     gathered: DataFrame, fks: DataFrame, mode: str = "all", byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT,
     minimum: float = MINIMUM_CONFIDENCE,
 ) -> DataFrame:
-    """Route, add joins, floor, suppress, deduplicate, order and pack. One row per kept fact."""
+    """Route, add joins, floor, suppress, deduplicate, order and pack. One row per kept fact.
+
+    Join facts belong to the routes that describe the schema.
+    """
     facts = gathered.filter(F.col("type").isin(MODES[mode]))
-    candidates = suppress(facts.unionByName(join_facts(facts, fks)).filter(F.col("confidence") >= minimum))
+    if mode in JOIN_MODES:
+        facts = facts.unionByName(join_facts(facts, fks))
+    candidates = suppress(facts.filter(F.col("confidence") >= minimum))
     identity = [F.lower("table_name"), F.lower(F.coalesce("column_name", F.lit(""))), text.normalize(F.coalesce("db_value", F.lit(""))), F.coalesce("transformation", F.lit("\u0000"))]
     order = fact_order()
     keyed = candidates.withColumns({f"_k{i}": c for i, c in enumerate(identity)}).withColumns({f"_s{i}": c for i, c in enumerate(order)})
@@ -256,11 +262,13 @@ def assemble(
     return greedy_pack(lines, ["question_id"], fact_order(), "bytes", byte_budget, limit=fact_limit, separator=1)
 
 
-def packet_identity(packed: DataFrame, mode: str) -> DataFrame:
-    """One digest per question over its packed lines in order."""
+def packet_identity(packed: DataFrame, mode: str, knowledge: str = "") -> DataFrame:
+    """One digest per question over the question, the knowledge it was drawn from and its packed lines in order."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda p: p["line"])
     return packed.groupBy("question_id").agg(lines.alias("lines")).select(
-        "question_id", F.array_join("lines", "\n").alias("text"), F.sha2(F.to_json(F.struct(F.lit(mode).alias("mode"), "lines")), 256).alias("identity")
+        "question_id", F.array_join("lines", "\n").alias("text"), F.sha2(
+            F.to_json(F.struct(F.lit(mode).alias("mode"), "question_id", F.lit(knowledge).alias("knowledge"), "lines")), 256
+        ).alias("identity")
     )
 
 
@@ -294,7 +302,11 @@ def scope(packed: DataFrame, byte_budget: int = BYTE_BUDGET) -> DataFrame:
         "evidence_id": F.concat(F.lit("E"), F.col("position").cast("string"), F.lit("-"), digest), "allowed": allowed, "forbidden": forbidden,
         "instruction": instruction,
     })
-    escaped = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    def escaped(name: str) -> Column:
+        """The JSON form of a text: control characters and everything beyond ASCII as code points."""
+        listed = F.to_json(F.array(name), {"writeNonAsciiCharacterAsCodePoint": "true"})
+        return F.when(F.col(name).isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+
     mapping = F.concat(place, F.coalesce(F.concat(F.lit(" = "), escaped("db_value")), F.lit("")))
     section = F.concat(
         F.lit("["), "evidence_id", F.lit("] type="), "type", F.lit("; concept="), escaped("phrase"), F.lit("; mapping="), mapping, F.lit("; allowed="),
@@ -302,7 +314,7 @@ def scope(packed: DataFrame, byte_budget: int = BYTE_BUDGET) -> DataFrame:
     )
     sized = scoped.withColumn("section", section).withColumn("section_bytes", F.octet_length("section")).drop("bytes_used")
     ordered = sized.withColumnRenamed("position", "fact_position")
-    return prefix_pack(ordered, ["question_id"], [F.col("fact_position")], "section_bytes", byte_budget, separator=1, smallest=64)
+    return prefix_pack(ordered, ["question_id"], [F.col("fact_position")], "section_bytes", byte_budget, separator=1)
 
 
 def bounded_packet(values: DataFrame, columns: DataFrame, paths: DataFrame, byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT) -> DataFrame:

@@ -34,9 +34,12 @@ def greedy_pack(
     columns = df.columns
     keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(order)}).filter(F.col(size) <= room)
     keys = [f"_o{i}" for i in range(len(order))]
-    survivors = top_k(keyed, [*group, size], [F.col(k) for k in keys], per_size, rank="_r").filter(
+    costly = keyed if separator or limit is not None else keyed.filter(F.col(size) > 0)
+    survivors = top_k(costly, [*group, size], [F.col(k) for k in keys], per_size, rank="_r").filter(
         (F.col("_r") - 1) * F.greatest(F.col(size) + separator, F.lit(1)) <= room
     )
+    if costly is not keyed:  # rows without any cost always fit
+        survivors = survivors.unionByName(keyed.filter(F.col(size) == 0).withColumn("_r", F.lit(1)))
     row = F.struct(*keys, F.struct(*[c for c in columns if c not in group]).alias("row"))
     item_type = f"array<{_row_type(df, [c for c in columns if c not in group])}>"
 
@@ -68,16 +71,28 @@ def _row_type(df: DataFrame, columns: Sequence[str]) -> str:
     return df.select(*columns).schema.simpleString()
 
 
-def prefix_pack(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], size: str, budget: int, separator: int = 0, smallest: int = 1
-) -> DataFrame:
+def prefix_pack(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: str, budget: int, separator: int = 0) -> DataFrame:
     """B2: keep rows in order until the first one that overflows the budget.
 
-    No more than ``budget / smallest`` rows can fit, so each group is cut to that many rows by the
-    two-stage top-k before the running sum.
+    Rows with a cost are cut by the two-stage top-k before the running sum: sizes are whole numbers, so no
+    more than budget / cost of them can fit. Rows without any cost (size 0, no separator) are kept up to the
+    first overflowing row, however many they are.
     """
-    most = (budget + separator) // (smallest + separator) + 1
-    first = top_k(df, group, order, most, rank="position")
-    running = W.partitionBy(*group).orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
-    used = F.sum(F.col(size) + F.when(F.col("position") > 1, separator).otherwise(0)).over(running)
-    return first.withColumn("bytes_used", used).filter(F.col("bytes_used") <= budget)
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    keyed = df.withColumns(keys)
+    by, place = [F.col(k) for k in keys], F.struct(*keys)
+    costly = keyed if separator else keyed.filter(F.col(size) > 0)
+    most = budget // max(1, separator) + 2
+    first = top_k(costly, group, by, most, rank="_p")
+    running = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)
+    used = first.withColumn("_used", F.sum(F.col(size) + F.when(F.col("_p") > 1, separator).otherwise(0)).over(running))
+    kept = used.filter(F.col("_used") <= budget).drop("_p", "_used")
+    if costly is not keyed:
+        stop = used.filter(F.col("_used") > budget).groupBy(*group).agg(F.min(place).alias("_stop"))
+        free = keyed.filter(F.col(size) == 0).join(stop, list(group), "left").filter(F.col("_stop").isNull() | (place < F.col("_stop")))
+        kept = kept.unionByName(free.drop("_stop"))
+    ordered = W.partitionBy(*group).orderBy(*by)
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return kept.withColumn("position", F.row_number().over(ordered)).withColumn(
+        "bytes_used", F.sum(F.col(size)).over(upto) + separator * (F.col("position") - 1)
+    ).drop(*keys)

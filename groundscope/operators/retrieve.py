@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from groundscope.functions import text
 from groundscope.operators.ranking import top_k
@@ -16,60 +17,16 @@ from groundscope.operators.ranking import top_k
 WHOLE_LIMIT, SELECTED_COLUMNS, SELECTED_TABLES = 40, 32, 5
 RRF_CONSTANT = 60
 
-# Documents small enough to ride along with each query batch: 8 MB of doubles.
-RESIDENT_VALUES = 1_000_000
 BLOCK_ROWS = 4096
 
 
-def dense_ranking(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The ``k`` documents with the largest inner product per query, ties by document id.
+def dense_ranking(queries: DataFrame, documents: DataFrame, k: int | None = None) -> DataFrame:
+    """The ``k`` documents with the largest inner product per query, or all of them; ties by document id.
 
-    ``queries``: question_id, vector; ``documents``: doc_id, vector. Vectors are unit length. The size of
-    the document side is measured: a catalog-sized one (at most ``RESIDENT_VALUES`` numbers) is held by every
-    task; a larger one is cut into blocks that meet the query blocks in separate tasks.
+    ``queries``: question_id, vector; ``documents``: doc_id, vector. Vectors are unit length. Blocks of queries
+    meet blocks of documents in separate tasks; each pair of blocks returns at most ``k`` rows per query.
     """
-    measured = documents.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
-    if measured["n"] * measured["d"] <= RESIDENT_VALUES:
-        return _resident_ranking(queries, documents, k)
-    return _blocked_ranking(queries, documents, k, measured["n"])
-
-
-def _best(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k largest products per row; equal ones keep the column order."""
-    keep = np.argsort(-products, axis=1, kind="stable")[:, :k]
-    return np.repeat(np.arange(len(products)), keep.shape[1]), keep.ravel()
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
-
-
-def _resident_ranking(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """Query batches times the document matrix, whose size has been measured, inside the scan's own tasks."""
-    held = documents.select("doc_id", "vector").toPandas().sort_values("doc_id", ignore_index=True)
-    types = dict(queries.dtypes)["question_id"], dict(documents.dtypes)["doc_id"]
-    schema = f"question_id {types[0]}, doc_id {types[1]}, similarity double, rank int"
-    if held.empty:
-        return queries.sparkSession.createDataFrame([], schema)
-    matrix, names = _matrix(held["vector"]).T, held["doc_id"].to_numpy()
-
-    def score(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            products = _matrix(batch["vector"]) @ matrix
-            rows, columns = _best(products, k)
-            yield pd.DataFrame({
-                "question_id": batch["question_id"].to_numpy()[rows], "doc_id": names[columns], "similarity": products[rows, columns],
-                "rank": np.tile(np.arange(1, min(k, len(names)) + 1), len(batch)),
-            })
-
-    return queries.select("question_id", "vector").mapInPandas(score, schema)
-
-
-def _blocked_ranking(queries: DataFrame, documents: DataFrame, k: int, n_documents: int) -> DataFrame:
-    """Blocks of queries meet blocks of documents; each pair of blocks returns k rows per query."""
-    blocks = max(1, -(-n_documents // BLOCK_ROWS))
+    blocks = max(1, -(-documents.count() // BLOCK_ROWS))
     chunks = max(1, -(-queries.count() // BLOCK_ROWS))
     left = queries.withColumn("q", F.pmod(F.xxhash64("question_id"), F.lit(chunks))).withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -93,7 +50,18 @@ def _blocked_ranking(queries: DataFrame, documents: DataFrame, k: int, n_documen
     scored = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(
         score, f"question_id {types[0]}, doc_id {types[1]}, similarity double"
     )
-    return top_k(scored, ["question_id"], [F.col("similarity").desc(), F.col("doc_id")], k)
+    order = [F.col("similarity").desc(), F.col("doc_id")]
+    return _ranked(scored, order) if k is None else top_k(scored, ["question_id"], order, k)
+
+
+def _best(products: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k largest (or all) products per row; equal ones keep the column order."""
+    keep = np.argsort(-products, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(products)), keep.shape[1]), keep.ravel()
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
 def _shared_terms(questions: DataFrame, documents: DataFrame, said) -> DataFrame:
@@ -102,25 +70,23 @@ def _shared_terms(questions: DataFrame, documents: DataFrame, said) -> DataFrame
     return asked.join(spoken, "term").groupBy("question_id", "doc_id").agg(F.count("*").alias("overlap"))
 
 
-def _ranked(scored: DataFrame, order: Sequence, documents_bound: int) -> DataFrame:
-    return top_k(scored, ["question_id"], order, documents_bound)
+def _ranked(scored: DataFrame, order: Sequence) -> DataFrame:
+    """All rows of a question numbered in order: questions are many and each has at most a catalog of rows."""
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(*order)))
 
 
-def lexical_ranking(questions: DataFrame, documents: DataFrame, bound: int = 100_000) -> DataFrame:
-    """R2: by shared terms with the document text, then id; documents without a shared term are absent.
-
-    ``bound`` is at least the number of documents of a catalog.
-    """
-    return _ranked(_shared_terms(questions, documents, "text"), [F.col("overlap").desc(), F.col("doc_id")], bound)
+def lexical_ranking(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """R2: by shared terms with the document text, then id; documents without a shared term are absent."""
+    return _ranked(_shared_terms(questions, documents, "text"), [F.col("overlap").desc(), F.col("doc_id")])
 
 
-def description_ranking(questions: DataFrame, documents: DataFrame, bound: int = 100_000) -> DataFrame:
+def description_ranking(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """By shared terms with the description, then id."""
     described = documents.filter(F.length("description") > 0)
-    return _ranked(_shared_terms(questions, described, "description"), [F.col("overlap").desc(), F.col("doc_id")], bound)
+    return _ranked(_shared_terms(questions, described, "description"), [F.col("overlap").desc(), F.col("doc_id")])
 
 
-def exact_ranking(questions: DataFrame, documents: DataFrame, bound: int = 100_000) -> DataFrame:
+def exact_ranking(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents whose whole name is spoken, in catalog order.
 
     Names meet questions through their first token and are then verified as a phrase.
@@ -133,7 +99,7 @@ def exact_ranking(questions: DataFrame, documents: DataFrame, bound: int = 100_0
         "question_id", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("padded"), F.explode(F.array_distinct("tokens")).alias("term")
     )
     hits = asked.join(names, "term").filter(F.contains("padded", F.col("phrase"))).select("question_id", "doc_id", "position").distinct()
-    return _ranked(hits, [F.col("position"), F.col("doc_id")], bound)
+    return _ranked(hits, [F.col("position"), F.col("doc_id")])
 
 
 def fuse(rankings: dict[str, DataFrame]) -> DataFrame:

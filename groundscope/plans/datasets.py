@@ -112,7 +112,7 @@ def _quota(spark, sf):
     quotas = doc.select("lang").distinct().withColumn(
         "quota", F.when(F.col("lang") == "en", QUOTAS["en"]).when(F.col("lang") == "es", QUOTAS["es"]).otherwise(40)
     )
-    return dataset.quota_fill(doc, ["lang"], quotas, F.col("tokens") <= 200, SEED, "doc_id", QUOTAS["es"])
+    return dataset.quota_fill(doc, ["lang"], quotas, F.col("tokens") <= 200, SEED, "doc_id")
 
 
 QUOTA_CTE = f"""WITH d AS (SELECT doc_id, lang, len(regexp_extract_all(text, '\\S+')) AS tokens, sha256('{SEED}:' || doc_id) AS h,
@@ -158,8 +158,8 @@ def split_ranges(spark, sf):
     doc = read_table(spark, sf, "documents").select("doc_id", dataset.seeded(SEED, "doc_id").alias("h"))
     placed = hash_rank(doc, [], "h", "place", ["doc_id"])
     roles = dataset.split_ranges(placed, "place", [("reproduction", 40), ("calibration", 60), ("selection", 100)])
-    dataset.assert_disjoint(roles.filter("role IS NOT NULL"), "doc_id")
-    return roles.select("doc_id", "place", "role")
+    checked = dataset.assert_disjoint(roles.filter("role IS NOT NULL"), "doc_id").select("doc_id", "role")
+    return roles.drop("role").join(checked, "doc_id", "left").select("doc_id", "place", "role")
 
 
 @query("disjoint_groups", f"""SELECT source AS group_id, CASE WHEN place <= 12 THEN 'train' WHEN place <= 16 THEN 'validation' ELSE 'development' END AS role, n AS rows FROM

@@ -311,7 +311,7 @@ def hybrid_ranking(spark, sf):
     """Fusion with the default encoder for every part question."""
     asked, documents = inputs.part_questions(spark, sf), name_documents(spark, sf)
     dense = retrieve.dense_ranking(
-        asked.select("question_id", hashed_encoder("question").alias("vector")), documents.select("doc_id", hashed_encoder("text").alias("vector")), 64
+        asked.select("question_id", hashed_encoder("question").alias("vector")), documents.select("doc_id", hashed_encoder("text").alias("vector"))
     )
     fused = retrieve.fuse({
         "exact_identifier": retrieve.exact_ranking(asked, documents), "dense_similarity": dense, "token_overlap": retrieve.lexical_ranking(asked, documents),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,22 +49,38 @@ def load_benchmark(records: DataFrame, databases: DataFrame) -> DataFrame:
     )
 
 
-def read_descriptions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Column-description CSV files; the file stem is the table, headers are matched in lower case.
+DESCRIPTION_FIELDS = ["original_column_name", "column_name", "column_description", "value_description"]
+
+
+def _described(batches):
+    """Rows of description files, by the header of each file."""
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch["path"], batch["content"]):
+            content = bytes(content)
+            try:
+                said = content.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                said = content.decode("cp1252", "replace")
+            for row in csv.DictReader(io.StringIO(said, newline="")):
+                named = {(k or "").strip().lstrip("\ufeff").lower(): v for k, v in row.items() if k is not None}
+                rows.append((path, *((named.get(c) or "").replace("\ufeff", "").strip() for c in DESCRIPTION_FIELDS)))
+        yield pd.DataFrame(rows, columns=["path", *DESCRIPTION_FIELDS])
+
+
+def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """Column-description CSV files; the file stem is the table, columns are found by header in lower case.
 
-    A byte order mark is tolerated and unreadable lines are skipped. Other encodings are read by a second
-    call with that ``encoding`` on the files concerned.
+    Each file is read by its own header, so files may order their columns differently. A byte order mark is
+    tolerated; a file that is not UTF-8 is read as cp1252. Short rows have empty fields, none is dropped but
+    those without a column name. Files are small: one per table.
     """
-    schema = "original_column_name string, column_name string, column_description string, data_format string, value_description string"
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("encoding", encoding).option(
-        "mode", "DROPMALFORMED"
-    ).option("escape", '"').option("enforceSchema", True).csv(path)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/\\]+)\.csv$", 1)
-    clean = lambda c: text.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "﻿", ""))
-    named = rows.select(stem.alias("table_name"), *[clean(c).alias(c) for c in rows.columns])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+    named = files.mapInPandas(_described, ", ".join(f"{c} string" for c in ["path", *DESCRIPTION_FIELDS]))
     name = F.coalesce(F.nullif("original_column_name", F.lit("")), F.nullif("column_name", F.lit("")))
+    stem = F.regexp_extract("path", r"([^/\\]+)\.csv$", 1)
     return named.withColumn("_name", name).filter("_name IS NOT NULL").select(
-        F.lower("table_name").alias("table_name"), F.lower("_name").alias("column_name"), F.col("column_name").alias("display_name"),
+        F.lower(stem).alias("table_name"), F.lower("_name").alias("column_name"), F.col("column_name").alias("display_name"),
         F.col("column_description").alias("description"), "value_description",
     )
 

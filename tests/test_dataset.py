@@ -100,3 +100,18 @@ def test_locked_roles_and_unknown_paths_are_refused(spark):
     contents = spark.createDataFrame([("/b/x.db", "f")], "path string, fingerprint string")
     with pytest.raises(Exception, match="unknown file path"):
         integrity.portable_fingerprint(records, "path", contents, "r").collect()
+
+
+def test_chains_of_near_copies_stay_whole(spark):
+    import random
+
+    rng, texts = random.Random(5), []
+    for n in range(20):
+        words = [f"c{n}w{i}" for i in range(40)]
+        first, second = words[:], words[:]
+        first[0], second[-1] = "x", "y"
+        texts += [(10 * n, " ".join(first)), (10 * n + 1, " ".join(words)), (10 * n + 2, " ".join(second))]
+    rng.shuffle(texts)
+    frame = spark.createDataFrame(texts, "id long, text string")
+    got = {r["id"]: r["group_id"] for r in dataset.near_duplicate_groups(frame, 0.9).collect()}
+    assert all(got[i] == i // 10 * 10 for i, _ in texts)

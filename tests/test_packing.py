@@ -63,9 +63,8 @@ def test_blocked_dense_ranking_equals_brute_force(spark, monkeypatch):
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(docs)], "doc_id int, vector array<double>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "question_id int, vector array<double>")
     expected = {i: np.argsort(-(docs @ v), kind="stable")[:5].tolist() for i, v in enumerate(asked)}
-    for resident in (1_000_000, 0):
-        monkeypatch.setattr(retrieve, "RESIDENT_VALUES", resident)
-        monkeypatch.setattr(retrieve, "BLOCK_ROWS", 16)
+    for block in (4096, 16):
+        monkeypatch.setattr(retrieve, "BLOCK_ROWS", block)
         got = {}
         for r in retrieve.dense_ranking(q, d, 5).orderBy("question_id", "rank").collect():
             got.setdefault(r["question_id"], []).append(r["doc_id"])
@@ -86,3 +85,18 @@ def test_bootstrap_is_deterministic_and_brackets(spark):
     assert first == second and first["low"] <= first["delta"] <= first["high"] and first["groups"] == 9
     case = stats.case_bootstrap(df, "id", F.col("r").cast("int"), 100).first()
     assert case["low"] <= case["delta"] <= case["high"]
+
+
+def test_rows_without_cost_are_never_cut(spark):
+    rows = [(0, i, 0) for i in range(30)] + [(0, 30, 5), (0, 31, 6), (0, 32, 0)]
+    df = spark.createDataFrame(rows, "g int, i int, size int")
+    got = packing.prefix_pack(df, ["g"], [F.col("i")], "size", 10).collect()
+    assert sorted((r["i"], r["position"], r["bytes_used"]) for r in got) == [*((i, i + 1, 0) for i in range(30)), (30, 31, 5)]
+    kept = packing.greedy_pack(df, ["g"], [F.col("i")], "size", 10).collect()
+    assert sorted(r["i"] for r in kept) == [*range(31), 32]
+
+
+def test_rows_of_size_zero_pay_the_separator(spark):
+    df = spark.createDataFrame([(0, i, 0) for i in range(30)], "g int, i int, size int")
+    got = packing.prefix_pack(df, ["g"], [F.col("i")], "size", 10, separator=1).collect()
+    assert sorted(r["i"] for r in got) == list(range(11)) and max(r["bytes_used"] for r in got) == 10

@@ -76,3 +76,11 @@ def test_capture_resumes(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"case_id": f"c{n}", "mode": "m", "run_id": "r", "status": "completed"}) + "\n")
         capture(spark, arriving, captured, state).awaitTermination()
     assert sorted(r["case_id"] for r in spark.read.parquet(captured).collect()) == ["c0", "c1"]
+
+
+def test_descriptions_by_header_and_encoding(spark, tmp_path):
+    (tmp_path / "one.csv").write_bytes("﻿original_column_name,column_name,column_description,data_format,value_description\nKind,school kind,what,text,PRI means private\n".encode())
+    (tmp_path / "two.csv").write_bytes("Value_Description,original_column_name,column_description\ncafé,Town,where\n".encode("cp1252"))
+    rows = {r["table_name"]: r for r in benchmark.read_descriptions(spark, str(tmp_path)).collect()}
+    assert (rows["one"]["column_name"], rows["one"]["display_name"], rows["one"]["description"]) == ("kind", "school kind", "what")
+    assert (rows["two"]["column_name"], rows["two"]["description"], rows["two"]["value_description"]) == ("town", "where", "café")

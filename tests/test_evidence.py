@@ -7,7 +7,7 @@ from groundscope.operators import catalog, evidence, match, metrics, probe, prof
 from groundscope.sources.tables import catalog_columns, catalog_fks
 
 
-def packet(spark, tables, keys, question, descriptions=None, fks=()):
+def packet(spark, tables, keys, question, descriptions=None, fks=(), mode="all"):
     columns = catalog_columns(spark, tables, keys)
     notes = None
     if descriptions:
@@ -24,7 +24,23 @@ def packet(spark, tables, keys, question, descriptions=None, fks=()):
         evidence.storage_facts(asked, described, relevance), evidence.semantics_facts(described, relevance), evidence.encoded_facts(asked, index, described),
     ])
     edges = catalog_fks(spark, list(fks))
-    return evidence.assemble(facts, edges), counts, edges
+    return evidence.assemble(facts, edges, mode), counts, edges
+
+
+@pytest.mark.parametrize("mode, joins", [("literals", False), ("normalization", False), ("descriptions", True), ("all", True)])
+def test_join_facts_belong_to_described_routes(spark, mode, joins):
+    fields = {f: None for f in evidence.FACT_COLUMNS} | {"question_id": "q", "phrase": "kind", "confidence": 0.9, "column_relevance": 1}
+    rows = []
+    for name in ("parent", "child"):
+        for kind in ("literal_value", "column_semantics", "normalization"):
+            rows.append({**fields, "type": kind, "table_name": name, "column_name": "kind", "db_value": "PRI" if kind == "literal_value" else None, "transformation": "t"})
+    kinds = {"confidence": "double", "column_relevance": "long", "target_table": "string"}
+    facts = spark.createDataFrame([tuple(r[c] for c in evidence.FACT_COLUMNS) for r in rows], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in evidence.FACT_COLUMNS))
+    edges = catalog_fks(spark, [("child", "parent_id", "parent", "id")])
+    packed = evidence.assemble(facts, edges, mode)
+    assert bool(packed.filter("type = 'join_relationship'").count()) == joins
+    identities = {r["identity"] for r in evidence.packet_identity(packed.unionByName(packed.withColumn("question_id", F.lit("other"))), mode).collect()}
+    assert len(identities) == 2
 
 
 def test_encoded_values_and_seasons(spark):

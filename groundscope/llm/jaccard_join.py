@@ -201,7 +201,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         parts.join(sizes, "part").join(nodes.drop("trees"), "node")
         .select("part", "blocks", "node", "copies", "one.doc_id", "one.h", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     )
-    wanted = placed.alias("p")
+    # Always a merge join: the plan is the same at every size, and neither side has a bounded size.
+    wanted = placed.alias("p").hint("merge")
     texts = slim.alias("t").join(
         wanted, F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.h") == F.col("p.h"))
     ).select("p.part", "p.blocks", "p.node", "p.copies", "p.block", "t.text")

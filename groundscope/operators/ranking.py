@@ -43,10 +43,11 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, rank_of, out:
     """The exact value at a one-based rank per key; ``rank_of`` maps the group size to the rank.
 
     A histogram over monotone buckets is combined map-side and locates the one bucket that holds the
-    rank. Only the rows of that bucket are read again, counted by distinct value and accumulated.
+    rank. Only the rows of that bucket are read again, counted by distinct value and accumulated. The value
+    keeps its type; only the bucket is found by its double.
     """
     rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v"), _bucket(F.col(value).cast("double")).alias("_b")
+        *keys, F.col(value).alias("_v"), _bucket(F.col(value).cast("double")).alias("_b")
     )
     histogram = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)

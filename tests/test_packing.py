@@ -100,3 +100,9 @@ def test_rows_of_size_zero_pay_the_separator(spark):
     df = spark.createDataFrame([(0, i, 0) for i in range(30)], "g int, i int, size int")
     got = packing.prefix_pack(df, ["g"], [F.col("i")], "size", 10, separator=1).collect()
     assert sorted(r["i"] for r in got) == list(range(11)) and max(r["bytes_used"] for r in got) == 10
+
+
+def test_percentiles_keep_long_values(spark):
+    base = 1 << 60
+    df = spark.createDataFrame([(0, base + i) for i in range(100)], "k int, v long")
+    assert stats.p95_nearest(df, ["k"], "v", "p").first()["p"] == base + 94

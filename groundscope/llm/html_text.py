@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundscope.llm.common import stable, table
+from groundscope.llm.common import shelve, stable, table
 from groundscope.llm.registry import query
 
 MANY, SHARE = 8, 0.2
@@ -232,7 +232,8 @@ def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataF
 
 def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    known = templates(pages, many, share)
+    # Written first: its measured size decides on the join, and a frequent host on the side of the pages can be split.
+    known = shelve(templates(pages, many, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

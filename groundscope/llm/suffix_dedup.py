@@ -284,12 +284,13 @@ def mark(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     slim = full.select("doc_id", F.col(HASH).alias("h"), "text")
     sample = shelve(slim.mapInArrow(_sample(length), f"doc_id {kind}, h long, first int, last int, place int, name long, strings long"))
     # Most names occur once and end here; names are counted before they are shuffled.
-    often = sample.groupBy("name").agg(F.count("*").alias("total")).filter("total > 1").select("name")
+    # Written first, so that a very frequent name on the other side of the join can be split.
+    often = shelve(sample.groupBy("name").agg(F.count("*").alias("total")).filter("total > 1").select("name"))
     again = shelve(sample.join(often, "name", "left_semi"))
     mine = F.xxhash64("doc_id", "h", "first", "last")
     equal = again.groupBy("name", "strings").agg(F.count("*").alias("n"), F.min(mine).alias("one"))
     kinds = again.select("name", "strings").distinct().groupBy("name").agg(F.count("*").alias("kinds"))
-    known = equal.join(kinds, "name")
+    known = shelve(equal.join(kinds, "name"))
     found = shelve(again.join(known, ["name", "strings"]).select(
         "doc_id", "h", "first", "last", "place", "name", (F.col("n") > 1).alias("settled"),
         ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == mine))).alias("ship"), (F.col("kinds") > BUCKET).alias("hot"),

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -66,17 +67,21 @@ class Words:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.cells: list[list[int]] = [[0] * PIECES]
+        self.cells = array("i", [0] * PIECES)
         self.hints: list[int] = [len(FUNCTION_WORDS)]
 
     def numbers(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
         for w in set(words).difference(self.known):
-            self.known[w] = len(self.cells)
-            self.cells.append(pieces(w))
+            self.known[w] = len(self.hints)
+            self.cells.extend(pieces(w))
             self.hints.append(_HINT.get(w, len(FUNCTION_WORDS)))
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
 
+    def table(self, done: int = 0) -> np.ndarray:
+        """The cells of the words from number ``done`` on, one row each."""
+        return np.array(self.cells[done * PIECES :], dtype=np.int32).reshape(-1, PIECES)
+
 
 def language(numbers: list[np.ndarray], hints: np.ndarray) -> np.ndarray:
     """Index into LANGS: most function words, the first at a tie, 'other' without any."""
@@ -227,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     frame = frame.sort_values(["label", "words"], kind="stable").reset_index(drop=True)
     words = Words()
     numbers = [words.numbers(w) for w in frame["words"]]
-    cells, hints, y = np.array(words.cells), np.array(words.hints), frame["label"].to_numpy(dtype=float)
+    cells, hints, y = words.table(), np.array(words.hints), frame["label"].to_numpy(dtype=float)
     spare = np.random.default_rng(5).random(len(y)) < 1 / 3
     model = train(cells, [n for n, s in zip(numbers, spare) if not s], y[~spare])
     tables = word_tables(model, vectors(model, cells))
@@ -255,12 +260,12 @@ class Scorer:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        if len(self.words.cells) > REMEMBERED:
+        if len(self.words.hints) > REMEMBERED:
             self.words.clear()
             self.tables = None
         numbers = [self.words.numbers(t) for t in texts]
         done = 0 if self.tables is None else len(self.tables[0][0])
-        fresh = np.array(self.words.cells[done:])
+        fresh = self.words.table(done)
         if len(fresh):
             x = self.model["e"][fresh].mean(axis=1)
             if not done:

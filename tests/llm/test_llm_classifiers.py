@@ -81,7 +81,7 @@ def test_toxicity_table_of_words_equals_filters():
     model = {"e": rng.normal(size=(toxicity.CELLS, toxicity.DIM)), "b": rng.normal(size=24)}
     for span in toxicity.SPANS:
         model[f"f{span}"] = rng.normal(size=(span, toxicity.DIM, toxicity.FILTERS))
-    x = toxicity.vectors(model, np.array(words.cells))
+    x = toxicity.vectors(model, words.table())
     top = toxicity.maxima(model, toxicity.word_tables(model, x), *toxicity.layout(numbers))[0]
     for text, got in zip(numbers, top):
         padded = np.vstack([x[text], np.zeros((3, toxicity.DIM))])

@@ -8,16 +8,16 @@ comments by tag, role, class or id) is deleted as well. If a page marks an artic
 taken from there only. Text blocks of an article are never taken for template: an article's sentence may be
 quoted on many pages.
 
-Template means: on at least ``MANY`` pages of the host and on at least ``SHARE`` of them. A host can thus have
-at most as many templates as a page has elements, divided by ``SHARE``, however large it is; each page gets
-its host's list by one join on the host, whose large side is the pages.
+Template means: on at least ``MANY`` different pages of the host, however large the host is. The digests of
+each different page are written once; those that recur are found by a join on host and digest and gathered
+per page, so that a page carries only what it holds itself.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by an empty line.
 
 Defined results: null or empty html gives the empty text; unclosed and stray tags are tolerated; broken
-references stay as they are; pages without url form a host of their own; equal pages count as pages each;
-an empty table gives no rows; only ``page_id``, ``url`` and ``html`` are read.
+references stay as they are; pages without url form a host of their own; equal pages of a host count as one
+page; an empty table gives no rows; only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from groundscope.llm.common import shelve, stable, table
 from groundscope.llm.registry import query
 
-MANY, SHARE = 8, 0.2
+MANY = 8
 #: Comments, declarations, raw-text elements with their content, and tags.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -211,29 +211,31 @@ def host(url: Column) -> Column:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, values = [], []
-        for i, source in enumerate(batch.column(1)):
-            found = {value for value, _ in subtrees(source.as_py() or "")[1].values()}
-            rows += [i] * len(found)
-            values += sorted(found)
+        values = [sorted({value for value, _ in subtrees(source.as_py() or "")[1].values()}) for source in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(values, pa.int64())], ["host", "digest"]
+            [batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64()))], ["site", "page", "digests"]
         )
 
 
-def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """(host, templates): digests of the subtrees that recur on many pages of the host."""
-    rows = pages.select(host(F.col("url")).alias("host"), "html")
-    counts = rows.mapInArrow(_digests, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    kept = counts.filter(F.col("n") >= many).join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
-    return kept.groupBy("host").agg(F.collect_list("digest").alias("templates"))
+def keyed(pages: DataFrame) -> DataFrame:
+    """The pages with ``site`` and ``page``, digests of the host and of the source; equal pages of a host share both."""
+    return pages.select("page_id", "url", "html", F.xxhash64(host(F.col("url"))).alias("site"), F.xxhash64("html").alias("page"))
 
 
-def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+def templates(rows: DataFrame, many: int = MANY) -> DataFrame:
+    """(site, page, templates): the digests of a page's own subtrees that recur on many different pages of its host."""
+    every = rows.select("site", "page", "html").mapInArrow(_digests, "site long, page long, digests array<long>")
+    own = shelve(every.dropDuplicates(["site", "page"])).select("site", "page", F.explode("digests").alias("digest"))
+    # Written first, so that a very frequent digest on the other side of the join can be split.
+    often = shelve(own.groupBy("site", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= many).select("site", "digest"))
+    return own.join(often, ["site", "digest"], "left_semi").groupBy("site", "page").agg(F.collect_list("digest").alias("templates"))
+
+
+def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    # Written first: its measured size decides on the join, and a frequent host on the side of the pages can be split.
-    known = shelve(templates(pages, many, share))
+    rows = keyed(pages)
+    # Written first: its measured size decides on the join, and a frequent page on the other side can be split.
+    known = shelve(templates(rows, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,9 +248,8 @@ def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataF
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "templates").mapInArrow(
+    return rows.join(known, ["site", "page"], "left").select("page_id", "url", "html", "templates").mapInArrow(
         run, f"page_id {kind}, url string, text string, n_chars long"
     )
 

@@ -36,6 +36,15 @@ def test_site_templates(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_templates_of_a_large_host(spark):
+    box = "<div><p>Offices are closed on Monday</p></div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{box if i < 15 else ''}<div><p>text {i}</p></div></body>") for i in range(200)]
+    rows += [(300 + i, f"http://b.example/{i}", "<body><div><p>one page, fetched often</p></div></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}" for i in range(200))
+    assert all(got[300 + i] == "one page, fetched often" for i in range(20))
+
+
 def test_pages_of_the_tables(spark):
     from html.parser import HTMLParser
 

@@ -65,10 +65,10 @@ ARTICLE = frozenset(["article", "main"])
 
 
 class Node:
-    __slots__ = ("tag", "mark", "items", "dropped")
+    __slots__ = ("tag", "mark", "items", "dropped", "inside")
 
     def __init__(self, tag: str, mark: str = "", dropped: bool = False):
-        self.tag, self.mark, self.items, self.dropped = tag, mark, [], dropped
+        self.tag, self.mark, self.items, self.dropped, self.inside = tag, mark, [], dropped, False
 
 
 def _opened(tag: str, rest: str, inside: bool) -> Node:
@@ -91,8 +91,23 @@ def _opened(tag: str, rest: str, inside: bool) -> Node:
 
 
 def parse(source: str) -> Node:
+    return parsed(source)[0]
+
+
+def parsed(source: str) -> tuple[Node, list[Node]]:
+    """The tree of a page, and its nodes in page order, the root first. Every step takes bounded time at any depth."""
     root = Node("#root")
-    stack, articles, at = [root], 0, 0
+    stack, nodes, articles, at = [root], [root], 0, 0
+    near: list[int] = [0]  # for each open element, the place of the innermost open block
+    opened: dict[str, list[int]] = {}  # the places of the open elements of a tag
+
+    def close(i: int) -> int:
+        for n in stack[i:]:
+            opened[n.tag].pop()
+        gone = sum(n.tag in ARTICLE for n in stack[i:])
+        del stack[i:], near[i:]
+        return gone
+
     for m in TOKEN.finditer(source):
         if m.start() > at:
             stack[-1].items.append(source[at : m.start()])
@@ -102,83 +117,94 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m.group("end"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(n.tag in ARTICLE for n in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end does not close blocks
+            # An inline end does not close blocks.
+            if opened.get(tag) and (tag in BLOCK or near[-1] <= opened[tag][-1]):
+                articles -= close(opened[tag][-1])
             continue
-        if tag in BLOCK:
-            ends = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag in BLOCK and near[-1] and (stack[near[-1]].tag == "p" or stack[near[-1]].tag in CLOSES.get(tag, ())):
+            articles -= close(near[-1])
         node = _opened(tag, m.group("rest"), articles > 0)
+        node.inside = articles > 0 or tag in ARTICLE
         stack[-1].items.append(node)
+        nodes.append(node)
         if tag not in VOID and not m.group("rest").endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
+            near.append(len(stack) if tag in BLOCK else near[-1])
             stack.append(node)
             articles += tag in ARTICLE
     if at < len(source):
         stack[-1].items.append(source[at:])
-    return root
+    return root, nodes
 
 
-def digest(node: Node, found: dict[int, tuple[int, Node]], inside: bool) -> int:
-    """Digest of a subtree; ``found`` gets those that may be template."""
-    inside = inside or node.tag in ARTICLE
-    parts = [node.tag, node.mark]
-    for item in node.items:
-        if isinstance(item, str):
-            if item.strip():
-                parts.append("t" + " ".join(item.split()))
-        else:
-            parts.append(str(digest(item, found, inside)))
-    value = stable("\x00".join(parts)) >> 1
-    if len(parts) > 2 and not node.dropped and node.tag in BLOCK and node.tag not in ("html", "body", "article", "main", "#root"):
-        if not (inside and node.tag in LEAF):
-            found[id(node)] = (value, node)
-    return value
+def digests(nodes: list[Node]) -> dict[int, tuple[int, Node]]:
+    """Digests of the subtrees that may be template; the nodes are those of a page in page order."""
+    found: dict[int, tuple[int, Node]] = {}
+    values: dict[int, int] = {}
+    for node in reversed(nodes):  # what an element holds comes after it
+        parts = [node.tag, node.mark]
+        for item in node.items:
+            if isinstance(item, str):
+                if item.strip():
+                    parts.append("t" + " ".join(item.split()))
+            else:
+                parts.append(str(values.pop(id(item))))
+        value = values[id(node)] = stable("\x00".join(parts)) >> 1
+        if len(parts) > 2 and not node.dropped and node.tag in BLOCK and node.tag not in ("html", "body", "article", "main", "#root"):
+            if not (node.inside and node.tag in LEAF):
+                found[id(node)] = (value, node)
+    return found
 
 
 def blocks(node: Node, out: list[list[str]]) -> None:
     """Text blocks in page order; the last list is the open block."""
-    for item in node.items:
-        if isinstance(item, str):
-            out[-1].append(item)
-        elif item.dropped:
-            out.append([])
-        elif item.tag == "br":
-            out[-1].append(" ")
-        elif item.tag in BLOCK:
-            out.append([])
-            blocks(item, out)
-            out.append([])
-        else:
-            blocks(item, out)
-
-
-def articles(node: Node, out: list[Node]) -> None:
-    for item in node.items:
-        if isinstance(item, Node) and not item.dropped:
-            if item.tag in ARTICLE:
-                out.append(item)
+    todo = [(iter(node.items), False)]
+    while todo:
+        items, block = todo[-1]
+        for item in items:
+            if isinstance(item, str):
+                out[-1].append(item)
+            elif item.dropped:
+                out.append([])
+            elif item.tag == "br":
+                out[-1].append(" ")
             else:
-                articles(item, out)
+                if item.tag in BLOCK:
+                    out.append([])
+                todo.append((iter(item.items), item.tag in BLOCK))
+                break
+        else:
+            todo.pop()
+            if block:
+                out.append([])
+
+
+def articles(node: Node) -> list[Node]:
+    """The outermost articles and main parts in page order."""
+    out, todo = [], [node]
+    while todo:
+        top = todo.pop()
+        if top.tag in ARTICLE and top is not node:
+            out.append(top)
+        else:
+            todo += [i for i in reversed(top.items) if isinstance(i, Node) and not i.dropped]
+    return out
 
 
 def has_text(node: Node) -> bool:
-    return any((isinstance(i, str) and i.strip()) or (isinstance(i, Node) and not i.dropped and has_text(i)) for i in node.items)
+    todo = [node]
+    while todo:
+        for item in todo.pop().items:
+            if isinstance(item, Node):
+                if not item.dropped:
+                    todo.append(item)
+            elif item.strip():
+                return True
+    return False
 
 
 def text_of(root: Node) -> str:
-    chosen: list[Node] = []
-    articles(root, chosen)
-    chosen = [c for c in chosen if has_text(c)] or [root]
+    chosen = [c for c in articles(root) if has_text(c)] or [root]
     out: list[list[str]] = [[]]
     for node in chosen:
         blocks(node, out)
@@ -188,10 +214,8 @@ def text_of(root: Node) -> str:
 
 
 def subtrees(source: str) -> tuple[Node, dict[int, tuple[int, Node]]]:
-    found: dict[int, tuple[int, Node]] = {}
-    root = parse(source)
-    digest(root, found, False)
-    return root, found
+    root, nodes = parsed(source)
+    return root, digests(nodes)
 
 
 def extract(source: str, templates: frozenset[int] = frozenset()) -> str:

@@ -21,6 +21,14 @@ def test_extract(source, text):
     assert extract(source or "") == text
 
 
+@pytest.mark.parametrize("tag", ["font", "div", "li"])
+def test_deep_pages(tag):
+    n = 100_000
+    for source in (f"<{tag}>" * n + "a" + "</b>" * n, f"<b><article><p>a</p>" + f"<{tag}>" * n + "</b>" * n):
+        assert extract(source) == "a" and extract(source, frozenset([0])) == "a"
+        assert len(html_text.subtrees(source)[1]) <= n + 1
+
+
 def test_site_templates(spark):
     box = "<div><p>Read our other stories</p><p>every day</p></div>"
     rows = [(i, f"http://a.example/{i}", f"<body>{box}<div><p>text {i}</p></div></body>") for i in range(20)]

@@ -34,10 +34,10 @@ from groundscope.llm.common import shelve, stable, table
 from groundscope.llm.registry import query
 
 MANY = 8
-#: Comments, declarations, raw-text elements with their content, and tags.
+#: Comments, declarations, elements of raw text (to the end of the page if they have no end), and tags.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|textarea|(?:style|title)(?!\b[^>]*/>))(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -49,6 +49,13 @@ BLOCK = frozenset(
     "thead title tr ul".split()
 )
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption".split())
+#: Elements that leave no trace in the text, not even the end of a block. Without an end tag of their own, drawings
+#: and choices end before the next tag that cannot be theirs, and of the others only the tag goes.
+SILENT = frozenset("svg select noscript template iframe".split())
+SILENT_TAG = re.compile(r"<(?:svg|select|noscript|template|iframe)\b", re.I)
+NESTING = frozenset(["svg", "template"])
+#: Start tags of text that end a drawing, unless they stand in its own text.
+LEAVES = BLOCK - {"title", "option"} | frozenset("b big br code em font i img s small span strong sub sup u".split())
 #: Elements that an open paragraph or item ends at.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DROPPED = frozenset("head nav aside form button footer menu dialog label fieldset".split())
@@ -90,6 +97,39 @@ def _opened(tag: str, rest: str, inside: bool) -> Node:
     return Node(tag, mark, dropped)
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For silent elements that have an end tag of their own: the numbers of their start and end tokens."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {tag: [] for tag in SILENT}
+    for i, m in enumerate(tokens):
+        tag = (m.group("tag") or "").lower()
+        if tag not in SILENT:
+            continue
+        if m.group("end"):
+            if waiting[tag]:
+                ends[waiting[tag].pop()] = i
+        elif not m.group("rest").endswith("/"):
+            if tag not in NESTING:
+                waiting[tag].clear()
+            waiting[tag].append(i)
+    return ends
+
+
+def _behind(tokens: list[re.Match], i: int, tag: str, end: int | None, size: int) -> tuple[int, int]:
+    """Where the page goes on behind a silent element that starts at token ``i``: the next token and the place."""
+    if tag not in ("svg", "select") or tag == "select" and end is not None:
+        last = i if end is None else end
+        return last + 1, tokens[last].end()
+    own = 0  # open elements of a drawing that hold text of the page's kind
+    for j in range(i + 1, len(tokens) if end is None else end):
+        name, closing = (tokens[j].group("tag") or "").lower(), bool(tokens[j].group("end"))
+        if end is not None and name in ("foreignobject", "desc"):
+            own = max(0, own - 1) if closing else own + (not tokens[j].group("rest").endswith("/"))
+        elif end is None and name in BLOCK and name != "option" or tag == "svg" and name in LEAVES and not closing and not own:
+            return j, tokens[j].start()
+    return (len(tokens), size) if end is None else (end + 1, tokens[end].end())
+
+
 def parse(source: str) -> Node:
     return parsed(source)[0]
 
@@ -108,7 +148,12 @@ def parsed(source: str) -> tuple[Node, list[Node]]:
         del stack[i:], near[i:]
         return gone
 
-    for m in TOKEN.finditer(source):
+    tokens = list(TOKEN.finditer(source))
+    ends = _ends(tokens) if SILENT_TAG.search(source) else {}
+    skipped = 0
+    for i, m in enumerate(tokens):
+        if i < skipped:
+            continue
         if m.start() > at:
             stack[-1].items.append(source[at : m.start()])
         at = m.end()
@@ -116,6 +161,10 @@ def parsed(source: str) -> tuple[Node, list[Node]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SILENT:
+            if not m.group("end") and not m.group("rest").endswith("/"):
+                skipped, at = _behind(tokens, i, tag, ends.get(i), len(source))
+            continue
         if m.group("end"):
             # An inline end does not close blocks.
             if opened.get(tag) and (tag in BLOCK or near[-1] <= opened[tag][-1]):

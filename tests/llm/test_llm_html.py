@@ -21,6 +21,23 @@ def test_extract(source, text):
     assert extract(source or "") == text
 
 
+SILENT = [
+    ("<article><p>a <svg class=x viewBox='0'/> b</p><p>c</p></article>", "a b\n\nc"), ("<p>x <math/> y</p><p>z</p>", "x y\n\nz"),
+    ("<p>see <math><mi>n</mi><mo>+</mo><mn>1</mn></math> here</p>", "see n+1 here"), ("<p>a<object data=f>fallback</object></p>", "afallback"),
+    ("<div><object><p>b</div><p>c</p>", "b\n\nc"), ("<div><select><option>no</div><p>yes</p>", "yes"),
+    ("<div><select><option>no<option>no<p>yes</p></div><select><option>no</select>z", "yes\n\nz"),
+    ("<p>a<svg><title>no</title><g><text>no</text><svg><g/></svg></g></svg>b</p>", "ab"), ("<svg><path><p>a</p><svg><text>no</text></svg><p>b</p>", "a\n\nb"),
+    ("<svg><title/><foreignObject><p>no</p></foreignObject></svg><p>a</p>", "a"), ("<iframe src=x><p>a</p><iframe>no</iframe>b", "a\n\nb"),
+    ("<noscript><p>a</p>", "a"), ("<noscript></div><p>no</p></noscript><template><div>no<template>no</template></template>a", "a"),
+    ("a<svg><text>no</text>", "a"), ("<iframe/>a<svg/>b", "ab"),
+]
+
+
+@pytest.mark.parametrize("source, text", SILENT)
+def test_silent_elements(source, text):
+    assert extract(source) == text
+
+
 @pytest.mark.parametrize("tag", ["font", "div", "li"])
 def test_deep_pages(tag):
     n = 100_000

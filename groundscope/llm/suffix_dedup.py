@@ -360,7 +360,7 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
-    """The documents without their repeated strings; runs of fewer than ``words`` words stay.
+    """The documents without their repeated strings; runs of fewer than ``words`` words and ``LENGTH`` bytes stay.
 
     A cut inside a character drops the rest of it. ``n_chars`` follows the text if the column exists.
     """
@@ -375,7 +375,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> Da
                 if places.is_valid:
                     raw = text.encode("utf-8", "surrogatepass")
                     spans = removed(len(raw), places.as_py(), length)
-                    spans = [(a, b) for a, b in spans if len(raw[a:b].split()) >= words]
+                    spans = [(a, b) for a, b in spans if b - a >= LENGTH or len(raw[a:b].split()) >= words]
                     if spans:
                         text = kept(raw, spans).decode("utf-8", "ignore")
                 texts.append(text)

@@ -1,11 +1,12 @@
-"""Operator 4: join of texts whose word 5-gram sets have Jaccard similarity 0.8 or more, by an LSH forest.
+"""Operator 4: join of texts whose word 5-gram sets have Jaccard similarity 0.8 or more, by MinHash bands.
 
 Texts with equal sets are one node from the start; the node counts its copies. Each node gets one label per
-tree: a prefix of that tree's minimum hashes. A tree's labels in order are a prefix trie, and nodes that
-share a prefix meet. The prefixes start at ``DEEPEST`` hashes and are shortened until a pair at exactly the
-threshold shares one in some tree with probability ``RECALL``; all higher similarities are found more surely.
+band, made of the band's minimum hashes, and nodes that share a label meet. A band has as many hashes as leave
+a pair at exactly the threshold a shared label with probability ``RECALL``, at most ``DEEPEST``; all higher
+similarities are found more surely. The length is fixed by these constants, which gives 6: this is plain
+banding, not an LSH forest, and a text that met nobody is not looked for again with fewer hashes.
 
-Meeting nodes are only tied to the smallest node of the prefix; connected components of these ties hold every
+Meeting nodes are only tied to the smallest node of the label; connected components of these ties hold every
 candidate pair. Sets travel once to their component, where similarities are counted exactly: components are
 cut into blocks of about ``BLOCK`` nodes and each pair of blocks is one unit of work, so no group has to fit
 one task. Pairs are never listed: a unit returns, for each node, the number of documents it is linked to and

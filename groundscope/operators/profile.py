@@ -1,7 +1,9 @@
 """Column profiles and the value index.
 
-All columns of a table are unpivoted in one scan and counted by distinct value. That one shuffle is
-combined map-side, so a hot value costs one row per task; every statistic below reads its output.
+Values are counted in two steps. One aggregate per table, without an exchange of values, sketches the frequent
+values of every column; columns with few values come out of it whole, and a second scan proves that by counting
+what the list does not hold. Only the other columns are exchanged: their values are counted in their own types,
+combined map-side, and printed once per distinct value. Every statistic below reads these counts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ CATEGORICAL_LIMIT = 100
 TOP_VALUES = 25
 ORIGINAL_LENGTH = 500
 
+#: Frequent values asked from a sketch, values that it tracks, and the longest text that it holds.
+SKETCH_VALUES, SKETCH_SIZE, SKETCHED_LENGTH = 128, 1024, 256
+
 
 def storage_class(data_type: T.DataType) -> str | None:
     """The storage class of a Spark type; nested types have none and count as unsupported."""
@@ -51,36 +56,133 @@ def printed(column: Column, data_type: T.DataType) -> Column:
     return plain
 
 
-def cells(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per (row, column): table_name, column_name, storage, value."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    stacked = F.explode(F.array(*[
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(storage_class(f.dataType) or "unsupported").alias("storage"),
-            printed(F.col(f"`{f.name}`"), f.dataType).alias("value"),
+def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[T.StructField]:
+    return [f for f in df.schema.fields if columns is None or f.name in columns]
+
+
+def _own(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _sketched(field: T.StructField) -> str | None:
+    """The values of a column that a sketch may hold, as SQL: long texts are left out, the two zeros are one."""
+    name = f"`{field.name}`"
+    if isinstance(field.dataType, T.StringType):
+        return f"CASE WHEN length({name}) <= {SKETCHED_LENGTH} THEN {name} END"
+    if isinstance(field.dataType, T.DoubleType):
+        return f"CASE WHEN {name} = 0 THEN 0.0D ELSE {name} END"
+    return name if isinstance(field.dataType, (*INTEGER_TYPES, T.DateType)) else None
+
+
+def _quoted(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _frequent(df: DataFrame, table: str, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row: for each column the rows, the non-null rows and the frequent values with estimated counts, by one aggregate."""
+    found = []
+    for f in fields:
+        column = _sketched(f)
+        top = "null" if column is None else f"approx_top_k({column}, {SKETCH_VALUES}, {SKETCH_SIZE})"
+        found.append(
+            f"struct({_quoted(f.name)} AS column_name, count(*) AS rows, count(`{f.name}`) AS present,"
+            f" CAST({top} AS array<struct<item: string, count: bigint>>) AS items)"
         )
-        for f in fields
-    ])).alias("cell")
-    return df.select(stacked).select(F.lit(table).alias("table_name"), "cell.*")
+    return df.selectExpr(f"{_quoted(table)} AS table_name", f"array({', '.join(found)}) AS columns")
 
 
-def value_counts(tables: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows per distinct value of every column, nulls included as a null value."""
-    parts = [
-        cells(df, name, columns)
-        for name, df in tables.items()
-        if columns is None or any(c in df.columns for c in columns)
-    ]
-    union = parts[0]
+def _shown(raw: str, data_type: T.DataType) -> str:
+    """``printed`` for a value that is text already."""
+    if isinstance(data_type, T.DoubleType) and 1e7 <= abs(float(raw)) < 1e15 and float(raw).is_integer():
+        return f"{int(float(raw))}.0"
+    return raw
+
+
+def _few_values(tables: dict[str, DataFrame], columns: Sequence[str] | None) -> dict[tuple[str, str], tuple[int, dict[str, int]]]:
+    """(nulls, rows of each value) of the columns whose sketch holds every value, at most ``CATEGORICAL_LIMIT`` of them.
+
+    A sketched count is never too small. So if no row has a value outside the list, and the counts add up to
+    the rows, each of them is exact.
+    """
+    fields = {t: _fields(df, columns) for t, df in tables.items()}
+    likely = {}
+    for row in _union([_frequent(df, t, fields[t]) for t, df in tables.items()]).collect():
+        for r in row["columns"]:
+            # The sketch counts nulls like a value.
+            items = None if r["items"] is None else {x["item"]: x["count"] for x in r["items"] if x["item"] is not None}
+            if r["present"] == 0 or items is not None and len(items) <= CATEGORICAL_LIMIT and sum(items.values()) == r["present"]:
+                likely[row["table_name"], r["column_name"]] = (r["rows"] - r["present"], items or {})
+    checks = []
+    for t, df in tables.items():
+        outside = []
+        for f in fields[t]:
+            if values := likely.get((t, f.name), (0, {}))[1]:
+                listed = ", ".join(f"CAST({_quoted(raw)} AS {f.dataType.simpleString()})" for raw in values)
+                outside.append(f"struct({_quoted(f.name)} AS column_name, count_if(`{f.name}` IS NOT NULL AND coalesce({_sketched(f)} NOT IN ({listed}), true)) AS n)")
+        if outside:
+            checks.append(df.selectExpr(f"{_quoted(t)} AS table_name", f"array({', '.join(outside)}) AS columns"))
+    more = {(row["table_name"], r["column_name"]) for row in _union(checks).collect() for r in row["columns"] if r["n"]} if checks else set()
+    return {k: r for k, r in likely.items() if k not in more}
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
     for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy(*KEY, "storage", "value").agg(F.count("*").alias("frequency"))
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _typed_cells(df: DataFrame, table: str, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row per (row, column) with the value in its own kind; nested values are known by their digest."""
+    printable = {f.name: printed(_own(f.name), f.dataType) for f in fields if not isinstance(f.dataType, (*INTEGER_TYPES, T.DoubleType, T.StringType)) or isinstance(f.dataType, T.BooleanType)}
+    found = []
+    for f in fields:
+        name, kind = f"`{f.name}`", storage_class(f.dataType)
+        whole = name if kind == "integer" and f.name not in printable else "null"
+        double = name if isinstance(f.dataType, T.DoubleType) else "null"
+        shown = "null" if name in (whole, double) else f"sha2({name}, 256)" if kind is None else name
+        found.append(
+            f"struct({_quoted(f.name)} AS column_name, {_quoted(kind or 'unsupported')} AS storage, CAST({whole} AS bigint) AS whole,"
+            f" CAST({double} AS double) AS double, CAST({shown} AS string) AS text)"
+        )
+    own = df.withColumns(printable) if printable else df
+    return own.selectExpr(f"explode(array({', '.join(found)})) AS cell").selectExpr(f"{_quoted(table)} AS table_name", "cell.*")
+
+
+def value_counts(tables: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows per distinct value of every column, nulls included as a null value; ``number`` is the numeric value."""
+    spark = next(iter(tables.values())).sparkSession
+    wanted = {t: df for t, df in tables.items() if _fields(df, columns)}
+    few = _few_values(wanted, columns) if wanted else {}
+    listed, cells = [], []
+    for t, df in wanted.items():
+        fields = _fields(df, columns)
+        rest = [f for f in fields if (t, f.name) not in few]
+        cells += [_typed_cells(df, t, rest)] if rest else []
+        for f in fields:
+            if (t, f.name) not in few:
+                continue
+            nulls, values = few[t, f.name]
+            storage = storage_class(f.dataType) or "unsupported"
+            numeric = storage in ("integer", "real") and not isinstance(f.dataType, T.BooleanType)
+            listed += [(t, f.name, storage, _shown(raw, f.dataType), float(raw) if numeric else None, n) for raw, n in values.items()]
+            listed += [(t, f.name, storage, None, None, nulls)] if nulls else []
+    schema = "table_name string, column_name string, storage string, value string, number double, frequency long"
+    whole = spark.createDataFrame(listed, schema)
+    if not cells:
+        return whole
+    counted = _union(cells).groupBy(*KEY, "storage", "whole", "double", "text").agg(F.count("*").alias("frequency"))
+    numeric = F.col("storage").isin("integer", "real")
+    return whole.unionByName(counted.select(
+        *KEY, "storage", F.coalesce(F.col("whole").cast("string"), printed(F.col("double"), T.DoubleType()), "text").alias("value"),
+        F.when(numeric, F.coalesce(F.col("whole").cast("double"), "double", F.col("text").try_cast("double"))).alias("number"), "frequency",
+    ))
 
 
 def column_counts(counts: DataFrame) -> DataFrame:
     """The scalar statistics of every column."""
-    numeric = F.when(F.col("storage").isin("integer", "real"), F.col("value").try_cast("double"))
+    numeric = F.col("number") if "number" in counts.columns else F.when(F.col("storage").isin("integer", "real"), F.col("value").try_cast("double"))
     return (
         counts.groupBy(*KEY, "storage")
         .agg(

@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 from groundscope.functions import text
 from groundscope.operators import profile
 from groundscope.plans.registry import query
+from groundscope.session import cut_lineage
 from groundscope.sources.tables import catalog_columns, PRIMARY_KEYS, read_table, read_tables
 
-NUMERIC = {
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
-    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "part": ["p_partkey", "p_size", "p_retailprice"],
-    "nation": ["n_nationkey", "n_regionkey"],
-}
-OTHER = {
-    "customer": ["c_name", "c_mktsegment"],
-    "orders": ["o_orderstatus", "o_orderdate", "o_orderpriority"],
-    "part": ["p_name", "p_brand", "p_type"],
-    "nation": ["n_name"],
+#: All columns of the given tables by storage class and declared type.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,"
+    " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
+CLASSES = {"int": "integer", "bigint": "integer", "double": "real", "string": "text", "timestamp_ntz": "text", "array<float>": "unsupported"}
+EVERY_COLUMN = [(t, *column.split()) for t, columns in COLUMNS.items() for column in columns.split(", ")]
 TEXT_COLUMNS = {
     "customer": ["c_name", "c_mktsegment"],
     "orders": ["o_orderstatus", "o_orderpriority"],
@@ -33,23 +42,21 @@ def _union(parts):
     return "\nUNION ALL\n".join(parts)
 
 
-COUNTS_SQL = _union(
-    f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
- count(DISTINCT {c}) AS distinct_count,
- {f'min({c})::DOUBLE' if numeric else 'NULL::DOUBLE'} AS numeric_min,
- {f'max({c})::DOUBLE' if numeric else 'NULL::DOUBLE'} AS numeric_max,
- count(DISTINCT {c}) BETWEEN 1 AND 100 AS categorical, 'complete' AS status FROM {t}"""
-    for source, numeric in ((NUMERIC, True), (OTHER, False))
-    for t, columns in source.items()
-    for c in columns
-)
+def _counts_sql(t, c, declared):
+    number = f"min({c})::DOUBLE AS numeric_min, max({c})::DOUBLE AS numeric_max"
+    none = "NULL::DOUBLE AS numeric_min, NULL::DOUBLE AS numeric_max"
+    return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+ count(DISTINCT {c}) AS distinct_count, {number if CLASSES[declared] in ("integer", "real") else none},
+ count(DISTINCT {c}) BETWEEN 1 AND 100 AS categorical, '{"partial" if CLASSES[declared] == "unsupported" else "complete"}' AS status FROM {t}"""
+
+
+COUNTS_SQL = _union(_counts_sql(*column) for column in EVERY_COLUMN)
 
 
 @query("profile_counts", COUNTS_SQL)
 def profile_counts(spark, sf):
-    """All columns of four tables, one scan each."""
-    counts = profile.value_counts(read_tables(spark, sf, ["customer", "orders", "part", "nation"]))
-    return profile.column_counts(counts).drop("storage")
+    """All columns of all tables."""
+    return profile.column_counts(profile.value_counts(read_tables(spark, sf, COLUMNS))).drop("storage")
 
 
 @query(
@@ -281,14 +288,42 @@ def sampled_profile(spark, sf):
     )
 
 
-@query("column_profile")
+PATTERNS = {
+    "currency": r"[$£€¥]\s*[+-]?[\d,]+(\.\d+)?", "percentage": r"[+-]?[\d,.]+\s*%", "numeric_text": r"[+-]?[\d,]+(\.\d+)?",
+    "date": r"\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T].*)?",
+}
+_SHAPE = " ".join(f"WHEN regexp_full_match(trim(left(value, 500)), '{shape}') THEN '{name}'" for name, shape in PATTERNS.items())
+_TEXTS = _union(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS frequency FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for t, c, declared in EVERY_COLUMN if CLASSES[declared] == "text"
+)
+_DECLARED = ", ".join(f"('{t}', '{c}', '{declared}', '{CLASSES[declared]}')" for t, c, declared in EVERY_COLUMN)
+PROFILE_SQL = f"""WITH c AS ({COUNTS_SQL}), d(table_name, column_name, declared_type, kind) AS (VALUES {_DECLARED}),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY table_name, column_name) AS d,
+ row_number() OVER (PARTITION BY table_name, column_name ORDER BY frequency DESC, value) AS rank FROM ({_TEXTS})),
+shaped AS (SELECT *, CASE {_SHAPE} END AS pattern FROM ranked WHERE d <= 100 OR rank <= 25),
+rates AS (SELECT table_name, column_name, {", ".join(
+    f"coalesce(sum(frequency) FILTER (pattern = '{name}'), 0) / sum(frequency) AS {name}_rate" for name in PATTERNS
+)} FROM shaped GROUP BY table_name, column_name)
+SELECT c.*, declared_type,
+ '{{' || array_to_string(list_filter([CASE WHEN kind = 'integer' AND row_count > null_count THEN '"integer":' || (row_count - null_count) END,
+ CASE WHEN null_count > 0 THEN '"null":' || null_count END,
+ CASE WHEN kind <> 'integer' AND row_count > null_count THEN '"' || kind || '":' || (row_count - null_count) END], lambda x: x IS NOT NULL), ',') || '}}' AS types,
+ {", ".join(f"round(coalesce({name}_rate, 0), 6)::DOUBLE AS {name}_rate" for name in PATTERNS)},
+ CASE WHEN column_name LIKE '%_mktsegment' THEN 'segment' ELSE '' END AS display_name,
+ CASE WHEN column_name LIKE '%_mktsegment' THEN 'market segment of the customer' ELSE '' END AS description, '' AS value_description
+FROM c JOIN d USING (table_name, column_name) LEFT JOIN rates USING (table_name, column_name)"""
+
+
+@query("column_profile", PROFILE_SQL)
 def column_profile(spark, sf):
-    """The complete profile table with descriptions joined in."""
-    tables = read_tables(spark, sf, ["customer", "orders", "part", "nation"])
+    """The complete profile of all columns of all tables with descriptions joined in."""
+    tables = read_tables(spark, sf, COLUMNS)
     catalog = catalog_columns(spark, tables, PRIMARY_KEYS)
     notes = catalog.filter("column_name LIKE '%_mktsegment'").select(
         "table_name", "column_name", F.lit("segment").alias("display_name"),
         F.lit("market segment of the customer").alias("description"), F.lit("").alias("value_description"),
     )
-    result = profile.column_profile(profile.value_counts(tables), catalog, notes)
-    return result.withColumn("types", F.to_json("types"))
+    # Three statistics read the counts, so they are made once.
+    result = profile.column_profile(cut_lineage(profile.value_counts(tables)), catalog, notes)
+    return result.withColumns({"types": F.to_json("types")} | {f"{name}_rate": F.round(f"{name}_rate", 6) for name in PATTERNS})

@@ -95,3 +95,27 @@ def test_relevant_profiles(spark):
     asked = spark.createDataFrame([("q", "which region has alpha")], "question_id string, question string")
     rows = profile.relevant_profiles(asked, prof).orderBy("rank").collect()
     assert [(r["table_name"], r["column_name"], r["score"]) for r in rows] == [("stores", "region", 4), ("apps", "name", 3), ("apps", "price", 1)]
+
+
+def test_value_counts_equal_a_plain_count(spark):
+    # Few and many values, exactly the limit and one more, nulls, quotes, long texts, both zeros, nested values.
+    rows = [
+        (i % 100, i % 101, i, f"it's \\ {i % 3}" if i % 4 else None, "x" * (300 if i == 7 else 3), 0.0 if i % 2 else -0.0, 2e7 * (i % 2), bool(i % 2), [i % 5], None)
+        for i in range(1500)
+    ]
+    schema = "few long, more int, key long, quoted string, long string, zero double, great double, flag boolean, nested array<int>, empty string"
+    df = spark.createDataFrame(rows, schema).withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("key") % 7).cast("int")))
+    got = {}
+    for r in profile.value_counts({"t": df}).collect():
+        assert (r["column_name"], r["value"]) not in got
+        got[r["column_name"], r["value"]] = (r["frequency"], r["storage"], r["number"])
+    expected = {}
+    for f in df.schema.fields:
+        if f.name != "nested":
+            shown = F.when(F.col("zero") == 0, "0.0") if f.name == "zero" else profile.printed(F.col(f.name), f.dataType)
+            number = F.col(f.name).cast("double") if f.name in ("few", "more", "key", "zero", "great") else F.lit(None).cast("double")
+            for r in df.groupBy(shown.alias("v"), F.abs(number).alias("x")).count().collect():
+                expected[f.name, r["v"]] = (r["count"], profile.storage_class(f.dataType), r["x"])
+    nested = [v for (c, _), v in got.items() if c == "nested"]
+    assert nested == [(300, "unsupported", None)] * 5
+    assert {k: v for k, v in got.items() if k[0] != "nested"} == expected

@@ -1,8 +1,9 @@
 """Matching phrases of questions to stored values.
 
-Phrases and values are reduced to distinct normalised texts first. Candidate pairs come from equi-joins
-on a rarest character gram (containment) or on a rarity-ordered prefix of a set (similarity); both are
-exact filters, so nothing that the score ladder would accept is lost and no pairwise product is formed.
+Phrases and values are reduced to distinct normalised texts first, which are written once. Candidate pairs come
+from equi-joins on a rarest character gram (containment) or on a rarity-ordered prefix of a set (similarity); both
+are exact filters, so nothing that the score ladder would accept is lost and no pairwise product is formed. Items of
+the many texts that no text of the few holds are dropped where the many are scanned.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from groundscope.functions import text
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
+from groundscope.session import cut_lineage
 
 # How many phrases of one question are considered.
 PHRASE_LIMIT = 80
@@ -107,14 +109,31 @@ def concept_phrases(questions: DataFrame) -> DataFrame:
     return kept.select("question_id", "pos", "phrase", "normalized")
 
 
-def _tag(items: Column, kind: str) -> Column:
-    return F.transform(items, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("item")))
+#: Items of a vocabulary that may be sent to every task (some ten MB), and texts of a posting list that meet in one piece.
+BROADCAST_ITEMS, POSTING = 200_000, 10_000
 
 
-def _items(texts: DataFrame, name: str, kinds: dict[str, Column]) -> DataFrame:
-    """One row per (text, kind, item) for the requested kinds of item sets."""
-    tagged = [_tag(items, kind) for kind, items in kinds.items()]
-    return texts.select(name, F.explode(F.concat(*tagged)).alias("x")).select(name, "x.*")
+def _item_sets(name: str, thresholds: dict[str, float]) -> dict[str, Column]:
+    """The item sets of a text by kind: its grams, and its words and compact trigrams where a similarity asks for them."""
+    column = F.col(name)
+    wordy = ~F.rlike(column, F.lit("[0-9]"))
+    empty = F.array().cast("array<string>")
+    found = {"gram": F.when(F.length(column) >= 3, text.grams_of(column)).otherwise(empty)}
+    if "token" in thresholds:
+        found["token"] = F.when(wordy, text.word_tokens(column)).otherwise(empty)
+    if "trigram" in thresholds:
+        found["trigram"] = F.when(wordy, text.char_ngrams(column)).otherwise(empty)
+    return found
+
+
+def _items(texts: DataFrame, name: str, thresholds: dict[str, float]) -> DataFrame:
+    """(text, kind, n, item): the items of each set, ``n`` their number."""
+    sets = texts.select(name, *[c.alias(f"_{kind}") for kind, c in _item_sets(name, thresholds).items()])
+
+    def offered(kind: str) -> Column:
+        return F.transform(f"_{kind}", lambda i: F.struct(F.lit(kind).alias("kind"), F.size(f"_{kind}").alias("n"), i.alias("item")))
+
+    return sets.select(name, F.explode(F.concat(*map(offered, ["gram", *thresholds]))).alias("x")).select(name, "x.*")
 
 
 def candidate_pairs(lefts: DataFrame, rights: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
@@ -123,49 +142,57 @@ def candidate_pairs(lefts: DataFrame, rights: DataFrame, thresholds: dict[str, f
     Two exact filters share one equi-join on (role, item):
 
     * containment - whatever is contained has all its grams in the other text, so the contained side
-      offers only its rarest gram and the containing side all of its grams;
+      offers only the gram that is rarest on the other side, and the containing side all of its grams;
     * similarity ``t`` - with items ordered from rare to frequent, two sets that reach ``t`` share an
       item among the first ``size - ceil(t * size) + 1`` of each, so only those prefixes meet.
 
-    Frequent items therefore do not drive the join, however many texts carry them.
+    ``rights`` should be the side with fewer distinct items: up to ``BROADCAST_ITEMS`` of them are sent to every
+    task, so what occurs on the left only is dropped where it is scanned and never exchanged; more are joined by
+    an exchange. Rarity is counted on both sides, and the posting list of an item that many texts offer is
+    dealt over pieces.
     """
     thresholds = thresholds or {}
-
-    def kinds(name: str) -> dict[str, Column]:
-        column = F.col(name)
-        wordy = ~F.rlike(column, F.lit("[0-9]"))
-        empty = F.array().cast("array<string>")
-        found = {"gram": F.when(F.length(column) >= 3, text.grams_of(column)).otherwise(empty)}
-        if "token" in thresholds:
-            found["token"] = F.when(wordy, text.word_tokens(column)).otherwise(empty)
-        if "trigram" in thresholds:
-            found["trigram"] = F.when(wordy, text.char_ngrams(column)).otherwise(empty)
-        return found
-
-    left_items, right_items = _items(lefts, "left", kinds("left")), _items(rights, "right", kinds("right"))
-    df = right_items.groupBy("kind", "item").agg(F.count("*").alias("df"))
-
-    def offers(items: DataFrame, name: str, rare_role: str, full_role: str) -> DataFrame:
-        ordered = (
-            items.join(df, ["kind", "item"], "left")
-            .groupBy(name, "kind")
-            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("s"))
+    right_items = _items(rights, "right", thresholds)
+    vocabulary = cut_lineage(right_items.groupBy("kind", "item").agg(F.count("*").alias("right_df")))
+    small = vocabulary.count() <= BROADCAST_ITEMS
+    left_items = _items(lefts, "left", thresholds).join(F.broadcast(vocabulary) if small else vocabulary, ["kind", "item"])
+    on_left = left_items.groupBy("kind", "item").agg(F.count("*").alias("left_df"))
+    df = vocabulary.join(on_left, ["kind", "item"], "left").fillna(0, ["left_df"])
+    df = F.broadcast(df) if small else df
+
+    left_out = "n - size(s)"
+    kept = " ".join(f"WHEN '{kind}' THEN greatest(n - CAST(ceil({t}D * n) AS int) + 1 - ({left_out}), 0)" for kind, t in thresholds.items())
+
+    def offers(items: DataFrame, name: str, own: str, other: str, posting: str) -> DataFrame:
+        """What a side offers: its rarest gram in role ``own``, all grams in role ``other``, and its prefixes.
+
+        Items stand from rare to frequent; those that the vocabulary lacks come before all others. An item is offered
+        in every piece of the other side's posting list, or in the piece of its own text.
+        """
+        pieces = "transform(sequence(0, CAST(ceil({df} / {posting}) AS int) - 1), salt -> struct({role} AS role, {item} AS item, salt))"
+        piece = "struct({role} AS role, x.item AS item, CAST(pmod(xxhash64(`{name}`), ceil(greatest(x.{df}, 1) / {posting})) AS int) AS salt)"
+        # A gram that the other side lacks cannot be inside any of its texts.
+        rarest = pieces.format(df="rarest.df", posting=POSTING, role=f"'{own}'", item="rarest.item")
+        whole = piece.format(role=f"'{other}'", name=name, df=f"{name}_df", posting=POSTING)
+        if name == "right":
+            prefix = f"transform(prefix, x -> {piece.format(role='kind', name=name, df='right_df', posting=POSTING)})"
+        else:
+            prefix = f"flatten(transform(prefix, x -> {pieces.format(df='x.right_df', posting=POSTING, role='kind', item='x.item')}))"
+        gram = f"concat(if(size(s) = n AND rarest.df > 0, {rarest}, array()), transform(s, x -> {whole}))"
+        return (
+            items.join(df, ["kind", "item"]).groupBy(name, "kind")
+            .agg(F.sort_array(F.collect_list(F.struct("right_df", "item", "left_df"))).alias("s"), F.first("n").alias("n"))
+            .selectExpr(
+                name, "kind", "n", "s", f"array_min(transform(s, x -> struct(x.{posting} AS df, x.item AS item))) AS rarest",
+                f"slice(s, 1, {f'CASE kind {kept} ELSE 0 END' if kept else '0'}) AS prefix",
+            )
+            .selectExpr(name, f"if(kind = 'gram', null, n) AS {name}_size", f"explode(if(kind = 'gram', {gram}, {prefix})) AS x")
+            .select(name, f"{name}_size", "x.*")
         )
-        size = F.size("s")
-        keep = F.lit(1)
-        for kind, threshold in thresholds.items():
-            keep = F.when(F.col("kind") == kind, size - F.ceil(F.lit(threshold) * size).cast("int") + 1).otherwise(keep)
-        whole = F.transform("s", lambda x: F.struct(F.lit(full_role).alias("role"), x["item"].alias("item")))
-        rarest = F.array(F.struct(F.lit(rare_role).alias("role"), F.col("s")[0]["item"].alias("item")))
-        prefix = F.transform(
-            F.slice("s", F.lit(1), keep), lambda x: F.struct(F.col("kind").alias("role"), x["item"].alias("item"))
-        )
-        chosen = F.when(F.col("kind") == "gram", F.concat(rarest, whole)).otherwise(prefix)
-        return ordered.select(
-            name, F.when(F.col("kind") != "gram", size).alias(f"{name}_size"), F.explode(chosen).alias("x")
-        ).select(name, f"{name}_size", "x.*")
 
-    joined = offers(left_items, "left", "inside", "around").join(offers(right_items, "right", "around", "inside"), ["role", "item"])
+    joined = offers(left_items.drop("right_df"), "left", "inside", "around", "right_df").join(
+        offers(right_items, "right", "around", "inside", "left_df"), ["role", "item", "salt"]
+    )
     plausible = ((F.col("role") == "inside") & F.contains("right", F.col("left"))) | (
         (F.col("role") == "around") & F.contains("left", F.col("right"))
     )
@@ -208,6 +235,7 @@ def value_score(left: Column, right: Column) -> Column:
 
 def scored_pairs(lefts: DataFrame, rights: DataFrame) -> DataFrame:
     """T8 over two columns of distinct normalised texts: (left, right, score, rule)."""
+    lefts, rights = cut_lineage(lefts), cut_lineage(rights)
     exact = lefts.join(rights, F.col("left") == F.col("right")).select("left", "right")
     similarity = {"token": TOKEN_SIMILARITY, "trigram": GRAM_SIMILARITY}
     candidates = exact.union(candidate_pairs(lefts, rights, similarity)).distinct()
@@ -222,6 +250,7 @@ def literal_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     Character similarity alone does not retrieve a value: some phrase of the question has to share a
     word with it or contain it.
     """
+    phrases, index = cut_lineage(phrases), cut_lineage(index)
     lefts = phrases.select(F.col("normalized").alias("left")).distinct()
     rights = index.select(F.col("normalized").alias("right")).distinct()
     pairs = scored_pairs(lefts, rights)
@@ -257,8 +286,9 @@ def literal_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
 
 def phrase_values(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """E10, value part: stored values equal to, inside or around a phrase; the first phrase is kept."""
-    lefts = phrases.select(F.col("normalized").alias("left")).distinct()
-    rights = index.select(F.col("normalized").alias("right")).distinct()
+    index = cut_lineage(index)
+    lefts = cut_lineage(phrases.select(F.col("normalized").alias("left")).distinct())
+    rights = cut_lineage(index.select(F.col("normalized").alias("right")).distinct())
     exact = lefts.join(rights, F.col("left") == F.col("right")).select("left", "right")
     pairs = exact.union(contained_pairs(lefts, rights)).distinct()
     first = (

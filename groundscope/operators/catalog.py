@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from groundscope.functions import text
 from groundscope.operators.packing import greedy_pack
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
+from groundscope.session import cut_lineage
 
 # Headers and names of the renderings.
 SCHEMA_HEADER = "[Database: SQLite; schema-format: m-schema-sqlite-v1]"
@@ -35,64 +35,63 @@ def adjacency(fks: DataFrame) -> DataFrame:
 def shortest_paths(fks: DataFrame) -> DataFrame:
     """Shortest table path between every ordered pair of a database: (db_id, start, stop, path).
 
-    Databases are independent, so each one's edge list is searched in its own task. Neighbours are
-    visited in name order, which settles ties.
+    Each round extends the paths of the last round by one edge of their own database and keeps those that reach a
+    table for the first time. Of equally short paths the first by names is kept, which is the one a search
+    finds that visits neighbours in name order. Rounds are as many as the longest shortest path.
     """
-    def search(edges: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(edges["a"], edges["b"]))):
-            near.setdefault(a, []).append(b)
-        found = []
-        for start in sorted(near):
-            level, reached = [[start]], {start}
-            while level:
-                found += [(edges["db_id"].iloc[0], start, path[-1], path) for path in level]
-                following = []
-                for path in level:
-                    for node in near.get(path[-1], []):
-                        if node not in reached:
-                            reached.add(node)
-                            following.append([*path, node])
-                level = following
-        return pd.DataFrame(found, columns=["db_id", "start", "stop", "path"])
-
-    return adjacency(fks).groupBy("db_id").applyInPandas(search, "db_id string, start string, stop string, path array<string>")
+    near = cut_lineage(adjacency(fks).withColumnRenamed("a", "stop"))
+    found = frontier = cut_lineage(near.select("db_id", F.col("stop").alias("start"), "stop", F.array("stop").alias("path")).distinct())
+    while not frontier.isEmpty():
+        longer = frontier.join(near, ["db_id", "stop"]).groupBy("db_id", "start", F.col("b").alias("stop")).agg(
+            F.min(F.concat("path", F.array("b"))).alias("path")
+        )
+        frontier = cut_lineage(longer.join(found.select("db_id", "start", "stop"), ["db_id", "start", "stop"], "left_anti"))
+        found = found.union(frontier)
+    return found
+
+
+def _database(*frames: DataFrame) -> list[str]:
+    """The database as a key of its own, where all frames tell it; frames of one database may leave it out."""
+    return ["db_id"] if all("db_id" in f.columns for f in frames) else []
 
 
 def closure(seeds: DataFrame, paths: DataFrame, keys: Sequence[str] = ("question_id",)) -> DataFrame:
-    """Tables on the shortest paths between the seed tables of each question.
+    """Tables on the shortest paths between the seed tables of each question, within its database.
 
-    ``seeds``: keys, table_name. Questions share few distinct seed sets, so each set is closed once.
+    ``seeds``: keys, db_id (unless there is one database only), table_name. Questions share few distinct seed
+    sets, so each set is closed once.
     """
-    sets = seeds.groupBy(*keys).agg(F.sort_array(F.collect_set("table_name")).alias("seeds"))
-    distinct = sets.select("seeds").distinct()
-    starts = distinct.select("seeds", F.explode("seeds").alias("start"))
+    db = _database(seeds, paths)
+    sets = seeds.groupBy(*keys, *db).agg(F.sort_array(F.collect_set("table_name")).alias("seeds"))
+    distinct = sets.select(*db, "seeds").distinct()
+    starts = distinct.select(*db, "seeds", F.explode("seeds").alias("start"))
     between = (
-        starts.join(paths.select("start", "stop", "path"), "start")
+        starts.join(paths.select(*db, "start", "stop", "path"), [*db, "start"])
         .filter(F.array_contains("seeds", F.col("stop")))
-        .groupBy("seeds")
+        .groupBy(*db, "seeds")
         .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("path")))).alias("on_paths"))
     )
-    closed = distinct.join(between, "seeds", "left").select(
-        "seeds", F.sort_array(F.array_union("seeds", F.coalesce("on_paths", F.array().cast("array<string>")))).alias("tables")
+    closed = distinct.join(between, [*db, "seeds"], "left").select(
+        *db, "seeds", F.sort_array(F.array_union("seeds", F.coalesce("on_paths", F.array().cast("array<string>")))).alias("tables")
     )
-    return sets.join(closed, "seeds").select(*keys, "seeds", "tables")
+    return sets.join(closed, [*db, "seeds"]).select(*keys, *db, "seeds", "tables")
 
 
 def retained_keys(closed: DataFrame, catalog: DataFrame, fks: DataFrame, keys: Sequence[str] = ("question_id",)) -> DataFrame:
-    """Primary keys of the closed tables and both ends of the foreign keys among them."""
-    distinct = closed.select("tables").distinct()
-    opened = distinct.select("tables", F.explode("tables").alias("table_name"))
-    primary = opened.join(catalog.filter("is_pk").select(*KEY), "table_name").select("tables", *KEY)
-    linked = opened.join(fks.withColumnRenamed("src_table", "table_name"), "table_name").filter(
-        F.array_contains("tables", F.col("dst_table"))
-    )
-    source = linked.select("tables", "table_name", F.col("src_column").alias("column_name"))
+    """Primary keys of the closed tables and both ends of the foreign keys among them, within each database."""
+    db = _database(closed, catalog, fks)
+    distinct = closed.select(*db, "tables").distinct()
+    opened = distinct.select(*db, "tables", F.explode("tables").alias("table_name"))
+    primary = opened.join(catalog.filter("is_pk").select(*db, *KEY), [*db, "table_name"]).select(*db, "tables", *KEY)
+    linked = opened.join(
+        fks.select(*db, F.col("src_table").alias("table_name"), "src_column", "dst_table", "dst_column"), [*db, "table_name"]
+    ).filter(F.array_contains("tables", F.col("dst_table")))
+    source = linked.select(*db, "tables", "table_name", F.col("src_column").alias("column_name"))
     target = linked.filter("dst_column IS NOT NULL").select(
-        "tables", F.col("dst_table").alias("table_name"), F.col("dst_column").alias("column_name")
+        *db, "tables", F.col("dst_table").alias("table_name"), F.col("dst_column").alias("column_name")
     )
     kept = primary.union(source).union(target).distinct()
-    return closed.select(*keys, "tables").join(kept, "tables").select(*keys, *KEY)
+    return closed.select(*keys, *db, "tables").join(kept, [*db, "tables"]).select(*keys, *db, *KEY)
 
 
 def _described(catalog: DataFrame, descriptions: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundscope.functions import text
-from groundscope.operators.ranking import hash_rank, top_k
+from groundscope.operators.ranking import first_by_hash, hash_rank, top_k
 from groundscope.session import cut_lineage
 
 # The instruction that opens every assembled record.
@@ -29,6 +29,9 @@ BANDS, BAND_ROWS, SHINGLE_WORDS = 16, 3, 3
 # Texts of one block when the members of a candidate component are compared.
 BLOCK_TEXTS = 200
 
+#: Rounds of the two-key scan before a rest of at most so many rows is scanned by one task.
+ROUNDS, SCAN_ROWS = 6, 200_000
+
 
 def seeded(seed: int, *parts) -> Column:
     """Hex digest of ``seed:part[:part]``, the order of all draws here."""
@@ -124,26 +127,52 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame
 # ---------------------------------------------------------------- exclusion and deduplication
 
 
-def greedy_dedupe(rows: DataFrame, index: str = "idx", first: str = "k1", second: str = "k2", valid: str = "valid") -> DataFrame:
+def _scan(undecided: DataFrame, index: str, first: str, second: str) -> DataFrame:
+    """The rows that a scan by ``index`` keeps, found by one task; only for a bounded number of rows."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, seen_first, seen_second, kept = rows.sort_values(index), set(), set(), []
+        for a, b in zip(rows["a"], rows["b"]):
+            kept.append(a not in seen_first and b not in seen_second)
+            if kept[-1]:
+                seen_first.add(a)
+                seen_second.add(b)
+        return rows.loc[kept, [index]]
+
+    keys = undecided.select(F.lit(0).alias("one"), index, F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
+    kept = keys.groupBy("one").applyInPandas(scan, f"{index} {dict(undecided.dtypes)[index]}")
+    return undecided.join(kept, index, "left_semi")
+
+
+def greedy_dedupe(
+    rows: DataFrame, index: str = "idx", first: str = "k1", second: str = "k2", valid: str = "valid", rounds: int = ROUNDS, rest: int = SCAN_ROWS
+) -> DataFrame:
     """The rows a sequential scan would keep when a row is a duplicate only of a kept row.
 
     Rounds: keep every undecided row that is the earliest undecided one under both of its keys, drop the
     rows that share a key with a kept row, repeat. Only the earliest row of an equal key pair can be kept,
-    so pairs are collapsed first; hot keys then meet a single minimum row. State is checkpointed.
+    so pairs are collapsed first; hot keys then meet a single minimum row. State is checkpointed. Long chains of
+    alternating duplicates are decided a link a round, so after every ``rounds`` rounds a rest of at most ``rest``
+    rows is scanned by one task instead. A null key is a key.
     """
     undecided = cut_lineage(
-        rows.filter(valid).groupBy(first, second).agg(F.min(index).alias(index))
+        rows.filter(valid).groupBy(first, second).agg(F.min(index).alias(index)).select(index, first, second)
     )
-    kept = None
-    while not undecided.isEmpty():
-        low_first = undecided.groupBy(first).agg(F.min(index).alias("_m1"))
-        low_second = undecided.groupBy(second).agg(F.min(index).alias("_m2"))
-        marked = undecided.join(low_first, first).join(low_second, second)
+    kept, done = None, 0
+    while (left := undecided.count()) > 0:
+        if done >= rounds and left <= rest:
+            last = cut_lineage(_scan(undecided, index, first, second))
+            return last if kept is None else kept.union(last)
+        by_first = undecided.groupBy(F.col(first).alias("_f")).agg(F.min(index).alias("_m1"))
+        by_second = undecided.groupBy(F.col(second).alias("_s")).agg(F.min(index).alias("_m2"))
+        marked = undecided.join(by_first, F.col(first).eqNullSafe(F.col("_f"))).join(by_second, F.col(second).eqNullSafe(F.col("_s")))
         taken = cut_lineage(marked.filter((F.col(index) == F.col("_m1")) & (F.col(index) == F.col("_m2"))).select(index, first, second))
         kept = taken if kept is None else kept.union(taken)
         undecided = cut_lineage(
-            undecided.join(taken.select(first), first, "left_anti").join(taken.select(second), second, "left_anti")
+            undecided.join(taken.select(F.col(first).alias("_f")), F.col(first).eqNullSafe(F.col("_f")), "left_anti")
+            .join(taken.select(F.col(second).alias("_s")), F.col(second).eqNullSafe(F.col("_s")), "left_anti")
         )
+        done += 1
     if kept is None:
         return rows.select(index, first, second).limit(0)
     return kept.select(index, first, second)
@@ -222,12 +251,8 @@ def quota_fill(
     the way are counted by comparing digests with the last accepted one.
     """
     hashed = rows.withColumn("_h", seeded(seed, identity)).withColumn("_fits", fits)
-    largest = quotas.agg(F.max("quota")).first()[0] or 0
-    accepted = (
-        top_k(hashed.filter("_fits"), keys, [F.col("_h"), F.col(identity)], largest, rank="accept_rank")
-        .join(quotas, list(keys))
-        .filter(F.col("accept_rank") <= F.col("quota"))
-    )
+    fitting = hashed.filter("_fits").join(quotas, list(keys))
+    accepted = first_by_hash(fitting, keys, "_h", [identity], "quota", "accept_rank")
     last = accepted.groupBy(*keys).agg(
         F.max(F.struct("_h", identity)).alias("last"), F.count("*").alias("accepted"), F.max("quota").alias("quota")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from groundscope.functions import text
-from groundscope.operators.ranking import top_k
+from groundscope.operators.ranking import numbered, top_k
+from groundscope.session import cut_lineage
 
 # Sizes of a selection.
 WHOLE_LIMIT, SELECTED_COLUMNS, SELECTED_TABLES = 40, 32, 5
@@ -140,6 +142,84 @@ def select_documents(fused: DataFrame, questions: DataFrame, documents: DataFram
     return best_columns.unionByName(best_tables)
 
 
+def term_list(questions: DataFrame, documents: DataFrame, said: str) -> tuple[DataFrame, DataFrame]:
+    """R2, R4 in blocks: (listed, whole) instead of a row for each question and document.
+
+    ``documents`` carries ``number``, its place by id. A term that every document says adds the same to all of them, so
+    it decides no order: ``listed`` (question_id, number, rank) holds only documents that share another
+    term, and ``whole`` (question_id) the questions that share such a common term, whose list goes on with all other
+    documents in id order.
+    """
+    spoken = documents.select("number", F.explode(F.array_distinct(text.identifier_tokens(said))).alias("term"))
+    held = spoken.groupBy("term").agg(F.count("*").alias("held"))
+    total = documents.agg(F.count("*").alias("n")).scalar()
+    common = held.filter(F.col("held") == total).select("term")
+    asked = questions.select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
+    telling = spoken.join(common, "term", "left_anti")
+    shared = asked.join(telling, "term").groupBy("question_id", "number").agg(F.count("*").alias("overlap"))
+    listed = _ranked(shared, [F.col("overlap").desc(), F.col("number")]).drop("overlap")
+    return listed, asked.join(common, "term", "left_semi").select("question_id").distinct()
+
+
+def best_documents(questions: DataFrame, documents: DataFrame, description: bool = True) -> DataFrame:
+    """R5, R6 from lists in blocks: the selection of ``select_documents`` over the exact, the token and the description list.
+
+    A document that no list of a question names comes later in all of its lists the greater its id is. So the named
+    documents and the first unnamed ones by id, as many as a selection can hold, are the only candidates; in a list
+    that goes on with all other documents, a candidate's rank is its place by id among those that the list does not
+    name. Rows are the named documents and a selection for each question, not questions x documents.
+    """
+    placed = cut_lineage(numbered(documents, ["doc_id"], "number"))
+    sizes = dict(placed.groupBy("kind").count().collect())
+    total = sizes.get("column", 0)
+    limits = {"column": total if total <= WHOLE_LIMIT else SELECTED_COLUMNS, "table": SELECTED_TABLES}
+    exact = exact_ranking(questions, placed).join(placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank")
+    lists = {"exact_identifier": (exact, None), "token_overlap": term_list(questions, placed, "text")}
+    if description:
+        described = placed.filter(F.length("description") > 0)
+        # The description list names documents that have one; it goes on with all others only where all have one.
+        lists["description_match"] = term_list(questions, described, "description")
+        if described.count() < placed.count():
+            lists["description_match"] = (description_ranking(questions, placed).join(placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank"), None)
+    named = None
+    for reason, (listed, _) in lists.items():
+        part = listed.select("question_id", "number", F.lit(reason).alias("reason"), F.col("rank").cast("long").alias("rank"))
+        named = part if named is None else named.unionByName(part)
+    ranks = [F.min(F.when(F.col("reason") == reason, F.col("rank"))).alias(reason) for reason in lists]
+    named = cut_lineage(named.groupBy("question_id", "number").agg(*ranks))
+    # Enough unnamed documents of each kind: at most as many are named as there are named documents.
+    wanted = questions.select("question_id").distinct().join(named.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left").fillna(0, ["n"])
+    places = placed.select("number", "kind", F.col("number").alias("place"))
+    if len(sizes) > 1:
+        of_kind = [numbered(placed.select("number", "kind").filter(F.col("kind") == kind), ["number"], "place") for kind in sorted(sizes)]
+        places = reduce(DataFrame.unionByName, of_kind)
+    first = wanted.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in limits]))).withColumn(
+        "limit", F.when(F.col("kind") == "column", limits["column"]).otherwise(limits["table"])
+    ).select("question_id", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.col("limit") - 1)).alias("place"))
+    filler = first.join(places, ["kind", "place"]).select("question_id", "number")
+    offered = named.unionByName(filler, allowMissingColumns=True).groupBy("question_id", "number").agg(*[F.min(r).alias(r) for r in lists])
+    earlier = W.partitionBy("question_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy("question_id")
+    score, reasons = F.lit(0.0), []
+    for reason, (_, whole) in lists.items():
+        rank = F.col(reason)
+        if whole is not None:
+            offered = offered.join(whole.withColumn(f"_{reason}", F.lit(True)), "question_id", "left")
+            before = F.coalesce(F.count(reason).over(earlier), F.lit(0))
+            rank = F.coalesce(rank, F.when(F.col(f"_{reason}"), F.count(reason).over(every) + F.col("number") + 1 - before))
+        offered = offered.withColumn(f"{reason}_rank", rank)
+        score = score + F.coalesce(1.0 / (RRF_CONSTANT + F.col(f"{reason}_rank")), F.lit(0.0))
+        reasons.append(F.when(F.col(f"{reason}_rank").isNotNull(), F.lit(reason)))
+    scored = offered.select(
+        "question_id", "number", F.round(score, 12).alias("score"), F.sort_array(F.array_compact(F.array(*reasons))).alias("reasons"),
+        F.col("exact_identifier").cast("int").alias("exact_rank"),
+    ).join(placed.select("number", "doc_id", "kind", "table_name", "column_name"), "number").drop("number")
+    order = [F.coalesce("exact_rank", F.lit(2147483647)) if total > WHOLE_LIMIT else F.lit(0), F.col("score").desc(), F.col("doc_id")]
+    best_columns = top_k(scored.filter("kind = 'column'"), ["question_id"], order, max(1, limits["column"]))
+    best_tables = top_k(scored.filter("kind = 'table'"), ["question_id"], [F.col("score").desc(), F.col("doc_id")], SELECTED_TABLES)
+    return best_columns.unionByName(best_tables)
+
+
 def ground_concepts(concepts: DataFrame, catalog: DataFrame, evidence: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """The two best columns per concept with score and confidence.
 

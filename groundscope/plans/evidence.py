@@ -76,6 +76,37 @@ def retained_keys(spark, sf):
     return kept.groupBy("question_id").agg(F.count("*").alias("keys"), F.array_join(F.sort_array(F.collect_list(name)), ",").alias("cols"))
 
 
+#: Two databases whose tables have the same names, linked differently.
+TWO_DATABASES = {"main": FOREIGN_KEYS, "other": [("orders", "o_part", "part", "p_partkey"), ("part", "p_nation", "nation", "n_nationkey"),
+                 ("nation", "n_customer", "customer", "c_custkey"), ("lineitem", "l_nation", "nation", "n_nationkey"), ("supplier", "s_region", "region", "r_regionkey")]}
+_TWO_EDGES = ", ".join(f"('{db}', '{s}', '{d}')" for db, fks in TWO_DATABASES.items() for s, _, d, _ in fks)
+_TWO_FKS = ", ".join(repr((db, *fk)) for db, fks in TWO_DATABASES.items() for fk in fks)
+
+
+@query("closure_by_database", f"""WITH RECURSIVE links AS (SELECT * FROM (VALUES {_TWO_EDGES}) t(db, a, b)), edge AS (SELECT db, a, b FROM links UNION SELECT db, b, a FROM links),
+ walk AS (SELECT DISTINCT db, a AS start, a AS stop, [a] AS path FROM edge UNION ALL SELECT walk.db, start, b, list_append(path, b) FROM walk JOIN edge ON walk.db = edge.db AND stop = a WHERE NOT list_contains(path, b)),
+ paths AS (SELECT db, start, stop, min(path) AS path FROM (SELECT *, min(len(path)) OVER (PARTITION BY db, start, stop) AS least FROM walk) WHERE len(path) = least GROUP BY 1, 2, 3),
+ s AS (SELECT o_orderkey AS question_id, unnest(['main', 'other']) AS db, {_SEED_CASE} AS seeds FROM orders), d AS (SELECT DISTINCT db, seeds FROM s),
+ c AS (SELECT d.db, seeds, list_sort(list_distinct(list_concat(seeds, coalesce(flatten(list(path) FILTER (path IS NOT NULL)), [])))) AS tables
+  FROM d LEFT JOIN paths ON paths.db = d.db AND list_contains(seeds, start) AND list_contains(seeds, stop) GROUP BY 1, 2),
+ fk AS (SELECT * FROM (VALUES {_TWO_FKS}) t(db, s, sc, d, dc)), pk AS (SELECT * FROM (VALUES {", ".join(repr(e) for e in PRIMARY_KEYS.items())}) t(s, sc)),
+ k AS (SELECT db, seeds, s || '.' || sc AS col FROM c, pk WHERE list_contains(tables, s) UNION SELECT c.db, seeds, s || '.' || sc FROM c JOIN fk USING (db) WHERE list_contains(tables, s) AND list_contains(tables, d)
+ UNION SELECT c.db, seeds, d || '.' || dc FROM c JOIN fk USING (db) WHERE list_contains(tables, s) AND list_contains(tables, d)),
+ g AS (SELECT db, seeds, string_agg(col, ',' ORDER BY col) AS cols FROM k GROUP BY 1, 2)
+ SELECT question_id, s.db AS db_id, array_to_string(tables, ',') AS tables, cols FROM s JOIN c USING (db, seeds) JOIN g USING (db, seeds)""")
+def closure_by_database(spark, sf):
+    """R7 over two databases with the same table names: each order asks both."""
+    columns, fks = None, None
+    for db, links in TWO_DATABASES.items():
+        own = catalog_columns(spark, read_tables(spark, sf, STAR_TABLES), PRIMARY_KEYS, db), catalog_fks(spark, links, db)
+        columns, fks = own if columns is None else (columns.unionByName(own[0]), fks.unionByName(own[1]))
+    seeds = order_seeds(spark, sf).withColumn("db_id", F.explode(F.array(*[F.lit(db) for db in TWO_DATABASES])))
+    closed = catalog.closure(seeds, catalog.shortest_paths(fks))
+    name = F.concat_ws(".", "table_name", "column_name")
+    cols = catalog.retained_keys(closed, columns, fks).groupBy("question_id", "db_id").agg(F.array_join(F.sort_array(F.collect_list(name)), ",").alias("cols"))
+    return closed.join(cols, ["question_id", "db_id"]).select("question_id", "db_id", F.array_join("tables", ",").alias("tables"), "cols")
+
+
 _TABLE_WORDS = ", ".join(f"('{t}', '{(t + ' ' + ' '.join(cs)).replace('_', ' ')}')" for t, cs in STAR_COLUMNS.items())
 _ALL_TABLES = "[" + ", ".join(f"'{t}'" for t in sorted(STAR_COLUMNS)) + "]"
 
@@ -286,10 +317,8 @@ def rank_fusion(spark, sf):
  SELECT question_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN (SELECT count(*) FROM dd) > 40 THEN coalesce(exact_rank, 2147483647) ELSE 0 END, score DESC, doc_id) AS rank FROM al)
  WHERE rank <= CASE WHEN (SELECT count(*) FROM dd) <= 40 THEN (SELECT count(*) FROM dd) ELSE 32 END""")
 def select_documents(spark, sf):
-    """Exact hits first, then the best fused documents."""
-    fused = _fused(spark, sf).withColumn("score", F.round("score", 12))
-    chosen = retrieve.select_documents(fused, inputs.part_questions(spark, sf), name_documents(spark, sf))
-    return chosen.select("question_id", "doc_id", "rank")
+    """Exact hits first, then the best fused documents, from lists in blocks."""
+    return retrieve.best_documents(inputs.part_questions(spark, sf), name_documents(spark, sf)).select("question_id", "doc_id", "rank")
 
 
 @query("dense_topk", """WITH p AS (SELECT label, i::INT AS i, avg(embedding[i::INT]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM p GROUP BY 1),

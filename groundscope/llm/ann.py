@@ -18,8 +18,8 @@ Equal vectors have equal distances, ties go to the smaller id, so of a group of
 is lost.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do
-null ids; vectors of another length than the most common one take no part; with fewer candidates than ``k``
-all are returned; an id that occurs twice with different vectors is one candidate for each; only ``vec_id``
+null ids; vectors of different lengths are searched apart, each query among those of its own; with fewer
+candidates than ``k`` all are returned; an id that occurs twice with different vectors is one candidate for each; only ``vec_id``
 and ``embedding`` are read.
 """
 
@@ -149,13 +149,17 @@ def search_block(model: dict, queries: pd.DataFrame, block: pd.DataFrame, k: int
 
 
 def search(rows: DataFrame, k: int = K, every: int = 100) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
-    spark = rows.sparkSession
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``; each vector length has its own model and index."""
     good = usable(rows)
-    common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.filter(F.size("v") == common["n"])
+    lengths = sorted(r["n"] for r in good.select(F.size("v").alias("n")).distinct().collect())
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        found = found.union(search_length(good.filter(F.size("v") == n), k, every))
+    return found
+
+
+def search_length(good: DataFrame, k: int, every: int) -> DataFrame:
+    """The search among vectors of one length."""
     # The k + 1 smallest ids of each distinct vector; the ids of a group meet in bounded lists only.
     salted = good.distinct().select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     thin = salted.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("vec_id"))).filter(F.col("r") <= k + 1)

@@ -15,7 +15,6 @@ rows predicts ``und`` for all; ties go to the smallest language name; repeated r
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,6 @@ from groundscope.llm.registry import query
 
 #: Cells of the hashed n-grams, learning rows and landmarks of a language, and the ridge.
 WIDTH, PER_LANG, LANDMARKS, RIDGE = 8192, 600, 40, 1e-3
-LETTER = re.compile(r"[^\W\d_]")
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _SHIFT = np.uint32(32 - WIDTH.bit_length() + 1)
 
@@ -105,7 +103,8 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, texts in chunks([batch], "text"):
-                some = np.array([bool(LETTER.search(t)) for t in texts])
+                # Letters are those of the Unicode category L, as in learning.
+                some = np.array([any(map(str.isalpha, t)) for t in texts])
                 names, sure = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
                 if model is not None and some.any():
                     best, s = scores(model, [t for t, ok in zip(texts, some) if ok])

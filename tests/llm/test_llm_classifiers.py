@@ -107,3 +107,11 @@ def test_defined_results(spark):
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 5)} == {"und"} and {r["lang_pred"] for r in rows if r["doc_id"] in (6, 7)} == {"en"}
     assert {r["lang_pred"] for r in language.predict(docs, language.fit(no_documents(spark))).collect()} == {"und"}
     assert language.predict(no_documents(spark), model).count() == 0
+
+
+def test_signs_and_digits_of_any_kind_are_no_letters(spark):
+    docs = odd_documents(spark)
+    model = language.fit(docs)
+    others = spark.createDataFrame([(1, "² ½ ⑦ Ⅷ 12 ٣"), (2, "_ ∑ €"), (3, "12 ß"), (4, "½ 語")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(others, model).collect()}
+    assert got == {1: "und", 2: "und", 3: "en", 4: "en"}

@@ -333,7 +333,7 @@ def _split(shipped: DataFrame, length: int, kind: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of every row; ``removed`` tells whether anything was."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return mark(docs.select("doc_id", "text"), length).mapInArrow(run, schema)
+    return mark(docs.select("doc_id", "text"), length).mapInArrow(run, schema).withColumn("removed", F.col("n_removed") > 0)
 
 
 def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

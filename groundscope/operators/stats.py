@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from groundscope.operators.ranking import hash_rank, value_at_rank
 
 
+#: Groups of a resample that are sent to every task, some ten MB.
+SENT_GROUPS = 500_000
+
+
 def _draw(seed: int, *parts: Column) -> Column:
     """A reproducible draw: 32 bits of a digest of the seed and the position."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
@@ -32,7 +36,8 @@ def group_bootstrap(
     """Paired difference resampled over whole groups.
 
     Groups are reduced to (sum of differences, size) before any draw, so the work is samples x groups
-    however many cases a group holds.
+    however many cases a group holds. The draws are numbered rows dealt over all tasks, no row holds a list of
+    them; up to ``SENT_GROUPS`` groups are sent to every task, so only sums per resample are exchanged.
     """
     spark = scored.sparkSession
     difference = F.col(right).cast("double") - F.col(left).cast("double")
@@ -40,13 +45,11 @@ def group_bootstrap(
     numbered = hash_rank(groups.withColumn("_h", F.md5(F.col(group).cast("string"))), [], "_h", "no", [group]).select(
         (F.col("no") - 1).alias("pick"), "d", "n"
     )
-    total = groups.agg(F.count("*").alias("n")).scalar()
-    draws = (
-        spark.range(samples)
-        .select(F.col("id").alias("b"), total.alias("groups"))
-        .select("b", "groups", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("k"))
-        .select("b", F.pmod(_draw(seed, F.col("b"), F.col("k")), F.col("groups")).alias("pick"))
+    total = groups.count()
+    draws = spark.range(samples * total).select(
+        F.expr(f"id div {max(1, total)}").alias("b"), F.pmod(_draw(seed, F.expr(f"id div {max(1, total)}"), F.col("id") % max(1, total)), F.lit(max(1, total))).alias("pick")
     )
+    numbered = F.broadcast(numbered) if total <= SENT_GROUPS else numbered
     resampled = draws.join(numbered, "pick").groupBy("b").agg((F.sum("d") / F.sum("n")).alias("value"))
     point = groups.agg((F.sum("d") / F.sum("n")).alias("delta"), F.count("*").alias("groups"))
     return _interval(resampled, point, samples)

@@ -106,3 +106,10 @@ def test_percentiles_keep_long_values(spark):
     base = 1 << 60
     df = spark.createDataFrame([(0, base + i) for i in range(100)], "k int, v long")
     assert stats.p95_nearest(df, ["k"], "v", "p").first()["p"] == base + 94
+
+
+def test_bootstrap_of_many_groups(spark):
+    df = spark.range(100_000).select(F.col("id").cast("string").alias("g"), (F.col("id") % 3 == 0).alias("l"), (F.col("id") % 2 == 0).alias("r"))
+    got = stats.group_bootstrap(df, "g", "l", "r", 40).first()
+    assert got["groups"] == 100_000 and abs(got["delta"] - 1 / 6) < 1e-4
+    assert got["low"] < got["delta"] < got["high"] and got["high"] - got["low"] < 0.02

@@ -84,3 +84,32 @@ def test_descriptions_by_header_and_encoding(spark, tmp_path):
     rows = {r["table_name"]: r for r in benchmark.read_descriptions(spark, str(tmp_path)).collect()}
     assert (rows["one"]["column_name"], rows["one"]["display_name"], rows["one"]["description"]) == ("kind", "school kind", "what")
     assert (rows["two"]["column_name"], rows["two"]["description"], rows["two"]["value_description"]) == ("town", "where", "café")
+
+
+def test_known_state_reads_no_row_and_a_changed_file_is_found(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a table {1}"
+    spark.range(400).select(F.col("id"), (F.col("id") % 3).cast("string").alias("v")).repartition(4).write.parquet(str(folder))
+    fks = spark.createDataFrame([], "db_id string, src_table string, src_column string, dst_table string, dst_column string")
+    catalog = spark.createDataFrame([("main", "t", "v", 0, "string", True, False)], "db_id string, table_name string, column_name string, ordinal int, type string, nullable boolean, is_pk boolean")
+
+    def tables():
+        return {"t": spark.read.parquet(str(folder).replace("{", "\\{").replace("}", "\\}")).select("v")}
+
+    store = KnowledgeStore(spark, str(tmp_path / "store"))
+    identity = store.build(tables(), catalog, fks)
+    with monkeypatch.context() as patch:
+        patch.setattr(KnowledgeStore, "identity", lambda *a: pytest.fail("rows were read"))
+        patch.setattr(KnowledgeStore, "_checks", lambda *a: pytest.fail("datasets were read"))
+        assert store.build(tables(), catalog, fks) == identity
+        assert store.load(tables(), catalog)["values_index"].count() == 3
+    # The same rows in other files: another state, the same identity.
+    part = sorted(folder.glob("part-*"))[0]
+    part.rename(folder / "part-renamed.snappy.parquet")
+    assert store.build(tables(), catalog, fks) == identity
+    # One file with other rows.
+    spark.createDataFrame([(1, "new")], "id long, v string").coalesce(1).write.mode("append").parquet(str(folder))
+    other = store.build(tables(), catalog, fks)
+    assert other != identity and store.load(tables(), catalog)["values_index"].filter("original = 'new'").count() == 1
+    # Frames that do not tell their content are read.
+    assert store.state({"t": spark.createDataFrame([("1",)], "v string")}, catalog) is None
+    assert store.state({"t": tables()["t"].withColumn("r", F.rand())}, catalog) is None

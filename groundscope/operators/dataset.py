@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ RECORD_INSTRUCTION = (
 
 # Signature shape of near-duplicate search: bands of minimum hashes over word runs.
 BANDS, BAND_ROWS, SHINGLE_WORDS = 16, 3, 3
-# Texts of one block when the members of a candidate component are compared.
-BLOCK_TEXTS = 200
+# Texts of one block when the members of a bucket are compared, and runs of a slice of their matrix.
+BLOCK_TEXTS, RUN_SLICE = 200, 8192
 
 #: Rounds of the two-key scan before a rest of at most so many rows is scanned by one task.
 ROUNDS, SCAN_ROWS = 6, 200_000
@@ -70,28 +71,72 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _ties(unit: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Ties between the texts of two blocks that hold each class of linked texts together."""
-    ids, sets = unit["rep"].tolist(), [set(r) for r in unit["runs"]]
-    found, left = [], set(range(len(ids)))
-    while left:
-        todo = [left.pop()]
+    """Ties between the texts of two blocks that hold each class of linked texts together.
+
+    Common runs are counted by products of slices of the text-by-run matrix.
+    """
+    ids, sizes = unit["rep"].tolist(), unit["runs"].map(len).to_numpy()
+    rows = np.repeat(np.arange(len(ids)), sizes)
+    runs, column, held = np.unique(np.concatenate(unit["runs"].to_list()), return_inverse=True, return_counts=True)
+    several = held[column] > 1
+    rows, column = rows[several], column[several]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    _, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(ids), len(ids)), dtype=np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, RUN_SLICE):
+        first, last = np.searchsorted(column, [at, at + RUN_SLICE])
+        matrix = np.zeros((len(ids), RUN_SLICE), dtype=np.float32)
+        matrix[rows[first:last], column[first:last] - at] = 1
+        common += (matrix @ matrix.T).astype(np.int64)
+    near = common >= threshold * (sizes[:, None] + sizes[None] - common)
+    found, left = [], np.ones(len(ids), dtype=bool)
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo] = False
         while todo:
             a = todo.pop()
-            near = [b for b in left if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
-            left.difference_update(near)
-            todo += near
-            found += [(ids[a], ids[b]) for b in near]
+            mine = np.flatnonzero(near[a] & left)
+            left[mine] = False
+            todo += mine.tolist()
+            found += [(ids[a], ids[b]) for b in mine]
     return pd.DataFrame(found, columns=["leader", "rep"])
 
 
+def _minimum_bands(row: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """A digest per band of the minimum hashes of its rows."""
+    h = np.asarray(row, dtype=np.int64).view(np.uint64)
+    least = np.empty(len(factor), dtype=np.uint64)
+    for i in range(len(factor)):
+        mixed = (h ^ shift[i]) * factor[i]
+        least[i] = (mixed ^ (mixed >> np.uint64(32))).min()
+    digest = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND_ROWS).T:
+        digest = (digest ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        digest ^= digest >> np.uint64(29)
+    return digest.view(np.int64)
+
+
+def _buckets(runs: str) -> Column:
+    """One bucket per band for an array of hashed runs."""
+    rng = np.random.default_rng(11)
+    factor, shift = (rng.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    @F.pandas_udf("array<long>")
+    def of(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: _minimum_bands(row, factor, shift))
+
+    return of(runs)
+
+
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Groups of equal or nearly equal texts: (id, group_id), group_id = smallest id of the group.
 
-    Definition: texts with the same key form one text. Distinct texts are hashed into bands of minimum
-    hashes over their word runs. Texts that share a bucket are tied to its smallest id; the components of
-    these ties hold all candidate pairs. Components are cut into blocks of texts, each pair of blocks compares
-    all its texts whole and returns ties along a search tree of the pairs that reach the Jaccard threshold,
-    never the pairs. Groups are the components of these links.
+    Definition: texts with the same key form one text; distinct texts whose sets of word runs reach the Jaccard
+    threshold are linked; groups are the components of the links. Texts meet in buckets, bands of minimum hashes of their
+    runs; a pair at the threshold of 0.7 meets nowhere with probability 0.0012. Buckets of equal members count once.
+    The members of a bucket are compared whole, a large bucket in pairs of blocks, and each unit returns ties along
+    a search tree of the linked pairs, never the pairs; so work follows the meetings.
     """
     keyed = texts.select("id", text.question_key("text").alias("key"))
     exact = keyed.groupBy(F.sha2("key", 256).alias("digest")).agg(F.min("id").alias("rep"), F.any_value("key").alias("key"))
@@ -99,23 +144,21 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame
     words = F.split("key", " ")
     runs = text.shingles(words, SHINGLE_WORDS)
     pieces = F.when(F.size(runs) > 0, runs).otherwise(F.array("key"))
-    sets = cut_lineage(exact.select("rep", F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))).alias("runs")))
-    minima = sets.select("rep", F.explode("runs").alias("h")).groupBy("rep").agg(
-        *[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * BAND_ROWS)]
-    )
-    bands = F.array(*[
-        F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)
-    ])
-    members = minima.select("rep", F.posexplode(bands).alias("band", "bucket"))
-    ties = members.join(members.groupBy("band", "bucket").agg(F.min("rep").alias("leader")), ["band", "bucket"]).filter("rep <> leader")
-    parts = components(ties.select("leader", "rep").distinct(), "leader", "rep").withColumnRenamed("label", "part")
-    blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
-    units = parts.join(blocks, "part").join(sets, F.col("node") == F.col("rep")).select(
-        "part", "rep", "runs", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"),
+    sets = exact.filter("key IS NOT NULL").select("rep", F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))).alias("runs"))
+    sets = cut_lineage(sets.withColumn("buckets", _buckets("runs")))
+    members = sets.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    met = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("d1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("d2")
+    ).filter("n > 1")
+    kept = met.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket"))
+    blocks = kept.select("bucket", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    placed = cut_lineage(members.join(blocks, "bucket"))
+    units = placed.join(sets.select("rep", "runs"), "rep").select(
+        "bucket", "rep", "runs", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     kind = dict(texts.dtypes)["id"]
-    links = cut_lineage(units.groupBy("part", "i", "j").applyInPandas(lambda unit: _ties(unit, threshold), f"leader {kind}, rep {kind}"))
+    links = cut_lineage(units.groupBy("bucket", "i", "j").applyInPandas(lambda unit: _ties(unit, threshold), f"leader {kind}, rep {kind}").distinct())
     grouped = exact.select("digest", "rep")
     labels = components(links, "leader", "rep")
     grouped = grouped.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("rep"))

@@ -73,7 +73,15 @@ def exclude_reasons(spark, sf):
     return found.select("idx", "reject_reason")
 
 
-@query("near_duplicates")
+@query("near_duplicates", """WITH RECURSIVE k AS (SELECT doc_id AS id, trim(regexp_replace(replace(translate(lower(text), 'ςſ', 'σs'), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', ' ', 'g')) AS key FROM documents),
+ e AS (SELECT key, min(id) AS rep FROM k GROUP BY key), w AS (SELECT rep, key, string_split(key, ' ') AS ws FROM e),
+ s AS (SELECT rep, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) ELSE [key] END) AS runs FROM w),
+ x AS (SELECT rep, len(runs) AS n, unnest(runs) AS run FROM s),
+ p AS (SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS c FROM x a JOIN x b ON a.run = b.run AND a.rep < b.rep GROUP BY ALL HAVING count(*) >= 0.7::DOUBLE * (a.n + b.n - count(*))),
+ edges AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ reach AS (SELECT rep AS id, rep AS r FROM e UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+ g AS (SELECT id AS rep, min(r) AS group_id FROM reach GROUP BY 1)
+ SELECT id, group_id FROM k JOIN e USING (key) JOIN g USING (rep)""")
 def near_duplicates(spark, sf):
     """Groups of equal and nearly equal documents, whole texts."""
     return dataset.near_duplicate_groups(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -5,6 +5,7 @@ Every selection is ordered by a seeded digest, so it does not depend on input or
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -117,16 +118,39 @@ def _minimum_bands(row: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np
     return digest.view(np.int64)
 
 
-def _buckets(runs: str) -> Column:
-    """One bucket per band for an array of hashed runs."""
+def _hashed_runs(key: str, words: dict[str, int]) -> np.ndarray:
+    """Distinct hashes of the word runs of a key; a key of fewer words is one run. ``words`` remembers hashes of words."""
+    split = key.split(" ")
+    if len(split) < SHINGLE_WORDS:
+        return np.array([_digest(key) ^ 1], dtype=np.uint64).view(np.int64)
+    for w in set(split):
+        if w not in words:
+            words[w] = _digest(w)
+    each = np.fromiter(map(words.__getitem__, split), dtype=np.uint64, count=len(split))
+    count = len(split) - SHINGLE_WORDS + 1
+    runs = np.zeros(count, dtype=np.uint64)
+    for i in range(SHINGLE_WORDS):
+        runs = (runs ^ each[i : i + count]) * np.uint64(0xD6E8FEB86659FD93)
+        runs ^= runs >> np.uint64(32)
+    return np.unique(runs).view(np.int64)
+
+
+def _digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _signature(key: str) -> Column:
+    """The hashed word runs of a key, and one bucket per band."""
     rng = np.random.default_rng(11)
     factor, shift = (rng.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
-    @F.pandas_udf("array<long>")
-    def of(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda row: _minimum_bands(row, factor, shift))
+    @F.pandas_udf("struct<runs: array<long>, buckets: array<long>>")
+    def of(keys: pd.Series) -> pd.DataFrame:
+        words: dict[str, int] = {}
+        runs = [_hashed_runs(key, words) for key in keys]
+        return pd.DataFrame({"runs": runs, "buckets": [_minimum_bands(r, factor, shift) for r in runs]})
 
-    return of(runs)
+    return of(key)
 
 
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -138,14 +162,10 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame
     The members of a bucket are compared whole, a large bucket in pairs of blocks, and each unit returns ties along
     a search tree of the linked pairs, never the pairs; so work follows the meetings.
     """
-    keyed = texts.select("id", text.question_key("text").alias("key"))
-    exact = keyed.groupBy(F.sha2("key", 256).alias("digest")).agg(F.min("id").alias("rep"), F.any_value("key").alias("key"))
-    exact = cut_lineage(exact)
-    words = F.split("key", " ")
-    runs = text.shingles(words, SHINGLE_WORDS)
-    pieces = F.when(F.size(runs) > 0, runs).otherwise(F.array("key"))
-    sets = exact.filter("key IS NOT NULL").select("rep", F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))).alias("runs"))
-    sets = cut_lineage(sets.withColumn("buckets", _buckets("runs")))
+    # Keys are made once; three steps read them.
+    keyed = cut_lineage(texts.select("id", text.question_key("text").alias("key")).select("id", "key", F.sha2("key", 256).alias("digest")))
+    exact = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("key").alias("key"))
+    sets = cut_lineage(exact.filter("key IS NOT NULL").select("rep", _signature("key").alias("s")).select("rep", "s.*"))
     members = sets.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"))
     met = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("d1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("d2")
@@ -162,7 +182,7 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.7) -> DataFrame
     grouped = exact.select("digest", "rep")
     labels = components(links, "leader", "rep")
     grouped = grouped.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("rep"))
-    return keyed.select("id", F.sha2("key", 256).alias("digest")).join(grouped, "digest").select(
+    return keyed.select("id", "digest").join(grouped, "digest").select(
         "id", F.col("rep").alias("group_id")
     )
 

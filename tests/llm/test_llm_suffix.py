@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -47,6 +48,45 @@ def test_equals_brute_force(spark, monkeypatch, length, bucket):
     compare(spark, mixed(length), length)
 
 
+def cut_words(texts, words):
+    """Every window of ``words`` words is counted as it stands; stretches of words that repeated windows cover are cut."""
+    places = [list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]", t)) for t in texts]
+    windows = [[tuple(m.group() for m in p[i : i + words]) for i in range(len(p) - words + 1)] for p in places]
+    counts, out = Counter(w for ws in windows for w in ws), []
+    for text, p, ws in zip(texts, places, windows):
+        gone = {j for i, w in enumerate(ws) if counts[w] > 1 for j in range(i, i + words)}
+        left, at = [], 0
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                a = p[i].start()
+            if i + 1 not in gone and len(text[a : p[i].end()].split()) >= words:
+                left.append(text[at:a])
+                at = p[i].end()
+        out.append(b"".join(left) + text[at:])
+    return out
+
+
+@pytest.mark.parametrize("bucket", [20_000, 1])
+def test_words_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    rng = random.Random(7)
+    vocabulary = ["a", "the", "cat", "né", "x-y", "3.5", "—", "don't", "(so)", "end."]
+    base = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(4)]
+    texts = [None, "", "a", "a " * 40]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            a, some = rng.randint(0, 50), rng.choice(base)
+            parts += some[a : a + rng.randint(1, 30)] if rng.random() < 0.7 else [rng.choice(vocabulary) for _ in range(rng.randint(1, 20))]
+        texts.append("".join(p + rng.choice([" ", "  ", "\n"]) for p in parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # No string of 5,000 bytes exists: words alone decide.
+    got = {r["doc_id"]: r["text"] for r in S.without_repeats(docs, 5000, 12).collect()}
+    wanted = cut_words([(t or "").encode() for t in texts], 12)
+    assert [got[i] or "" for i in range(len(texts))] == [w.decode("utf-8", "ignore") for w in wanted]
+    assert sum(len(w) < len((t or "").encode()) for w, t in zip(wanted, texts)) > 10
+
+
 def test_tables_equal_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     compare(spark, rows, 400)

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from groundscope.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
 from groundscope.llm.common import shelve, table
 
-#: Runs of at least this many words are cut out; repeated strings of the fewest bytes these can have are looked for.
+#: Passages of this many words are cut out if they repeat, however few bytes they have, and those of as many bytes as op6 removes.
 PASSAGE_WORDS = 50
-PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
+    return suffix_dedup.without_repeats(docs, suffix_dedup.LENGTH, PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +45,8 @@ STAGES = [
     ("benchmark_decontamination", drop_contaminated),
     ("best_fit_packing", pack),
 ]
-#: No stage but the third and fourth could be told in SQL; tests/llm compares each with a brute-force version.
+#: SQL cannot express the stages. tests/llm compares run() with its stages; those of edit distance, Jaccard links and repeated
+#: strings have brute-force tests of their own, the whole run has none.
 ORACLE_SQL = None
 
 

@@ -66,21 +66,24 @@ HINT = re.compile(
     r"|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Text of an article, which goes only if a whole class name is of the kind above.
+TEXT = LEAF | {"section"}
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ARTICLE = frozenset(["article", "main"])
 
 
 class Node:
-    __slots__ = ("tag", "mark", "items", "dropped", "inside")
+    __slots__ = ("tag", "mark", "items", "dropped", "inside", "partly")
 
     def __init__(self, tag: str, mark: str = "", dropped: bool = False):
         self.tag, self.mark, self.items, self.dropped, self.inside = tag, mark, [], dropped, False
+        self.partly = False  # dropped for a part of a longer class name or id only
 
 
 def _opened(tag: str, rest: str, inside: bool) -> Node:
     """A node of a start tag; ``inside``: within an article, where a header belongs to the text."""
-    mark, dropped = "", tag in DROPPED or (tag == "header" and not inside)
+    mark, classes, partly, dropped = "", "", False, tag in DROPPED or (tag == "header" and not inside)
     if rest and tag not in ("html", "body"):
         names = []
         for name, a, b, c in ATTRIBUTE.findall(rest):
@@ -89,12 +92,18 @@ def _opened(tag: str, rest: str, inside: bool) -> Node:
                 dropped |= value.lower() in ROLE
             elif name in ("class", "id"):
                 names.append(value)
+                classes += f" {value}" if name == "class" or "comment" in value.lower() else ""
             else:
                 dropped |= value.lower() in ("", "true", "hidden")
         mark = " ".join(names)
-        if mark and tag not in ARTICLE and (HINT.search(mark) or not inside and HEADER.search(mark)):
-            dropped = True
-    return Node(tag, mark, dropped)
+        if mark and tag not in ARTICLE:
+            whole = any(HINT.fullmatch(name) for name in classes.split()) if inside and tag in TEXT else HINT.search(mark)
+            if whole or not inside and HEADER.search(mark):
+                partly = not dropped and not any(HINT.fullmatch(name) or HEADER.fullmatch(name) for name in mark.split())
+                dropped = True
+    node = Node(tag, mark, dropped)
+    node.partly = partly
+    return node
 
 
 def _ends(tokens: list[re.Match]) -> dict[int, int]:
@@ -228,15 +237,15 @@ def blocks(node: Node, out: list[list[str]]) -> None:
                 out.append([])
 
 
-def articles(node: Node) -> list[Node]:
-    """The outermost articles and main parts in page order."""
+def articles(node: Node, partly: bool = False) -> list[Node]:
+    """The outermost articles and main parts in page order, with ``partly`` also those in elements of such names."""
     out, todo = [], [node]
     while todo:
         top = todo.pop()
         if top.tag in ARTICLE and top is not node:
             out.append(top)
         else:
-            todo += [i for i in reversed(top.items) if isinstance(i, Node) and not i.dropped]
+            todo += [i for i in reversed(top.items) if isinstance(i, Node) and (not i.dropped or partly and i.partly)]
     return out
 
 
@@ -253,7 +262,8 @@ def has_text(node: Node) -> bool:
 
 
 def text_of(root: Node) -> str:
-    chosen = [c for c in articles(root) if has_text(c)] or [root]
+    # A layout class such as "with-sidebar" does not hide the only article of a page.
+    chosen = [c for c in articles(root) if has_text(c)] or [c for c in articles(root, True) if has_text(c)] or [root]
     out: list[list[str]] = [[]]
     for node in chosen:
         blocks(node, out)

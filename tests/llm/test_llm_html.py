@@ -21,6 +21,21 @@ def test_extract(source, text):
     assert extract(source or "") == text
 
 
+NAMES = [
+    ('<div class="content with-sidebar"><article><p>real text</p></article></div>', "real text"),
+    ('<div class="has-cookie-notice"><main><p>real text</p></main></div>', "real text"),
+    ('<article><p>a</p><h2 id="related-work">b</h2><section id="legal">c</section><p class="social-history">d</p></article>', "a\n\nb\n\nc\n\nd"),
+    ('<article><p>a</p><p class="x advert">no</p><section class="comments">no</section><section id="comments">no</section></article>', "a"),
+    ('<div class="sidebar"><article>no</article></div><p>a</p>', "a"),
+    ('<div class="with-sidebar"><article>no</article></div><article>a</article>', "a"),
+]
+
+
+@pytest.mark.parametrize("source, text", NAMES)
+def test_names_of_elements(source, text):
+    assert extract(source) == text
+
+
 SILENT = [
     ("<article><p>a <svg class=x viewBox='0'/> b</p><p>c</p></article>", "a b\n\nc"), ("<p>x <math/> y</p><p>z</p>", "x y\n\nz"),
     ("<p>see <math><mi>n</mi><mo>+</mo><mn>1</mn></math> here</p>", "see n+1 here"), ("<p>a<object data=f>fallback</object></p>", "afallback"),

@@ -363,7 +363,7 @@ def mark(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     Strings of ``length`` bytes and, unless 0, those of ``words`` words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # One frame of texts serves both joins, so that its exchange is made once.
+    # One frame of texts serves both joins. Both read all its columns, used or not, so that they share one exchange.
     full = docs.withColumn(HASH, F.xxhash64("text", F.lit(1)))
     slim = full.select("doc_id", F.col(HASH).alias("h"), "text")
     # Most names occur once and end here: names alone are counted, combined before they are shuffled. Written first, so
@@ -385,7 +385,8 @@ def mark(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     def with_texts(side: DataFrame, how: str) -> DataFrame:
         return full.join(side.hint("merge"), full["doc_id"].eqNullSafe(side["doc_id"]) & (full[HASH] == side["h"]), how)
 
-    shipped = with_texts(needed, "inner").select(full["doc_id"], full[HASH], full["text"], needed["places"]).mapInArrow(
+    rest = [full[c] for c in docs.columns if c not in ("doc_id", "text")]
+    shipped = with_texts(needed, "inner").select(full["doc_id"], full[HASH], full["text"], needed["places"].alias(PLACES), *rest).mapInArrow(
         _surroundings(length, words), f"doc_id {kind}, h long, worded boolean, place int, name long, hot boolean, left binary, right binary"
     )
     bucketed = shipped.filter("not hot").repartition("name").sortWithinPartitions("name", "worded")

@@ -315,22 +315,3 @@ def scope(packed: DataFrame, byte_budget: int = BYTE_BUDGET) -> DataFrame:
     sized = scoped.withColumn("section", section).withColumn("section_bytes", F.octet_length("section")).drop("bytes_used")
     ordered = sized.withColumnRenamed("position", "fact_position")
     return prefix_pack(ordered, ["question_id"], [F.col("fact_position")], "section_bytes", byte_budget, separator=1)
-
-
-def bounded_packet(values: DataFrame, columns: DataFrame, paths: DataFrame, byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT) -> DataFrame:
-    """Value, join-path and column facts as a JSON list under a count and byte budget.
-
-    ``values``: question_id, table_name, column_name, printed_value, matched_phrase, frequency.
-    ``columns``: question_id, table_name, column_name, matched_terms. ``paths``: question_id, tables.
-    """
-    kind = lambda name: F.lit(name).alias("kind")
-    value_rows = values.select("question_id", F.lit(1).alias("priority"), "table_name", "column_name", F.col("printed_value").alias("tie"), F.to_json(F.struct(
-        kind("value"), F.col("table_name").alias("table"), F.col("column_name").alias("column"), "printed_value", "frequency", "matched_phrase")).alias("fact"))
-    path_rows = top_k(paths.withColumn("tie", F.array_join("tables", ">")), ["question_id"], [F.col("tie")], 4, rank="_r").select(
-        "question_id", F.lit(2).alias("priority"), F.lit("").alias("table_name"), F.lit("").alias("column_name"), "tie",
-        F.to_json(F.struct(kind("join_path"), "tables")).alias("fact"))
-    column_rows = columns.select("question_id", F.lit(3).alias("priority"), "table_name", "column_name", F.lit("").alias("tie"), F.to_json(F.struct(
-        kind("column"), F.col("table_name").alias("table"), F.col("column_name").alias("column"), "matched_terms")).alias("fact"))
-    facts = value_rows.unionByName(path_rows).unionByName(column_rows).withColumn("bytes", F.octet_length("fact"))
-    order = [F.col(c) for c in ("priority", "table_name", "column_name", "tie", "fact")]
-    return greedy_pack(facts, ["question_id"], order, "bytes", byte_budget, limit=fact_limit, separator=1, base=2)

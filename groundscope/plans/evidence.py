@@ -7,9 +7,11 @@ from pyspark.sql import types as T
 
 from groundscope.functions import text
 from groundscope.functions.encoder import hashed_encoder, l2_normalize
-from groundscope.operators import catalog, evidence, match, metrics, probe, profile, retrieve, stats
+from groundscope.operators import bounded, catalog, evidence, match, metrics, probe, profile, retrieve, stats
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.plans import inputs
+from groundscope.plans.grounding import PHRASES_SQL
+from groundscope.plans.profiling import PROFILE_SQL
 from groundscope.plans.registry import query
 from groundscope.session import cut_lineage
 from groundscope.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, STAR_TABLES, catalog_columns, catalog_fks, read_table, read_tables
@@ -466,22 +468,80 @@ def verified_packet(spark, sf):
     return probe.verify(evidence.scope(packed), counts, fks)
 
 
-@query("bounded_packet")
+_DESCRIBED = sorted(inputs.TEXT_COLUMNS)
+_PACKET_FKS = [e for e in FOREIGN_KEYS if e[0] in _DESCRIBED and e[2] in _DESCRIBED]
+_PACKET_TEXTS = [("customer", "c_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority")]
+_SMALL_PARTS = [("part", "p_name"), ("part", "p_type"), ("customer", "c_name")]
+_CUSTOMERS = [("customer", "c_name"), ("customer", "c_mktsegment"), ("nation", "n_name")]
+
+
+def _pairs(columns) -> str:
+    return ", ".join(f"('{t}', '{c}')" for t, c in columns)
+
+
+def _json(*fields: str) -> str:
+    return "to_json({" + ", ".join(fields) + "})::VARCHAR"
+
+
+_TOKENS = "list_distinct(list_transform(regexp_extract_all(lower(replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), '[a-z0-9]+'), lambda w: (CASE WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END)))"
+_EVERY_TEXT = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c} AS value, count(*) AS frequency FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in inputs.TEXT_COLUMNS.items() for c in cs)
+BOUNDED_SQL = f"""WITH RECURSIVE asked AS ({inputs.PART_QUESTIONS_SQL} UNION ALL {inputs.CUSTOMER_QUESTIONS_SQL}), {PHRASES_SQL}, idx AS ({inputs.INDEX_SQL}), prof AS ({PROFILE_SQL}),
+sel AS (SELECT 'p-' || p_partkey AS question_id, s.* FROM part, (VALUES {_pairs(_SMALL_PARTS)}) s(t, c) WHERE p_size <= 25 UNION ALL SELECT 'c-' || c_custkey, s.* FROM customer, (VALUES {_pairs(_CUSTOMERS)}) s(t, c)),
+limited AS (SELECT DISTINCT question_id FROM sel),
+met AS (SELECT l, r FROM (SELECT DISTINCT normalized AS l FROM base), (SELECT DISTINCT normalized AS r FROM idx) WHERE l = r OR (length(l) >= 3 AND contains(r, l)) OR (length(r) >= 3 AND contains(l, r))),
+val AS (SELECT question_id, table_name AS t, column_name AS c, original, idx.normalized, frequency, arg_min(phrase, pos) AS phrase FROM base JOIN met ON l = base.normalized JOIN idx ON idx.normalized = r
+ WHERE question_id NOT IN (FROM limited) OR (question_id, table_name, column_name) IN (FROM sel) GROUP BY 1, 2, 3, 4, 5, 6),
+qt AS (SELECT question_id, unnest({_TOKENS.format("question")}) AS term FROM asked), ct AS (SELECT table_name AS t, column_name AS c, unnest({_TOKENS.format("table_name || ' ' || column_name || ' ' || description")}) AS term FROM prof WHERE table_name IN {tuple(_DESCRIBED)}),
+col AS (SELECT question_id, t, c, list_sort(list(term)) AS terms FROM qt JOIN ct USING (term) WHERE question_id NOT IN (FROM limited) OR (question_id, t, c) IN (FROM sel) GROUP BY 1, 2, 3),
+path AS (SELECT question_id, no, tables FROM asked, (VALUES {", ".join(f"({i}, ['{s}', '{d}'])" for i, (s, _, d, _) in enumerate(_PACKET_FKS))}) p(no, tables)),
+have AS (SELECT question_id, sum(n)::BIGINT AS facts FROM (SELECT question_id, count(*) AS n FROM val GROUP BY 1 UNION ALL SELECT question_id, count(*) FROM col GROUP BY 1 UNION ALL SELECT question_id, count(*) FROM path GROUP BY 1) GROUP BY 1),
+miss AS (SELECT question_id, phrase, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS i FROM base WHERE (question_id, normalized) NOT IN (SELECT (question_id, lower(phrase)) FROM val) QUALIFY i <= 4),
+txt AS (SELECT t, c, row_number() OVER () AS o FROM (VALUES {_pairs([*_PACKET_TEXTS, ("nation", "n_name"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type")])}) v(t, c)), every AS (SELECT t, c, CASE t WHEN 'customer' THEN 1 WHEN 'nation' THEN 2 WHEN 'orders' THEN 3 ELSE 4 END * 100 + o AS o FROM txt),
+pc AS (SELECT question_id, t, c, row_number() OVER (PARTITION BY question_id ORDER BY o) AS j FROM (SELECT question_id, t, c, o FROM sel JOIN every USING (t, c) UNION ALL SELECT question_id, t, c, o FROM asked, every WHERE question_id NOT IN (FROM limited)) QUALIFY j <= 4),
+every_text AS ({_EVERY_TEXT}), words AS (SELECT DISTINCT phrase, t, c FROM miss JOIN pc USING (question_id)),
+hit AS (SELECT phrase, words.t, words.c, value, frequency FROM words JOIN every_text e ON e.t = words.t AND e.c = words.c AND contains(lower(value), lower(phrase)) QUALIFY row_number() OVER (PARTITION BY phrase, words.t, words.c ORDER BY frequency DESC, value) <= 5),
+pair AS (SELECT question_id, i, j, n, row_number() OVER (PARTITION BY question_id ORDER BY i, j) AS step FROM (SELECT question_id, i, j, (SELECT count(*) FROM hit WHERE hit.phrase = miss.phrase AND hit.t = pc.t AND hit.c = pc.c) AS n FROM miss JOIN pc USING (question_id))),
+walk AS (SELECT question_id, 0::BIGINT AS step, 0 AS probes, coalesce(facts, 0) AS facts, 0::BIGINT AS answered, 0::BIGINT AS i, 0::BIGINT AS j, false AS made FROM asked LEFT JOIN have USING (question_id)
+ UNION ALL SELECT question_id, pair.step, CASE WHEN go THEN probes + 1 ELSE probes END, CASE WHEN go THEN facts + n ELSE facts END, CASE WHEN go AND n > 0 THEN pair.i ELSE answered END, pair.i, pair.j, go AND n > 0
+ FROM (SELECT w.question_id, w.probes, w.facts, w.answered, p.step, p.i, p.j, p.n, probes < 4 AND facts < 12 AND answered <> p.i AS go FROM walk w JOIN pair p ON p.question_id = w.question_id AND p.step = w.step + 1) pair),
+fact AS (SELECT question_id, 1 AS priority, t, c, 0 AS stage, 0::BIGINT AS f1, -frequency AS f2, original AS f3, {_json("kind: 'value'", "'table': t", "'column': c", "printed_value: original", "normalized_value: normalized", "frequency: frequency", "pattern: NULL", "numeric_value: NULL", "date_value: NULL", "matched_phrase: phrase", "reason: 'exact_or_normalized_value'")} AS fact FROM val
+ UNION ALL SELECT question_id, 1, t, c, 1, i, -frequency, value, {_json("kind: 'value'", "'table': t", "'column': c", "printed_value: value", "normalized_value: lower(value)", "frequency: frequency", "matched_phrase: phrase", "reason: 'bounded_read_only_probe'")} FROM walk JOIN miss USING (question_id, i) JOIN pc USING (question_id, j) JOIN hit USING (phrase, t, c) WHERE made
+ UNION ALL SELECT question_id, 2, '', '', 0, no, 0, '', {_json("kind: 'join_path'", "tables: tables", "reason: 'foreign_key_closure'")} FROM path
+ UNION ALL SELECT question_id, 3, t, c, 0, 0, 0, '', {_json("kind: 'column'", "'table': t", "'column': c", "description: description", "declared_type: declared_type", "types: types::JSON", "numeric_min: numeric_min", "numeric_max: numeric_max", "reason: 'question_description_overlap'", "matched_terms: terms")} FROM col JOIN prof ON t = table_name AND c = column_name
+ UNION ALL SELECT question_id, 0, '', '', 0, 0, 0, '', {_json("kind: 'oracle_benchmark_evidence'", "text: left(said, 1200)", "reason: 'diagnostic_only'")} FROM (SELECT question_id, trim(string_split(question, 'Benchmark evidence:')[2], ' ' || chr(10)) AS said FROM asked) WHERE length(said) > 0),
+line AS (SELECT question_id, mode, fact, strlen(fact) AS b, row_number() OVER (PARTITION BY question_id, mode ORDER BY priority, t, c, stage, f1, f2, f3) AS k FROM fact JOIN (VALUES ('oracle', 0), ('generated', 1)) m(mode, least) ON priority >= least),
+fold AS (SELECT question_id, mode, 0::BIGINT AS k, 2::BIGINT AS used, 0 AS cnt, '' AS body FROM asked, (VALUES ('none'), ('oracle'), ('generated')) m(mode)
+ UNION ALL SELECT f.question_id, f.mode, l.k, CASE WHEN cnt < 12 AND used + b + (cnt > 0)::INT <= 4096 THEN used + b + (cnt > 0)::INT ELSE used END, CASE WHEN cnt < 12 AND used + b + (cnt > 0)::INT <= 4096 THEN cnt + 1 ELSE cnt END,
+ CASE WHEN cnt < 12 AND used + b + (cnt > 0)::INT <= 4096 THEN body || CASE WHEN cnt > 0 THEN ',' ELSE '' END || fact ELSE body END FROM fold f JOIN line l ON l.question_id = f.question_id AND l.mode = f.mode AND l.k = f.k + 1 WHERE cnt < 12)
+SELECT question_id, mode, arg_max(cnt, k) AS n_facts, arg_max(used, k) AS n_bytes, '[' || arg_max(body, k) || ']' AS "text" FROM fold GROUP BY question_id, mode"""
+
+
+@query("bounded_packet", BOUNDED_SQL)
 def bounded_packet(spark, sf):
-    """Value, path and column facts as budgeted JSON."""
-    asked = inputs.part_questions(spark, sf)
-    _, described, index, _ = knowledge(spark, sf)
-    values = match.phrase_values(match.question_phrases(asked), index).select(
-        "question_id", "table_name", "column_name", F.col("original").alias("printed_value"), "frequency", F.col("phrase").alias("matched_phrase")
+    """The bounded packets of all questions in all modes; customers and small parts ask about selected columns only."""
+    asked = inputs.part_questions(spark, sf).unionByName(inputs.customer_questions(spark, sf))
+    tables = read_tables(spark, sf, _DESCRIBED)
+    columns = catalog_columns(spark, tables, PRIMARY_KEYS)
+    counts = cut_lineage(profile.value_counts(tables))
+    notes = columns.filter("column_name LIKE '%_mktsegment'").select(
+        "table_name", "column_name", F.lit("segment").alias("display_name"), F.lit("market segment of the customer").alias("description"), F.lit("").alias("value_description")
     )
-    columns = evidence.column_relevance(asked, described).select(
-        "question_id", "table_name", "column_name", F.array_union("said", "named").alias("matched_terms")
-    ).filter(F.size("matched_terms") > 0)
-    _, fks, paths = star(spark, sf)
-    hops = values.select("question_id", "table_name").distinct().join(
-        paths.filter(F.size("path") > 1).select(F.col("start").alias("table_name"), "stop", "path"), "table_name"
-    ).filter("stop = 'orders'").select("question_id", F.col("path").alias("tables"))
-    return evidence.bounded_packet(values, columns, hops)
+    described = cut_lineage(profile.column_profile(counts, columns, notes))
+
+    def chosen(listed):
+        return F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in listed])).alias("c")
+
+    small = read_table(spark, sf, "part").filter("p_size <= 25").select(F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("question_id"), chosen(_SMALL_PARTS))
+    others = read_table(spark, sf, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("question_id"), chosen(_CUSTOMERS))
+    selected = small.unionByName(others).select("question_id", "c.*")
+    links = F.explode(F.array(*[F.struct(F.lit(i).alias("path_no"), F.array(F.lit(s), F.lit(d)).alias("tables")) for i, (s, _, d, _) in enumerate(_PACKET_FKS)]))
+    paths = asked.select("question_id", links.alias("p")).select("question_id", "p.*")
+    facts = bounded.gather(asked, inputs.text_index(spark, sf), described, columns, counts, paths, selected)
+    texts = None
+    for mode in bounded.MODES:
+        one = bounded.packet_texts(asked, bounded.pack(facts, mode), mode).drop("identity")
+        texts = one if texts is None else texts.unionByName(one)
+    return texts
 
 
 @query("route_ablation")

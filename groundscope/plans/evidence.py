@@ -10,10 +10,11 @@ from groundscope.functions.encoder import hashed_encoder, l2_normalize
 from groundscope.operators import bounded, catalog, evidence, match, metrics, probe, profile, retrieve, stats
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.plans import inputs
-from groundscope.plans.grounding import PHRASES_SQL
-from groundscope.plans.profiling import PROFILE_SQL
+from groundscope.plans.grounding import CONCEPT_STOP, PHRASES_SQL
+from groundscope.plans.profiling import EVERY_COLUMN, PROFILE_SQL
 from groundscope.plans.registry import query
 from groundscope.session import cut_lineage
+from groundscope.sources.store import KnowledgeStore
 from groundscope.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, STAR_TABLES, catalog_columns, catalog_fks, read_table, read_tables
 
 STAR_COLUMNS = {
@@ -147,6 +148,25 @@ DESCRIPTIONS = [
 _DESCRIPTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "column_name", "display_name", "description", "value_description")])
 
 
+#: Columns of the described tables in schema order, with the SQL of those that are printed.
+_PRINTED = {"total_text": "format('{:,.2f}', o_totalprice)", "season": "year(o_orderdate) || '/' || (year(o_orderdate) + 1)"}
+DESCRIBED_COLUMNS = {
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "customer": ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "total_text", "season"], "nation": ["n_nationkey", "n_name"],
+}
+_TYPES = {(t, c): declared for t, c, declared in EVERY_COLUMN}
+_DESCRIBED_ROWS = ", ".join(
+    f"('{t}', '{c}', {i}, '{_TYPES.get((t, c), 'string')}', {PRIMARY_KEYS[t] == c})" for t, cs in DESCRIBED_COLUMNS.items() for i, c in enumerate(cs)
+)
+_DESCRIBED_VALUES = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, ({_PRINTED.get(c, c)})::VARCHAR AS value, count(*) AS frequency FROM {t} WHERE {_PRINTED.get(c, c)} IS NOT NULL GROUP BY 3"
+    for t, cs in DESCRIBED_COLUMNS.items() for c in cs
+)
+_DESCRIBED_LINKS = ", ".join(repr(e) for e in FOREIGN_KEYS if e[0] in DESCRIBED_COLUMNS and e[2] in DESCRIBED_COLUMNS)
+#: Identifier tokens (T2) of a text, each once.
+_TOKENS = "list_distinct(list_transform(regexp_extract_all(translate(replace(lower(replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), 'ß', 'ss'), 'ςſ', 'σs'), '[a-z0-9]+'), lambda w: (CASE WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END)))"
+
+
 def described_tables(spark, sf):
     """The tables whose values and columns the questions are grounded in, with printed columns."""
     year = F.year("o_orderdate")
@@ -182,7 +202,8 @@ def _sampled(spark, sf):
     notes = spark.createDataFrame(DESCRIPTIONS, _DESCRIPTION_SCHEMA).coalesce(1).select(
         "table_name", "column_name", F.left(text.squeeze(F.concat_ws(" ", "description", "value_description")), F.lit(160)).alias("note")
     )
-    place = F.concat_ws(".", "table_name", "column_name")
+    listed = [f"{t}.{c}" for t, cs in DESCRIBED_COLUMNS.items() for c in cs]
+    place = F.array_position(F.array(*[F.lit(c) for c in listed]), F.concat_ws(".", "table_name", "column_name"))
     return union.join(notes, ["table_name", "column_name"], "left").fillna("", ["note"]).withColumns({
         "holds_text": (F.col("storage") == "text") & (F.col("typed_count") > 0), "schema_pos": place,
     })
@@ -219,7 +240,13 @@ def compact_schema(spark, sf):
     return catalog.compact_schema(asked, columns, fks, notes, byte_budget=900)
 
 
-@query("catalog_docs")
+@query("catalog_docs", f"""WITH cat(t, c, o, type, pk) AS (VALUES {_DESCRIBED_ROWS}), fk(t, c, d, dc) AS (VALUES {_DESCRIBED_LINKS}), v AS ({_DESCRIBED_VALUES}),
+ ex AS (SELECT t, c, 'values ' || string_agg(value, ', ' ORDER BY frequency DESC, value) AS description FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY t, c ORDER BY frequency DESC, value) <= 3) GROUP BY 1, 2),
+ near AS (SELECT t, string_agg(DISTINCT d, ' ' ORDER BY d) AS near FROM fk GROUP BY 1)
+ SELECT 'main' AS db_id, 'table:' || t AS doc_id, 'table' AS kind, t AS table_name, NULL AS column_name, -1 AS ordinal, 'table ' || t || '; columns ' || string_agg(c, ' ' ORDER BY o) || '; related tables ' || coalesce(any_value(near), '') AS "text", '' AS description
+ FROM cat LEFT JOIN near USING (t) GROUP BY t
+ UNION ALL SELECT 'main', 'column:' || t || '.' || c, 'column', t, c, o, 'column ' || t || '.' || c || '; type ' || type || CASE WHEN pk THEN '; primary key' ELSE '' END || coalesce(CASE WHEN pk THEN ' ' ELSE '; ' END || 'foreign key to ' || d || '.' || dc, '')
+ || coalesce('; ' || description, ''), coalesce(description, '') FROM cat LEFT JOIN fk USING (t, c) LEFT JOIN ex USING (t, c)""")
 def catalog_docs(spark, sf):
     """Schema documents whose descriptions list the most frequent stored values."""
     tables = described_tables(spark, sf)
@@ -416,7 +443,14 @@ def prefix_pack_documents(spark, sf):
 # ---------------------------------------------------------------- evidence
 
 
-@query("column_relevance")
+@query("column_relevance", f"""WITH asked AS ({inputs.QUESTIONS_SQL}), cat(t, c, o, type, pk) AS (VALUES {_DESCRIBED_ROWS}), notes(t, c, display, description, explained) AS (VALUES {", ".join(str(n).replace(chr(92) + "n", " ") for n in DESCRIPTIONS)}),
+ d AS (SELECT t, c, coalesce(display || ' ' || description || ' ' || explained, '') AS said FROM cat LEFT JOIN notes USING (t, c)),
+ w AS (SELECT t, c, unnest({_TOKENS.format("t || ' ' || c || ' ' || said")}) AS term, 1 AS weight, false AS s, false AS n FROM d UNION ALL SELECT t, c, unnest({_TOKENS.format("t || ' ' || c")}), 2, false, true FROM d
+ UNION ALL SELECT t, c, unnest({_TOKENS.format("said")}), 0, true, false FROM d UNION ALL SELECT t, cat.c, term, 1, false, false FROM cat JOIN (SELECT DISTINCT t, unnest({_TOKENS.format("c || ' ' || said")}) AS term FROM d) USING (t)),
+ terms AS (SELECT t, c, term, sum(weight) AS weight, bool_or(s) AS s, bool_or(n) AS n FROM w GROUP BY 1, 2, 3),
+ q AS (SELECT question_id, unnest(list_filter({_TOKENS.format("string_split(question, 'Benchmark evidence:')[1]")}, lambda x: (NOT list_contains({CONCEPT_STOP}, x)))) AS term FROM asked)
+ SELECT question_id, t AS table_name, c AS column_name, sum(weight)::BIGINT AS column_relevance, coalesce(string_agg(term, ' ' ORDER BY term) FILTER (s), '') AS said, coalesce(string_agg(term, ' ' ORDER BY term) FILTER (n), '') AS named
+ FROM q JOIN terms USING (term) GROUP BY 1, 2, 3""")
 def column_relevance(spark, sf):
     """E1 for every question."""
     _, described, _, _ = knowledge(spark, sf)
@@ -450,8 +484,11 @@ def evidence_packet(spark, sf):
 
 @query("packet_identity")
 def packet_identity(spark, sf):
-    """E13."""
-    return evidence.packet_identity(packet(spark, sf)[0], "all")
+    """The identity covers the knowledge that a packet was drawn from."""
+    tables = described_tables(spark, sf)
+    notes = spark.createDataFrame(DESCRIPTIONS, _DESCRIPTION_SCHEMA).coalesce(1)
+    drawn_from = KnowledgeStore(spark, "").identity(tables, catalog_columns(spark, tables, PRIMARY_KEYS), notes)
+    return evidence.packet_identity(packet(spark, sf)[0], "all", drawn_from)
 
 
 @query("scoped_packet")
@@ -483,7 +520,6 @@ def _json(*fields: str) -> str:
     return "to_json({" + ", ".join(fields) + "})::VARCHAR"
 
 
-_TOKENS = "list_distinct(list_transform(regexp_extract_all(lower(replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), '[a-z0-9]+'), lambda w: (CASE WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END)))"
 _EVERY_TEXT = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {c} AS value, count(*) AS frequency FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in inputs.TEXT_COLUMNS.items() for c in cs)
 BOUNDED_SQL = f"""WITH RECURSIVE asked AS ({inputs.PART_QUESTIONS_SQL} UNION ALL {inputs.CUSTOMER_QUESTIONS_SQL}), {PHRASES_SQL}, idx AS ({inputs.INDEX_SQL}), prof AS ({PROFILE_SQL}),
 sel AS (SELECT 'p-' || p_partkey AS question_id, s.* FROM part, (VALUES {_pairs(_SMALL_PARTS)}) s(t, c) WHERE p_size <= 25 UNION ALL SELECT 'c-' || c_custkey, s.* FROM customer, (VALUES {_pairs(_CUSTOMERS)}) s(t, c)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from groundscope.functions import text
+from groundscope.operators.joins import join_few, join_many, spread
 from groundscope.operators.ranking import numbered, top_k
 from groundscope.session import cut_lineage
 
@@ -67,9 +68,9 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _shared_terms(questions: DataFrame, documents: DataFrame, said) -> DataFrame:
-    asked = questions.select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
+    asked = spread(questions).select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
     spoken = documents.select("doc_id", F.explode(F.array_distinct(text.identifier_tokens(said))).alias("term"))
-    return asked.join(spoken, "term").groupBy("question_id", "doc_id").agg(F.count("*").alias("overlap"))
+    return join_few(asked, spoken, "term").groupBy("question_id", "doc_id").agg(F.count("*").alias("overlap"))
 
 
 def _ranked(scored: DataFrame, order: Sequence) -> DataFrame:
@@ -97,10 +98,10 @@ def exact_ranking(questions: DataFrame, documents: DataFrame) -> DataFrame:
     names = documents.select("doc_id", "position", name.alias("tokens")).filter(F.size("tokens") > 0).select(
         "doc_id", "position", F.col("tokens")[0].alias("term"), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("phrase")
     )
-    asked = questions.select("question_id", text.identifier_tokens("question").alias("tokens")).select(
+    asked = spread(questions).select("question_id", text.identifier_tokens("question").alias("tokens")).select(
         "question_id", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("padded"), F.explode(F.array_distinct("tokens")).alias("term")
     )
-    hits = asked.join(names, "term").filter(F.contains("padded", F.col("phrase"))).select("question_id", "doc_id", "position").distinct()
+    hits = join_few(asked, names, "term").filter(F.contains("padded", F.col("phrase"))).select("question_id", "doc_id", "position").distinct()
     return _ranked(hits, [F.col("position"), F.col("doc_id")])
 
 
@@ -134,8 +135,8 @@ def select_documents(fused: DataFrame, questions: DataFrame, documents: DataFram
     offered = (
         fused.select("question_id", "doc_id", "score", "reasons", F.col("exact_rank").cast("int").alias("exact_rank")).unionByName(filler)
         .groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), F.max("reasons").alias("reasons"), F.max("exact_rank").alias("exact_rank"))
-        .join(documents.select("doc_id", "kind", "table_name", "column_name"), "doc_id")
     )
+    offered = join_few(offered, documents.select("doc_id", "kind", "table_name", "column_name"), "doc_id")
     order = [F.coalesce("exact_rank", F.lit(2147483647)) if total > WHOLE_LIMIT else F.lit(0), F.col("score").desc(), F.col("doc_id")]
     best_columns = top_k(offered.filter("kind = 'column'"), ["question_id"], order, limit)
     best_tables = top_k(offered.filter("kind = 'table'"), ["question_id"], [F.col("score").desc(), F.col("doc_id")], SELECTED_TABLES)
@@ -154,11 +155,11 @@ def term_list(questions: DataFrame, documents: DataFrame, said: str) -> tuple[Da
     held = spoken.groupBy("term").agg(F.count("*").alias("held"))
     total = documents.agg(F.count("*").alias("n")).scalar()
     common = held.filter(F.col("held") == total).select("term")
-    asked = questions.select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
+    asked = spread(questions).select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
     telling = spoken.join(common, "term", "left_anti")
-    shared = asked.join(telling, "term").groupBy("question_id", "number").agg(F.count("*").alias("overlap"))
+    shared = join_few(asked, telling, "term").groupBy("question_id", "number").agg(F.count("*").alias("overlap"))
     listed = _ranked(shared, [F.col("overlap").desc(), F.col("number")]).drop("overlap")
-    return listed, asked.join(common, "term", "left_semi").select("question_id").distinct()
+    return listed, join_few(asked, common, "term", "left_semi").select("question_id").distinct()
 
 
 def best_documents(questions: DataFrame, documents: DataFrame, description: bool = True) -> DataFrame:
@@ -173,14 +174,14 @@ def best_documents(questions: DataFrame, documents: DataFrame, description: bool
     sizes = dict(placed.groupBy("kind").count().collect())
     total = sizes.get("column", 0)
     limits = {"column": total if total <= WHOLE_LIMIT else SELECTED_COLUMNS, "table": SELECTED_TABLES}
-    exact = exact_ranking(questions, placed).join(placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank")
+    exact = join_few(exact_ranking(questions, placed), placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank")
     lists = {"exact_identifier": (exact, None), "token_overlap": term_list(questions, placed, "text")}
     if description:
         described = placed.filter(F.length("description") > 0)
         # The description list names documents that have one; it goes on with all others only where all have one.
         lists["description_match"] = term_list(questions, described, "description")
         if described.count() < placed.count():
-            lists["description_match"] = (description_ranking(questions, placed).join(placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank"), None)
+            lists["description_match"] = (join_few(description_ranking(questions, placed), placed.select("doc_id", "number"), "doc_id").select("question_id", "number", "rank"), None)
     named = None
     for reason, (listed, _) in lists.items():
         part = listed.select("question_id", "number", F.lit(reason).alias("reason"), F.col("rank").cast("long").alias("rank"))
@@ -196,7 +197,7 @@ def best_documents(questions: DataFrame, documents: DataFrame, description: bool
     first = wanted.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in limits]))).withColumn(
         "limit", F.when(F.col("kind") == "column", limits["column"]).otherwise(limits["table"])
     ).select("question_id", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.col("limit") - 1)).alias("place"))
-    filler = first.join(places, ["kind", "place"]).select("question_id", "number")
+    filler = join_few(first, places, ["kind", "place"]).select("question_id", "number")
     offered = named.unionByName(filler, allowMissingColumns=True).groupBy("question_id", "number").agg(*[F.min(r).alias(r) for r in lists])
     earlier = W.partitionBy("question_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy("question_id")
@@ -210,10 +211,10 @@ def best_documents(questions: DataFrame, documents: DataFrame, description: bool
         offered = offered.withColumn(f"{reason}_rank", rank)
         score = score + F.coalesce(1.0 / (RRF_CONSTANT + F.col(f"{reason}_rank")), F.lit(0.0))
         reasons.append(F.when(F.col(f"{reason}_rank").isNotNull(), F.lit(reason)))
-    scored = offered.select(
+    scored = join_few(offered.select(
         "question_id", "number", F.round(score, 12).alias("score"), F.sort_array(F.array_compact(F.array(*reasons))).alias("reasons"),
         F.col("exact_identifier").cast("int").alias("exact_rank"),
-    ).join(placed.select("number", "doc_id", "kind", "table_name", "column_name"), "number").drop("number")
+    ), placed.select("number", "doc_id", "kind", "table_name", "column_name"), "number").drop("number")
     order = [F.coalesce("exact_rank", F.lit(2147483647)) if total > WHOLE_LIMIT else F.lit(0), F.col("score").desc(), F.col("doc_id")]
     best_columns = top_k(scored.filter("kind = 'column'"), ["question_id"], order, max(1, limits["column"]))
     best_tables = top_k(scored.filter("kind = 'table'"), ["question_id"], [F.col("score").desc(), F.col("doc_id")], SELECTED_TABLES)
@@ -241,9 +242,9 @@ def ground_concepts(concepts: DataFrame, catalog: DataFrame, evidence: DataFrame
         F.sort_array(F.collect_set("term")).alias("shared")
     )
     base = concepts.select("question_id", "concept").distinct()
-    from_names = base.join(named, "concept")
+    from_names = join_few(base, named, "concept")
     described = evidence.select("question_id", *key, F.explode(F.array_distinct(text.identifier_tokens(F.coalesce("description", F.lit(""))))).alias("term"))
-    from_evidence = base.join(terms, "concept").join(described, ["question_id", "term"]).groupBy("question_id", "concept", *key).agg(
+    from_evidence = join_many(join_few(base, terms, "concept"), described, ["question_id", "term"]).groupBy("question_id", "concept", *key).agg(
         F.sort_array(F.collect_set("term")).alias("shared")
     )
     spoken = evidence.filter("phrase IS NOT NULL").select("question_id", *key, text.normalize("phrase").alias("n")).distinct()
@@ -264,7 +265,8 @@ def ground_concepts(concepts: DataFrame, catalog: DataFrame, evidence: DataFrame
     none = F.array().cast("array<string>")
     offered = hits.unionByName(filler, allowMissingColumns=True).groupBy("question_id", "concept", *key).agg(
         F.max("shared").alias("shared"), F.bool_or(F.coalesce("evidence_match", F.lit(False))).alias("evidence_match")
-    ).join(names, key).join(vocabulary, "concept")
+    )
+    offered = join_few(join_few(offered, names, key), vocabulary, "concept")
     offered = offered.withColumn("chosen", F.lit(True)) if chosen is None else offered.join(chosen, ["question_id", *key], "left").fillna(False, ["chosen"])
     overlap = F.size(F.coalesce("shared", none))
     own = F.sort_array("tokens")

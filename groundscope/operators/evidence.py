@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from groundscope.functions import text
 from groundscope.operators import match
+from groundscope.operators.joins import join_few, join_many, spread
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
@@ -64,8 +65,8 @@ def column_terms(profile: DataFrame) -> DataFrame:
 
 def column_relevance(questions: DataFrame, profile: DataFrame) -> DataFrame:
     """Relevance and the sorted shared terms, for every column that shares a term with a question."""
-    terms = questions.select("question_id", F.explode(text.question_terms("question")).alias("term"))
-    return terms.join(column_terms(profile), "term").groupBy("question_id", *KEY).agg(
+    terms = spread(questions).select("question_id", F.explode(text.question_terms("question")).alias("term"))
+    return join_few(terms, column_terms(profile), "term").groupBy("question_id", *KEY).agg(
         F.sum("weight").alias("column_relevance"),
         F.sort_array(F.collect_set(F.when(F.col("in_text"), F.col("term")))).alias("said"),
         F.sort_array(F.collect_set(F.when(F.col("in_name"), F.col("term")))).alias("named"),
@@ -92,7 +93,7 @@ def literal_facts(phrases: DataFrame, index: DataFrame, relevance: DataFrame, pr
         found = found.groupBy("question_id", *KEY, "original").agg(F.max_by(F.struct("phrase", "score"), "score").alias("b")).select(
             "question_id", *KEY, "original", "b.*"
         )
-    joined = found.join(relevance.select("question_id", *KEY, "column_relevance"), ["question_id", *KEY], "left").fillna(0, ["column_relevance"])
+    joined = join_many(found, relevance.select("question_id", *KEY, "column_relevance"), ["question_id", *KEY], "left").fillna(0, ["column_relevance"])
     return _facts(joined, type=F.lit("literal_value"), db_value=F.col("original"), confidence=F.col("score"), source=F.lit("database_value"))
 
 
@@ -104,7 +105,7 @@ def explicit_probes(phrases: DataFrame, index: DataFrame, relevance: DataFrame,
     known = index.select("normalized").distinct().withColumn("_known", F.lit(True))
     code = F.col("phrase").rlike("^[A-Za-z]+[0-9]+$")
     telling = F.col("phrase").rlike("[0-9]") | F.col("phrase").rlike("(?U)^\\p{Lu}") | F.contains("phrase", F.lit(" "))
-    explicit = phrases.join(known, "normalized", "left").filter((F.col("_known").isNull() | code) & telling).select("question_id", "pos", "phrase", code.alias("code"))
+    explicit = join_few(phrases, known, "normalized", "left").filter((F.col("_known").isNull() | code) & telling).select("question_id", "pos", "phrase", code.alias("code"))
     first = top_k(explicit, ["question_id"], [F.col("pos")], PROBE_LIMIT, rank="_p")
     both = relevance.filter("column_relevance > 0").withColumn("code", F.explode(F.array(F.lit(True), F.lit(False))))
     adjusted = F.col("column_relevance") + F.when(F.col("code") & F.contains(F.lower("column_name"), F.lit("id")), 4).otherwise(0)
@@ -114,13 +115,13 @@ def explicit_probes(phrases: DataFrame, index: DataFrame, relevance: DataFrame,
     order = W.partitionBy("question_id").orderBy("_p", "_c")
     tried = first.join(columns, ["question_id", "code"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= PROBE_LIMIT)
     values = counts.filter("value IS NOT NULL").select(*KEY, F.col("value").alias("phrase"), "frequency")
-    return tried.join(values, [*KEY, "phrase"]).select("question_id", "phrase", *KEY, F.col("phrase").alias("original"), "frequency")
+    return join_many(tried, values, [*KEY, "phrase"]).select("question_id", "phrase", *KEY, F.col("phrase").alias("original"), "frequency")
 
 
 def normalization_facts(questions: DataFrame, index: DataFrame, relevance: DataFrame) -> DataFrame:
     """E3."""
-    found = match.season_matches(questions, index).join(
-        relevance.select("question_id", *KEY, "column_relevance"), ["question_id", *KEY], "left"
+    found = join_many(
+        match.season_matches(questions, index), relevance.select("question_id", *KEY, "column_relevance"), ["question_id", *KEY], "left"
     ).fillna(0, ["column_relevance"])
     return _facts(
         found, type=F.lit("normalization"), db_value=F.col("original"), confidence=F.col("score"), source=F.lit("database_value_pattern"),
@@ -148,7 +149,7 @@ def storage_facts(questions: DataFrame, profile: DataFrame, relevance: DataFrame
     # Columns with a storage format concern every question; they are catalog metadata.
     stored = columns.filter("transformation IS NOT NULL").agg(F.collect_list(F.struct(*KEY))).scalar()
     filler = questions.select("question_id", F.explode(stored).alias("c")).select("question_id", "c.*")
-    offered = filler.join(spoken, ["question_id", *KEY], "full_outer").join(columns, KEY).join(wants, "question_id")
+    offered = join_many(join_few(filler.join(spoken, ["question_id", *KEY], "full_outer"), columns, KEY), wants, "question_id")
     said = F.coalesce("said", F.array().cast("array<string>"))
     chosen = offered.withColumn("said", said).filter(F.col("transformation").isNotNull() | ((F.size("said") > 0) & F.col("numeric")))
     return _facts(
@@ -160,8 +161,9 @@ def storage_facts(questions: DataFrame, profile: DataFrame, relevance: DataFrame
 
 def semantics_facts(profile: DataFrame, relevance: DataFrame) -> DataFrame:
     """E5: columns whose name or description shares a term with the question."""
-    touched = relevance.filter((F.size("said") > 0) | (F.size("named") > 0)).drop("column_relevance").join(
-        profile.select(*KEY, F.left(_description(), F.lit(700)).alias("description")), KEY
+    touched = join_few(
+        relevance.filter((F.size("said") > 0) | (F.size("named") > 0)).drop("column_relevance"),
+        profile.select(*KEY, F.left(_description(), F.lit(700)).alias("description")), KEY,
     )
     confidence = F.least(F.lit(0.95), F.lit(0.72) + F.lit(0.04) * F.size("said") + F.lit(0.03) * F.size("named"))
     return _facts(
@@ -184,7 +186,7 @@ def join_facts(facts: DataFrame, fks: DataFrame) -> DataFrame:
     tables = facts.filter("confidence >= 0.80").select("question_id", "table_name").distinct()
     edges = fks.select("src_table", "src_column", "dst_table", "dst_column")
     ends = edges.withColumn("table_name", F.explode(F.array("src_table", "dst_table")))
-    touched = tables.join(ends, "table_name").drop("table_name").distinct()
+    touched = join_few(tables, ends, "table_name").drop("table_name").distinct()
     return _facts(
         touched, phrase=F.lit("foreign-key path"), type=F.lit("join_relationship"), table_name=F.col("src_table"), column_name=F.col("src_column"),
         confidence=F.lit(0.92), source=F.lit("declared_foreign_key"), target_table=F.col("dst_table"), target_column=F.col("dst_column"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from groundscope.operators.joins import join_few, join_many
 from groundscope.operators.profile import KEY
 
 PROBE_LIMIT = 4
@@ -15,7 +16,7 @@ def value_existence(facts: DataFrame, counts: DataFrame) -> DataFrame:
     """Matching rows per (table, column, value); zero when the value is absent."""
     stored = counts.filter("value IS NOT NULL").select(*KEY, F.col("value").alias("db_value"), F.col("frequency").alias("match_count"))
     asked = facts.filter("db_value IS NOT NULL AND column_name IS NOT NULL").select(*KEY, "db_value").distinct()
-    found = asked.join(stored, [*KEY, "db_value"], "left").fillna(0, ["match_count"])
+    found = join_many(asked, stored, [*KEY, "db_value"], "left").fillna(0, ["match_count"])
     return found.withColumn("verified", F.col("match_count") > 0)
 
 
@@ -67,7 +68,7 @@ def verify(scoped: DataFrame, counts: DataFrame, fks: DataFrame) -> DataFrame:
         F.col("dst_column").alias("target_column"), "joined_row_count",
     )
     joined = (
-        numbered.join(values, [*KEY, "db_value"], "left").join(numbers, KEY, "left").join(joins, [*KEY, "target_table", "target_column"], "left")
+        join_few(join_few(join_many(numbered, values, [*KEY, "db_value"], "left"), numbers, KEY, "left"), joins, [*KEY, "target_table", "target_column"], "left")
     )
     observed = (
         F.when(F.col("probe_kind") == "value_existence", F.col("match_count")).when(F.col("probe_kind") == "numeric_storage", F.col("non_null_count"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from groundscope.functions import text
 from groundscope.operators import match
+from groundscope.operators.joins import join_few, join_many, spread
 from groundscope.operators.packing import greedy_pack
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
@@ -46,9 +47,9 @@ def _fact(rows: DataFrame, kind: str, fields: dict[str, Column | str], stage: in
 
 def column_matches(questions: DataFrame, profile: DataFrame) -> DataFrame:
     """Columns whose table, name or description shares a word with the question, and the sorted shared words."""
-    asked = questions.select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
+    asked = spread(questions).select("question_id", F.explode(F.array_distinct(text.identifier_tokens("question"))).alias("term"))
     said = profile.select(*KEY, F.explode(F.array_distinct(text.identifier_tokens(F.concat_ws(" ", *KEY, "description")))).alias("term"))
-    return asked.join(said, "term").groupBy("question_id", *KEY).agg(F.sort_array(F.collect_set("term")).alias("matched_terms"))
+    return join_few(asked, said, "term").groupBy("question_id", *KEY).agg(F.sort_array(F.collect_set("term")).alias("matched_terms"))
 
 
 def probe_columns(asked: DataFrame, catalog: DataFrame, selected: DataFrame | None) -> DataFrame:
@@ -60,7 +61,7 @@ def probe_columns(asked: DataFrame, catalog: DataFrame, selected: DataFrame | No
     every = free.select("question_id", F.posexplode(first).alias("j", "c")).select("question_id", (F.col("j") + 1).alias("j"), *[f"c.{k}" for k in KEY])
     if selected is None:
         return every
-    own = asked.join(selected.select("question_id", *KEY).distinct(), "question_id").join(texts, KEY)
+    own = join_few(join_many(asked, selected.select("question_id", *KEY).distinct(), "question_id"), texts, KEY)
     own = top_k(own, ["question_id"], [F.col("table_name"), F.col("ordinal")], PROBES, rank="j")
     return every.unionByName(own.select("question_id", F.col("j").cast("int").alias("j"), *KEY))
 
@@ -73,10 +74,10 @@ def probe_missing(missing: DataFrame, catalog: DataFrame, counts: DataFrame, fou
     """
     first = top_k(missing, ["question_id"], [F.col("pos")], PROBES, rank="i").select("question_id", "phrase", F.col("i").cast("int").alias("i"))
     first = cut_lineage(first)
-    tried = cut_lineage(first.join(probe_columns(first.select("question_id").distinct(), catalog, selected), "question_id"))
-    reach = counts.join(tried.select(*KEY).distinct(), KEY, "left_semi")
+    tried = cut_lineage(join_many(first, probe_columns(first.select("question_id").distinct(), catalog, selected), "question_id"))
+    reach = join_few(counts, tried.select(*KEY).distinct(), KEY, "left_semi")
     stored = match.probe_containing(first.select("question_id", "phrase"), reach, PROBE_ROWS)
-    hits = cut_lineage(stored.join(tried, ["question_id", "phrase", *KEY]))
+    hits = cut_lineage(join_many(stored, tried, ["question_id", "phrase", *KEY]))
     sizes = hits.groupBy("question_id", "i", "j").agg(F.count("*").alias("n"))
     pairs = tried.join(sizes, ["question_id", "i", "j"], "left").fillna(0, ["n"]).groupBy("question_id").agg(
         F.sort_array(F.collect_list(F.struct("i", "j", "n"))).alias("pairs")
@@ -96,7 +97,7 @@ def probe_missing(missing: DataFrame, catalog: DataFrame, counts: DataFrame, fou
         F.array().cast("array<struct<i:int,j:int>>").alias("kept"),
     )
     made = pairs.select("question_id", F.explode(F.aggregate("pairs", start, step)["kept"]).alias("p")).select("question_id", "p.*")
-    return hits.join(made, ["question_id", "i", "j"])
+    return join_many(hits, made, ["question_id", "i", "j"])
 
 
 def gather(
@@ -116,7 +117,7 @@ def gather(
         "printed_value": "original", "normalized_value": "normalized", "frequency": "frequency", "pattern": "pattern", "numeric_value": "numeric_value",
         "date_value": F.when(F.col("pattern") == "date", text.strip("original")), "matched_phrase": "phrase", "reason": F.lit("exact_or_normalized_value"),
     }, second="-frequency", said="original")
-    column_facts = _fact(columns.join(profile, KEY), "column", place | {
+    column_facts = _fact(join_few(columns, profile, KEY), "column", place | {
         "description": F.coalesce("description", F.lit("")), "declared_type": "declared_type", "types": "types", "numeric_min": "numeric_min",
         "numeric_max": "numeric_max", "reason": F.lit("question_description_overlap"), "matched_terms": "matched_terms",
     })

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from groundscope.functions import text
+from groundscope.operators.joins import join_few, join_many, spread
 from groundscope.operators.packing import greedy_pack
 from groundscope.operators.profile import KEY
 from groundscope.operators.ranking import top_k
@@ -154,9 +155,9 @@ def link_tables(questions: DataFrame, catalog: DataFrame, paths: DataFrame, seed
     listed = catalog.agg(F.sort_array(F.collect_set("table_name")).alias("t")).scalar()
     # Words are compared as in the question: the question keeps its underscores.
     asked = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("question"), F.lit(r"(?U)\w+"), 0), lambda w: F.rtrim(w, F.lit("s"))))
-    terms = questions.select("question_id", F.explode(asked).alias("term"))
+    terms = spread(questions).select("question_id", F.explode(asked).alias("term"))
     words = tables.select("table_name", F.explode(_stems("names")).alias("term"))
-    scores = terms.join(words, "term").groupBy("question_id", "table_name").agg(F.count("*").alias("score"))
+    scores = join_few(terms, words, "term").groupBy("question_id", "table_name").agg(F.count("*").alias("score"))
     hits = scores.groupBy("question_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "table_name"))), lambda h: h["table_name"]).alias("hits")
     )
@@ -192,7 +193,7 @@ def budget_width(
     whole = pieces.agg(F.sum("b")).scalar()
     terms = questions.select("question_id", F.array_distinct(F.regexp_extract_all(F.lower(F.replace("question", F.lit("_"), F.lit(" "))), F.lit(r"(?U)\w+"), 0)).alias("terms"))
     keys = retained_keys(linked, catalog, fks).withColumn("required", F.lit(True))
-    opened = linked.select("question_id", F.explode("tables").alias("table_name")).join(cost, "table_name").join(terms, "question_id")
+    opened = join_many(join_few(linked.select("question_id", F.explode("tables").alias("table_name")), cost, "table_name"), terms, "question_id")
     opened = opened.join(keys, ["question_id", *KEY], "left")
     relevance = F.size(F.array_intersect("terms", F.regexp_extract_all(F.lower(F.replace("column_name", F.lit("_"), F.lit(" "))), F.lit(r"(?U)\w+"), 0)))
     per_table = opened.groupBy("question_id", "table_name").agg(
@@ -220,9 +221,9 @@ def budget_width(
 
 def _overlap(questions: DataFrame, documents: DataFrame, asked: Column, said: Column, keys: Sequence[str] = KEY) -> DataFrame:
     """Number of shared terms per (question, document): an equi-join on the term."""
-    left = questions.select("question_id", F.explode(asked).alias("term"))
+    left = spread(questions).select("question_id", F.explode(asked).alias("term"))
     right = documents.select(*keys, F.explode(said).alias("term"))
-    return left.join(right, "term").groupBy("question_id", *keys).agg(F.count("*").alias("overlap"))
+    return join_few(left, right, "term").groupBy("question_id", *keys).agg(F.count("*").alias("overlap"))
 
 
 def compact_schema(
@@ -339,7 +340,7 @@ def column_notes(questions: DataFrame, notes: DataFrame, byte_budget: int = 6000
     filler = sized.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") * F.col("bytes") <= byte_budget - base)
     every = filler.agg(F.collect_list(F.struct(*KEY, "schema_pos", "base", "line", "bytes"))).scalar()
     plain = questions.select("question_id", F.explode(every).alias("c")).select("question_id", "c.*", F.lit(0).cast("long").alias("overlap"))
-    spoken = shared.join(sized.drop("words"), KEY).select(*plain.columns)
+    spoken = join_few(shared, sized.drop("words"), KEY).select(*plain.columns)
     ranked = (
         plain.unionByName(spoken).groupBy("question_id", *KEY, "schema_pos", "base", "line", "bytes").agg(F.max("overlap").alias("overlap"))
         .withColumn("priority", F.col("base") + 2 * F.col("overlap")).drop("base", "overlap")
@@ -358,17 +359,17 @@ def column_notes_sql_ready(questions: DataFrame, notes: DataFrame, byte_budget:
     first_word = F.regexp_extract(text.fold("value"), "[a-z0-9]+", 0)
     # A value without any ASCII word character can follow any text and is looked up under the empty word.
     keyed = values.withColumn("word", first_word)
-    asked = questions.select("question_id", text.fold("question").alias("lowered"))
+    asked = spread(questions).select("question_id", text.fold("question").alias("lowered"))
     spoken = asked.select(
         "question_id", "lowered", F.explode(F.array_union(F.regexp_extract_all("lowered", F.lit("[a-z0-9]+"), 0), F.array(F.lit("")))).alias("word")
     )
     shape = F.concat(F.lit("(?<![a-z0-9])\\Q"), text.fold("value"), F.lit("\\E(?![a-z0-9])"))
-    hits = spoken.join(keyed, "word").filter(F.rlike("lowered", shape)).select("question_id", *KEY, "vpos", "value")
+    hits = join_few(spoken, keyed, "word").filter(F.rlike("lowered", shape)).select("question_id", *KEY, "vpos", "value")
     matched = top_k(hits, ["question_id", *KEY], [F.col("vpos")], 3).groupBy("question_id", *KEY).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("vpos", "value"))), lambda s: s["value"]).alias("matches")
     )
     shared = _overlap(questions, notes, text.note_terms("question"), text.note_terms(F.concat_ws(" ", "column_name", "note")))
-    relevant = shared.join(matched, ["question_id", *KEY], "full_outer").join(notes, KEY)
+    relevant = join_few(shared.join(matched, ["question_id", *KEY], "full_outer"), notes, KEY)
     relevance = F.coalesce("overlap", F.lit(0)) + 3 * F.coalesce(F.size("matches"), F.lit(0))
     said, formats, examples = _note_parts()
     match_text = F.concat(

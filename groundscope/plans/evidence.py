@@ -204,9 +204,9 @@ def _sampled(spark, sf):
     )
     listed = [f"{t}.{c}" for t, cs in DESCRIBED_COLUMNS.items() for c in cs]
     place = F.array_position(F.array(*[F.lit(c) for c in listed]), F.concat_ws(".", "table_name", "column_name"))
-    return union.join(notes, ["table_name", "column_name"], "left").fillna("", ["note"]).withColumns({
+    return cut_lineage(union.join(notes, ["table_name", "column_name"], "left").fillna("", ["note"]).withColumns({
         "holds_text": (F.col("storage") == "text") & (F.col("typed_count") > 0), "schema_pos": place,
-    })
+    }))
 
 
 @query("relevant_profiles")

@@ -119,3 +119,18 @@ def test_value_counts_equal_a_plain_count(spark):
     nested = [v for (c, _), v in got.items() if c == "nested"]
     assert nested == [(300, "unsupported", None)] * 5
     assert {k: v for k, v in got.items() if k[0] != "nested"} == expected
+
+
+def test_many_values_are_exchanged_by_themselves(spark):
+    # Rows that carry the names and empty places of other kinds took most of the time and of a task's memory.
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))
+    df = spark.range(300).select("id", (F.col("id") / 4).alias("part"), day.alias("day"), day.cast("timestamp_ntz").alias("at"), F.when(F.col("id") > 1, F.col("id").cast("decimal(9,2)")).alias("exact"))
+    counts = profile.value_counts({"t": df})
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert plan.count("Aggregate [v#") == 5 and "Aggregate [table_name" not in plan
+    for f in df.schema.fields:
+        number = F.col(f.name).cast("double") if f.name in ("id", "part", "exact") else F.lit(None).cast("double")
+        expected = df.groupBy(profile.printed(F.col(f.name), f.dataType).alias("value"), number.alias("number")).count().collect()
+        got = counts.filter(F.col("column_name") == f.name).select("value", "number", "frequency").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))

@@ -30,6 +30,8 @@ RECORD_INSTRUCTION = (
 BANDS, BAND_ROWS, SHINGLE_WORDS = 16, 3, 3
 # Texts of one block when the members of a bucket are compared, and runs of a slice of their matrix.
 BLOCK_TEXTS, RUN_SLICE = 200, 8192
+# Runs of several texts that are hashed together, few enough for a core's cache.
+HASHED_RUNS = 16_384
 
 #: Rounds of the two-key scan before a rest of at most so many rows is scanned by one task.
 ROUNDS, SCAN_ROWS = 6, 200_000
@@ -104,28 +106,44 @@ def _ties(unit: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["leader", "rep"])
 
 
-def _minimum_bands(row: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """A digest per band of the minimum hashes of its rows."""
-    h = np.asarray(row, dtype=np.int64).view(np.uint64)
-    least = np.empty(len(factor), dtype=np.uint64)
-    for i in range(len(factor)):
-        mixed = (h ^ shift[i]) * factor[i]
-        least[i] = (mixed ^ (mixed >> np.uint64(32))).min()
-    digest = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, BAND_ROWS).T:
-        digest = (digest ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        digest ^= digest >> np.uint64(29)
-    return digest.view(np.int64)
-
-
-def _hashed_runs(key: str, words: dict[str, int]) -> np.ndarray:
-    """Distinct hashes of the word runs of a key; a key of fewer words is one run. ``words`` remembers hashes of words."""
+def _minimum_bands(rows: list[np.ndarray], factor: np.ndarray, shift: np.ndarray) -> list[np.ndarray]:
+    """For each text a digest per band of the minimum hashes of its rows; the runs of many texts are hashed at once."""
+    found, at = [], 0
+    while at < len(rows):
+        end, held = at + 1, len(rows[at])
+        while end < len(rows) and held + len(rows[end]) <= HASHED_RUNS:
+            held += len(rows[end])
+            end += 1
+        h = np.concatenate(rows[at:end]).view(np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows[at : end - 1]], dtype=np.int64)]).astype(np.int64)
+        least = np.empty((len(factor), end - at), dtype=np.uint64)
+        mixed, high = np.empty_like(h), np.empty_like(h)
+        for i in range(len(factor)):
+            np.multiply(np.bitwise_xor(h, shift[i], out=mixed), factor[i], out=mixed)
+            np.bitwise_xor(mixed, np.right_shift(mixed, np.uint64(32), out=high), out=mixed)
+            least[i] = np.minimum.reduceat(mixed, starts)
+        digest = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], end - at, axis=1)
+        for part in least.reshape(BANDS, BAND_ROWS, end - at).transpose(1, 0, 2):
+            digest = (digest ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            digest ^= digest >> np.uint64(29)
+        found += list(np.ascontiguousarray(digest.T).view(np.int64))
+        at = end
+    return found
+
+
+class _Words(dict):
+    """Remembers the hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = _digest(word)
+        return found
+
+
+def _hashed_runs(key: str, words: _Words) -> np.ndarray:
+    """Distinct hashes of the word runs of a key; a key of fewer words is one run."""
     split = key.split(" ")
     if len(split) < SHINGLE_WORDS:
         return np.array([_digest(key) ^ 1], dtype=np.uint64).view(np.int64)
-    for w in set(split):
-        if w not in words:
-            words[w] = _digest(w)
     each = np.fromiter(map(words.__getitem__, split), dtype=np.uint64, count=len(split))
     count = len(split) - SHINGLE_WORDS + 1
     runs = np.zeros(count, dtype=np.uint64)
@@ -146,9 +164,9 @@ def _signature(key: str) -> Column:
 
     @F.pandas_udf("struct<runs: array<long>, buckets: array<long>>")
     def of(keys: pd.Series) -> pd.DataFrame:
-        words: dict[str, int] = {}
+        words = _Words()
         runs = [_hashed_runs(key, words) for key in keys]
-        return pd.DataFrame({"runs": runs, "buckets": [_minimum_bands(r, factor, shift) for r in runs]})
+        return pd.DataFrame({"runs": runs, "buckets": _minimum_bands(runs, factor, shift)})
 
     return of(key)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,20 @@ def test_chains_of_near_copies_stay_whole(spark):
     frame = spark.createDataFrame(texts, "id long, text string")
     got = {r["id"]: r["group_id"] for r in dataset.near_duplicate_groups(frame, 0.9).collect()}
     assert all(got[i] == i // 10 * 10 for i, _ in texts)
+
+
+def test_bands_of_many_texts_at_once_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    factor, shift = (rng.integers(1, 1 << 62, dataset.BANDS * dataset.BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    sizes = [1, 5, dataset.HASHED_RUNS, 2, dataset.HASHED_RUNS + 1, 7, 1]
+    rows = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in sizes]
+    found = dataset._minimum_bands(rows, factor, shift)
+    assert dataset._minimum_bands([], factor, shift) == [] and len(found) == len(rows)
+    for row, got in zip(rows, found):
+        mixed = [(row.view(np.uint64) ^ s) * f for f, s in zip(factor, shift)]
+        least = np.array([(m ^ (m >> np.uint64(32))).min() for m in mixed]).reshape(dataset.BANDS, dataset.BAND_ROWS)
+        digest = np.arange(dataset.BANDS, dtype=np.uint64)
+        for part in least.T:
+            digest = (digest ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            digest ^= digest >> np.uint64(29)
+        assert got.tolist() == digest.view(np.int64).tolist()

@@ -37,16 +37,23 @@ def numeric_storage(counts: DataFrame) -> DataFrame:
 
 
 def join_cardinality(fks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Joined rows per foreign key, from key counts of both ends; no row-level join is formed."""
-    present = counts.filter("value IS NOT NULL").select(*KEY, "value", "frequency")
-    left = fks.join(present, (F.col("src_table") == F.col("table_name")) & (F.col("src_column") == F.col("column_name"))).select(
-        "src_table", "src_column", "dst_table", "dst_column", "value", F.col("frequency").alias("n")
-    )
-    right = fks.select("dst_table", "dst_column").distinct().join(
-        present, (F.col("dst_table") == F.col("table_name")) & (F.col("dst_column") == F.col("column_name"))
-    ).select("dst_table", "dst_column", "value", F.col("frequency").alias("m"))
+    """Joined rows per foreign key, from key counts of both ends; no row-level join is formed.
+
+    The counts of both ends meet in one aggregate by key and value. Its rows are dealt over all shuffle partitions, as small
+    ones would be merged until one task holds a whole column.
+    """
     edge = ["src_table", "src_column", "dst_table", "dst_column"]
-    joined = left.join(right, ["dst_table", "dst_column", "value"]).groupBy(*edge).agg(F.sum(F.col("n") * F.col("m")).alias("joined_row_count"))
+    numbered = fks.select(*edge).distinct().withColumn("edge", F.row_number().over(W.orderBy(*edge)))
+    ends = [
+        numbered.select("edge", F.col(f"{side}_table").alias("table_name"), F.col(f"{side}_column").alias("column_name"), F.lit(side == "src").alias("from"))
+        for side in ("src", "dst")
+    ]
+    present = counts.filter("value IS NOT NULL").select(*KEY, "value", "frequency")
+    rows = present.join(F.broadcast(ends[0].unionByName(ends[1])), KEY).select("edge", "value", "from", "frequency")
+    dealt = rows.repartition(int(fks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "edge", "value")
+    n, m = F.sum(F.when(F.col("from"), F.col("frequency"))), F.sum(F.when(~F.col("from"), F.col("frequency")))
+    met = dealt.groupBy("edge", "value").agg(n.alias("n"), m.alias("m"))
+    joined = numbered.join(met.groupBy("edge").agg(F.sum(F.col("n") * F.col("m")).alias("joined_row_count")), "edge").select(*edge, "joined_row_count")
     return fks.select(*edge).join(joined, edge, "left").fillna(0, ["joined_row_count"])
 
 

@@ -79,6 +79,19 @@ def test_join_and_numeric_probes(spark):
     assert probe.numeric_storage(counts).filter("column_name = 'amount'").first()["native_numeric_count"] == 1
 
 
+def test_counts_of_both_ends_meet_in_many_tasks(spark):
+    # Both ends were sorted and joined by name and text, in as few tasks as the planner merged them to.
+    tables = {
+        "parent": spark.createDataFrame([(1,), (2,), (2,), (3,)], "id int"),
+        "child": spark.createDataFrame([(1, 2), (2, 2), (2, None), (9, 7)], "parent_id long, other_id int"),
+    }
+    keys = [("child", "parent_id", "parent", "id"), ("child", "other_id", "parent", "id"), ("parent", "id", "child", "parent_id"), ("parent", "id", "none", "id")]
+    joined = probe.join_cardinality(catalog_fks(spark, keys).drop("db_id"), profile.value_counts(tables))
+    assert {(r[0], r[1], r[2], r[3]): r[4] for r in joined.collect()} == dict(zip(keys, [5, 4, 5, 0]))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert f"], {spark.conf.get('spark.sql.shuffle.partitions')}" in plan and "RepartitionByExpression [edge" in plan
+
+
 def test_bridges_are_closed_over(spark):
     tables = {t: spark.createDataFrame([], f"{t}_id int") for t in ("start", "bridge_a", "bridge_b", "target", "other", "spare")}
     columns = catalog_columns(spark, tables, {})

@@ -1,5 +1,7 @@
 """Profiles, value index and formats on small fixtures with known numbers."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from groundscope.functions import text
@@ -134,3 +136,28 @@ def test_many_values_are_exchanged_by_themselves(spark):
         expected = df.groupBy(profile.printed(F.col(f.name), f.dataType).alias("value"), number.alias("number")).count().collect()
         got = counts.filter(F.col("column_name") == f.name).select("value", "number", "frequency").collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected)))
+
+
+def test_tasks_of_a_column_follow_its_size(spark, monkeypatch):
+    # Tens of millions of values of a key came to one task, as small partitions are merged.
+    monkeypatch.setattr(profile, "TASK_ROWS", 1000)
+    monkeypatch.setattr(profile, "TASK_BYTES", 20_000)
+    i = F.col("id")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (i % 500).cast("int"))
+    real = F.when(i % 3 == 0, 0.0).when(i % 3 == 1, -0.0).when(i % 5 == 0, float("nan")).when(i % 7 != 0, i / 4)
+    df = spark.range(8000).select(
+        "id", real.alias("real"), F.when(i % 2 == 0, i % 400).alias("hot"), day.alias("day"), day.cast("timestamp_ntz").alias("at"),
+        F.concat(F.lit("x" * 30), (i % 300).cast("string")).alias("name"), (i % 9).alias("few"), i.cast("decimal(9,2)").alias("exact"), F.array(i % 300).alias("nested"),
+    )
+    counts = profile.value_counts({"t": df})
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {"id": 8, "real": 8, "hot": 8, "day": 8, "at": 8, "name": 14, "exact": 8, "nested": 26}
+    assert sorted(int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)) == sorted(wanted.values())
+    for f in df.schema.fields:
+        zero = F.when(F.col("real") == 0, 0.0).otherwise(F.col("real")) if f.name == "real" else F.col(f.name)
+        shown = profile.printed(zero, f.dataType)
+        expected = df.groupBy((F.sha2(shown, 256) if f.name == "nested" else shown).alias("value")).count().collect()
+        got = counts.filter(F.col("column_name") == f.name).select("value", "frequency").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected))), f.name
+    assert "Exchange hashpartitioning" in (physical := counts._jdf.queryExecution().executedPlan().toString())
+    assert physical.count("ENSURE_REQUIREMENTS") == 0

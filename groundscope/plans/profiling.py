@@ -324,6 +324,8 @@ def column_profile(spark, sf):
         "table_name", "column_name", F.lit("segment").alias("display_name"),
         F.lit("market segment of the customer").alias("description"), F.lit("").alias("value_description"),
     )
-    # Three statistics read the counts, so they are made once.
-    result = profile.column_profile(cut_lineage(profile.value_counts(tables)), catalog, notes)
+    # Those of texts are read three times, so they are made once; the others are counted without being printed.
+    counts = profile.value_counts(tables)
+    texts = cut_lineage(counts.filter("storage = 'text'"))
+    result = profile.column_profile(texts.unionByName(counts.filter("storage <> 'text'")), catalog, notes)
     return result.withColumns({"types": F.to_json("types")} | {f"{name}_rate": F.round(f"{name}_rate", 6) for name in PATTERNS})

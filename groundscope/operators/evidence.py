@@ -252,7 +252,8 @@ def assemble(
     facts = gathered.filter(F.col("type").isin(MODES[mode]))
     if mode in JOIN_MODES:
         facts = facts.unionByName(join_facts(facts, fks))
-    candidates = suppress(facts.filter(F.col("confidence") >= minimum))
+    # Dealt by question once: no later step is keyed by less, so none exchanges the rows again.
+    candidates = suppress(spread(facts.filter(F.col("confidence") >= minimum)))
     identity = [F.lower("table_name"), F.lower(F.coalesce("column_name", F.lit(""))), text.normalize(F.coalesce("db_value", F.lit(""))), F.coalesce("transformation", F.lit("\u0000"))]
     order = fact_order()
     keyed = candidates.withColumns({f"_k{i}": c for i, c in enumerate(identity)}).withColumns({f"_s{i}": c for i, c in enumerate(order)})
@@ -266,8 +267,18 @@ def assemble(
 
 def packet_identity(packed: DataFrame, mode: str, knowledge: str = "") -> DataFrame:
     """One digest per question over the question, the knowledge it was drawn from and its packed lines in order."""
+    return lines_identity(packet_lines(packed), mode, knowledge)
+
+
+def packet_lines(packed: DataFrame) -> DataFrame:
+    """The packed lines of each question in order."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda p: p["line"])
-    return packed.groupBy("question_id").agg(lines.alias("lines")).select(
+    return packed.groupBy("question_id").agg(lines.alias("lines"))
+
+
+def lines_identity(listed: DataFrame, mode: str, knowledge: str = "") -> DataFrame:
+    """E13 over the lines of ``packet_lines``."""
+    return listed.select(
         "question_id", F.array_join("lines", "\n").alias("text"), F.sha2(
             F.to_json(F.struct(F.lit(mode).alias("mode"), "question_id", F.lit(knowledge).alias("knowledge"), "lines")), 256
         ).alias("identity")

@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 from groundscope.functions import text
 from groundscope.functions.encoder import hashed_encoder, l2_normalize
 from groundscope.operators import bounded, catalog, evidence, match, metrics, probe, profile, retrieve, stats
+from groundscope.operators.joins import for_all, one_of_each
 from groundscope.operators.packing import greedy_pack, prefix_pack
 from groundscope.plans import inputs
 from groundscope.plans.grounding import CONCEPT_STOP, PHRASES_SQL
 from groundscope.plans.profiling import EVERY_COLUMN, PROFILE_SQL
 from groundscope.plans.registry import query
-from groundscope.session import cut_lineage
+from groundscope.session import cut_lineage, written
 from groundscope.sources.store import KnowledgeStore
 from groundscope.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, STAR_TABLES, catalog_columns, catalog_fks, read_table, read_tables
 
@@ -185,7 +186,7 @@ def described_tables(spark, sf):
 def knowledge(spark, sf):
     """(counts, profile, index, fks) of the described tables, materialised as the knowledge store would be."""
     tables = described_tables(spark, sf)
-    counts = cut_lineage(profile.value_counts(tables))
+    counts = written(profile.value_counts(tables))
     columns = catalog_columns(spark, tables, PRIMARY_KEYS)
     notes = spark.createDataFrame(DESCRIPTIONS, _DESCRIPTION_SCHEMA).coalesce(1)
     described = cut_lineage(profile.column_profile(counts, columns, notes))
@@ -471,15 +472,19 @@ def fact_parts(spark, sf, asked):
 
 
 def packet(spark, sf, mode="all"):
-    asked = inputs.part_questions(spark, sf).unionByName(inputs.customer_questions(spark, sf))
+    """(packed, fks, counts, to_all): the packed facts of one question for each natural text, which is all that facts follow
+    from, and what gives rows of those questions to all questions."""
+    questions = inputs.part_questions(spark, sf).unionByName(inputs.customer_questions(spark, sf)).select("question_id", text.natural_part("question").alias("question"))
+    asked = one_of_each(questions, ["question"])
     facts, fks, counts = fact_parts(spark, sf, asked)
-    return evidence.assemble(facts, fks, mode), fks, counts
+    return evidence.assemble(facts, fks, mode), fks, counts, lambda found: for_all(found, questions, asked, ["question"])
 
 
 @query("evidence_packet")
 def evidence_packet(spark, sf):
     """The packed facts of every question."""
-    return packet(spark, sf)[0].select("question_id", "position", "bytes_used", "type", "phrase", "table_name", "column_name", "db_value", "confidence", "line")
+    packed, _, _, to_all = packet(spark, sf)
+    return to_all(packed.select("question_id", "position", "bytes_used", "type", "phrase", "table_name", "column_name", "db_value", "confidence", "line"))
 
 
 @query("packet_identity")
@@ -488,21 +493,22 @@ def packet_identity(spark, sf):
     tables = described_tables(spark, sf)
     notes = spark.createDataFrame(DESCRIPTIONS, _DESCRIPTION_SCHEMA).coalesce(1)
     drawn_from = KnowledgeStore(spark, "").identity(tables, catalog_columns(spark, tables, PRIMARY_KEYS), notes)
-    return evidence.packet_identity(packet(spark, sf)[0], "all", drawn_from)
+    packed, _, _, to_all = packet(spark, sf)
+    return evidence.lines_identity(to_all(evidence.packet_lines(packed)), "all", drawn_from)
 
 
 @query("scoped_packet")
 def scoped_packet(spark, sf):
     """E11, B2."""
-    scoped = evidence.scope(packet(spark, sf)[0])
-    return scoped.select("question_id", "fact_position", "evidence_id", "allowed", "forbidden", "section", "bytes_used")
+    packed, _, _, to_all = packet(spark, sf)
+    return to_all(evidence.scope(packed).select("question_id", "fact_position", "evidence_id", "allowed", "forbidden", "section", "bytes_used"))
 
 
 @query("verified_packet")
 def verified_packet(spark, sf):
     """The first four probeable facts of every packet verified against all stored values."""
-    packed, fks, counts = packet(spark, sf)
-    return probe.verify(evidence.scope(packed), counts, fks)
+    packed, fks, counts, to_all = packet(spark, sf)
+    return to_all(probe.verify(evidence.scope(packed), counts, fks))
 
 
 _DESCRIBED = sorted(inputs.TEXT_COLUMNS)

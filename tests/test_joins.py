@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from groundscope.operators import catalog, joins, match, retrieve
+from groundscope import session
+from groundscope.operators import catalog, evidence, joins, match, retrieve
 
 
 def _plan(df):
@@ -66,3 +67,28 @@ def test_contained_texts_are_ranked_once_per_text(spark):
     assert rows == [
         ("a", "red", 1, "infrared", 9), ("a", "red", 2, "Red ring", 3), ("b", "RED", 1, "infrared", 9), ("b", "RED", 2, "Red ring", 3), ("b", "blue", 1, "blue", 1),
     ]
+
+
+def test_what_one_question_finds_is_given_to_all_like_it(spark):
+    said = [("a", "red", 1), ("b", "red", 1), ("c", "red", 2), ("d", None, 1), ("e", None, 1), ("f", "none found", 1)]
+    questions = spark.createDataFrame(said, "question_id string, question string, kind int")
+    asked = joins.one_of_each(questions, ["question", "kind"])
+    assert sorted(r["question_id"] for r in asked.collect()) == ["a", "c", "d", "f"]
+    found = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("c", 1, "y"), ("d", 1, "z")], "question_id string, position int, fact string")
+    given = joins.for_all(found, questions, asked, ["question", "kind"])
+    assert given.columns == found.columns and "Broadcast" not in _plan(given)
+    rows = sorted((tuple(r) for r in given.collect()), key=repr)
+    assert rows == sorted([("a", 1, "x"), ("a", 2, None), ("b", 1, "x"), ("b", 2, None), ("c", 1, "y"), ("d", 1, "z"), ("e", 1, "z")], key=repr)
+
+
+def test_written_rows_are_read_back(spark):
+    rows = spark.createDataFrame([("a", 1, [1.5]), (None, None, None)], "x string, n long, v array<double>")
+    assert sorted(map(repr, session.written(rows).collect())) == sorted(map(repr, rows.collect()))
+    assert session.written(rows.limit(0)).count() == 0 and session.written(rows).schema == rows.schema
+
+
+def test_facts_are_exchanged_once_to_be_packed(spark):
+    kinds = {"confidence": "double", "column_relevance": "long"}
+    facts = spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in evidence.FACT_COLUMNS))
+    packed = evidence.assemble(facts, None, "literals")
+    assert _plan(packed).count("Exchange hashpartitioning") == 1

@@ -7,6 +7,8 @@ found: that is a fold, over ``PROBES`` x ``PROBES`` pairs at most, whatever the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,7 @@ def gather(
 ) -> DataFrame:
     """All facts of all questions, attached evidence included; ``pack`` chooses by mode and limits.
 
+    Facts are not materialised, as ``packets`` reads them once for all modes.
     ``index`` as from ``value_index``, ``profile`` as from ``column_profile``, ``counts`` with every stored value,
     ``paths``: question_id, path_no, tables. ``selected``: question_id, table_name, column_name.
     """
@@ -138,7 +141,7 @@ def gather(
     }, stage=1, first="i", second="-frequency", said="value")
     said = questions.select("question_id", F.left(text.evidence_part("question"), F.lit(EVIDENCE)).alias("said")).filter(F.length("said") > 0)
     evidence = _fact(said, "oracle_benchmark_evidence", {"text": "said", "reason": F.lit("diagnostic_only")})
-    return cut_lineage(facts.unionByName(probe_facts).unionByName(evidence))
+    return facts.unionByName(probe_facts).unionByName(evidence)
 
 
 def pack(facts: DataFrame, mode: str = "generated", byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT) -> DataFrame:
@@ -147,20 +150,45 @@ def pack(facts: DataFrame, mode: str = "generated", byte_budget: int = BYTE_BUDG
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if mode != "oracle":
         facts = facts.filter(F.col("priority") > 0 if mode == "generated" else F.lit(False))
+    return _packed(spread(facts), ["question_id"], byte_budget, fact_limit)
+
+
+def _packed(facts: DataFrame, group: list[str], byte_budget: int, fact_limit: int) -> DataFrame:
     sized = facts.withColumn("bytes", F.octet_length("fact"))
     order = [F.col(c) for c in [*ORDER, "fact"]]
-    return greedy_pack(sized, ["question_id"], order, "bytes", byte_budget, limit=fact_limit, separator=1, base=2)
+    return greedy_pack(sized, group, order, "bytes", byte_budget, limit=fact_limit, separator=1, base=2)
+
+
+def _listed() -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct("position", "fact"))), lambda p: p["fact"]).alias("facts")
+
+
+def packets(
+    questions: DataFrame, facts: DataFrame, modes: Sequence[str] = MODES, byte_budget: int = BYTE_BUDGET, fact_limit: int = FACT_LIMIT, knowledge: str = ""
+) -> DataFrame:
+    """``pack`` and ``packet_texts`` in several modes: facts are dealt by question once, and no later step deals them again."""
+    none = F.array().cast("array<string>")
+    taking = F.when(F.col("priority") > 0, F.array(*[F.lit(m) for m in modes if m != "none"])).otherwise(F.array(F.lit("oracle")) if "oracle" in modes else none)
+    offered = spread(facts).select("*", F.explode(taking).alias("mode"))
+    lists = _packed(offered, ["question_id", "mode"], byte_budget, fact_limit).groupBy("question_id", "mode").agg(_listed())
+    by_question = lists.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("mode", "facts"))).alias("lists"))
+    asked = questions.select("question_id", text.natural_part("question").alias("natural")).join(by_question, "question_id", "left")
+    each = asked.select("question_id", "natural", "lists", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
+    return _texts(each.withColumn("facts", F.try_element_at("lists", F.col("mode"))), knowledge)
 
 
 def packet_texts(questions: DataFrame, packed: DataFrame, mode: str, knowledge: str = "") -> DataFrame:
     """One row per question: the JSON list (empty without facts), its size, and a digest of what it was made from."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("position", "fact"))), lambda p: p["fact"])
-    lists = packed.groupBy("question_id").agg(listed.alias("facts"))
+    lists = packed.groupBy("question_id").agg(_listed())
     joined = questions.select("question_id", text.natural_part("question").alias("natural")).join(lists, "question_id", "left")
+    return _texts(joined.withColumn("mode", F.lit(mode)), knowledge)
+
+
+def _texts(joined: DataFrame, knowledge: str) -> DataFrame:
     facts = F.coalesce("facts", F.array().cast("array<string>"))
     whole = F.concat(F.lit("["), F.array_join(facts, ","), F.lit("]"))
-    basis = F.to_json(F.struct(F.lit(knowledge).alias("knowledge"), F.col("natural").alias("question"), F.lit(mode).alias("mode"), whole.alias("facts")))
+    basis = F.to_json(F.struct(F.lit(knowledge).alias("knowledge"), F.col("natural").alias("question"), "mode", whole.alias("facts")))
     return joined.select(
-        "question_id", F.lit(mode).alias("mode"), F.size(facts).alias("n_facts"), F.octet_length(whole).alias("n_bytes"), whole.alias("text"),
+        "question_id", "mode", F.size(facts).alias("n_facts"), F.octet_length(whole).alias("n_bytes"), whole.alias("text"),
         F.sha2(basis, 256).alias("identity"),
     )

@@ -561,29 +561,30 @@ SELECT question_id, mode, arg_max(cnt, k) AS n_facts, arg_max(used, k) AS n_byte
 @query("bounded_packet", BOUNDED_SQL)
 def bounded_packet(spark, sf):
     """The bounded packets of all questions in all modes; customers and small parts ask about selected columns only."""
-    asked = inputs.part_questions(spark, sf).unionByName(inputs.customer_questions(spark, sf))
+    chooser = F.when(F.col("p_size") <= 25, "part")
+    questions = inputs.part_questions(spark, sf, chooser=chooser).unionByName(inputs.customer_questions(spark, sf, chooser=F.lit("customer")))
+    # A packet follows from the whole text and the selection.
+    kind = ["question", "chooser"]
+    asked = one_of_each(questions, kind)
     tables = read_tables(spark, sf, _DESCRIBED)
     columns = catalog_columns(spark, tables, PRIMARY_KEYS)
-    counts = cut_lineage(profile.value_counts(tables))
+    counts = profile.value_counts(tables)
+    # Values are looked for among texts only; the others are counted for the profile and not kept.
+    texts = written(counts.filter("storage = 'text'"))
     notes = columns.filter("column_name LIKE '%_mktsegment'").select(
         "table_name", "column_name", F.lit("segment").alias("display_name"), F.lit("market segment of the customer").alias("description"), F.lit("").alias("value_description")
     )
-    described = cut_lineage(profile.column_profile(counts, columns, notes))
+    described = cut_lineage(profile.column_profile(texts.unionByName(counts.filter("storage <> 'text'")), columns, notes))
 
     def chosen(listed):
-        return F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in listed])).alias("c")
+        return F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in listed])
 
-    small = read_table(spark, sf, "part").filter("p_size <= 25").select(F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("question_id"), chosen(_SMALL_PARTS))
-    others = read_table(spark, sf, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("question_id"), chosen(_CUSTOMERS))
-    selected = small.unionByName(others).select("question_id", "c.*")
+    listed = F.when(F.col("chooser") == "part", chosen(_SMALL_PARTS)).when(F.col("chooser") == "customer", chosen(_CUSTOMERS))
+    selected = asked.select("question_id", F.explode(listed).alias("c")).select("question_id", "c.*")
     links = F.explode(F.array(*[F.struct(F.lit(i).alias("path_no"), F.array(F.lit(s), F.lit(d)).alias("tables")) for i, (s, _, d, _) in enumerate(_PACKET_FKS)]))
     paths = asked.select("question_id", links.alias("p")).select("question_id", "p.*")
-    facts = bounded.gather(asked, inputs.text_index(spark, sf), described, columns, counts, paths, selected)
-    texts = None
-    for mode in bounded.MODES:
-        one = bounded.packet_texts(asked, bounded.pack(facts, mode), mode).drop("identity")
-        texts = one if texts is None else texts.unionByName(one)
-    return texts
+    facts = bounded.gather(asked, inputs.text_index(spark, sf), described, columns, texts, paths, selected)
+    return for_all(bounded.packets(asked, facts).drop("identity"), questions, asked, kind)
 
 
 @query("route_ablation")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundscope.operators import bounded, profile
+from groundscope.session import cut_lineage
 from groundscope.sources.tables import catalog_columns
 
 FACTS = {}  # by question and selection: several tests pack the same facts
@@ -102,3 +103,13 @@ def test_empty_tables(spark, parts):
     asked = spark.createDataFrame([("q", None), ("r", "")], "question_id string, question string")
     facts = bounded.gather(asked, index.limit(0), described.limit(0), columns.limit(0), counts.limit(0))
     assert [tuple(r) for r in bounded.packet_texts(asked, bounded.pack(facts), "generated").select("text", F.col("n_facts")).collect()] == [("[]", 0)] * 2
+
+
+def test_modes_are_packed_together(spark, parts):
+    index, described, columns, counts = parts
+    asked = spark.createDataFrame([("a", "Find item007 with red tint\nBenchmark evidence: tint is made"), ("b", "item"), ("c", None)], "question_id string, question string")
+    facts = cut_lineage(bounded.gather(asked, index, described, columns, counts))
+    together = bounded.packets(asked, facts)
+    assert together._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # facts and questions, each once
+    alone = [tuple(r) for mode in bounded.MODES for r in bounded.packet_texts(asked, bounded.pack(facts, mode), mode).collect()]
+    assert sorted(map(tuple, together.collect())) == sorted(alone) and len(alone) == 9

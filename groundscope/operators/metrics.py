@@ -153,7 +153,7 @@ def evidence_recall(cases: DataFrame) -> DataFrame:
 def evidence_metrics(cases: DataFrame, facts: DataFrame, literals: DataFrame, transformations: DataFrame | None = None) -> DataFrame:
     """M9 per group: literal recall, precision, value-column accuracy and transformation recall.
 
-    ``cases``: case_id, group. ``facts``: case_id, fact_no, table_name, column_name, value,
+    ``cases``: case_id, group, and weight if one case stands for several with the same facts and gold. ``facts``: case_id, fact_no, table_name, column_name, value,
     transformation. ``literals`` (gold): case_id, table_name (null = any table), column_name, value.
     Matching is an equi-join on (case, value); the table only filters.
     """
@@ -187,8 +187,9 @@ def evidence_metrics(cases: DataFrame, facts: DataFrame, literals: DataFrame, tr
         )
         rows = rows.join(found, "case_id", "left")
         measures += ["required_transformations", "found_transformations"]
+    weighted = "weight" in cases.columns
     totals = rows.fillna(0, measures).groupBy("group").agg(
-        F.count("*").alias("cases"), *[F.sum(m).alias(m) for m in measures]
+        (F.sum("weight") if weighted else F.count("*")).alias("cases"), *[F.sum(F.col(m) * F.col("weight") if weighted else m).alias(m) for m in measures]
     )
 
     def share(a: str, b: str) -> Column:

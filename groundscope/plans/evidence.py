@@ -590,14 +590,16 @@ def bounded_packet(spark, sf):
 @query("route_ablation")
 def route_ablation(spark, sf):
     """The four routing modes scored against the values each question was made from."""
-    asked = inputs.part_questions(spark, sf)
-    facts_found, fks, _ = fact_parts(spark, sf, asked)
-    gold = read_table(spark, sf, "part").select(
-        F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("case_id"), F.explode(F.array(
-            F.struct(F.lit("p_name").alias("column_name"), F.col("p_name").alias("value")), F.struct(F.lit("p_type").alias("column_name"), F.lower("p_type").alias("value")),
+    questions = inputs.part_questions(spark, sf, name=F.col("p_name"), kind=F.col("p_type"))
+    # Parts with the same question and the same values are one case that counts as often as they are.
+    asked = cut_lineage(questions.groupBy("question", "name", "kind").agg(F.min("question_id").alias("question_id"), F.count("*").alias("weight")))
+    facts_found, fks, _ = fact_parts(spark, sf, asked.select("question_id", "question"))
+    gold = asked.select(
+        F.col("question_id").alias("case_id"), F.explode(F.array(
+            F.struct(F.lit("p_name").alias("column_name"), F.col("name").alias("value")), F.struct(F.lit("p_type").alias("column_name"), F.lower("kind").alias("value")),
         )).alias("g"),
     ).select("case_id", F.lit("part").alias("table_name"), "g.*")
-    cases = asked.select(F.col("question_id").alias("case_id"), F.lit("all").alias("group"))
+    cases = asked.select(F.col("question_id").alias("case_id"), F.lit("all").alias("group"), "weight")
     report = None
     for mode in evidence.MODES:
         packed = evidence.assemble(facts_found, fks, mode)

@@ -205,3 +205,14 @@ def test_compact_schema_keeps_keys_and_fails_without_room(spark):
     assert {r["column_name"] for r in some} >= {"id", "order_id", "name"} and len(some) < 5
     with pytest.raises(Exception, match="budget"):
         catalog.compact_schema(asked, columns, fks, byte_budget=60).collect()
+
+
+def test_one_case_counts_for_those_like_it(spark):
+    alike = spark.createDataFrame([("a", "all"), ("b", "all"), ("c", "all")], "case_id string, group string")
+    said = "case_id string, fact_no int, table_name string, column_name string, value string, transformation string"
+    given = [(c, 1, "schools", "school_type", "pri", None) for c in "abc"] + [("c", 2, "schools", "name", "pri", None)]
+    wanted = [("a", "schools", "school_type", "pri"), ("b", "schools", "school_type", "pri"), ("c", "schools", "name", "pri")]
+    facts, gold = spark.createDataFrame(given, said), spark.createDataFrame(wanted, "case_id string, table_name string, column_name string, value string")
+    few = spark.createDataFrame([("a", "all", 2), ("c", "all", 1)], "case_id string, group string, weight long")
+    rest = [df.filter("case_id <> 'b'") for df in (facts, gold)]
+    assert [tuple(r) for r in metrics.evidence_metrics(few, *rest).collect()] == [tuple(r) for r in metrics.evidence_metrics(alike, facts, gold).collect()]
